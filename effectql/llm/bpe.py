@@ -224,7 +224,7 @@ class ForcedCutBpe:
     def _learn(self, chunks: list[str]) -> None:
         """Remember the ids of chunks without white space."""
         plain = [c for c in chunks if c.isascii() or not _RARE.search(c)]
-        words: list[list[str]] = [[]]
+        words: list[list[str]] = [[]] if plain else []
         for w in self._pattern_or_line.findall("\n".join(map(_normal, plain))):
             if w == "\n":
                 words.append([])
@@ -242,7 +242,7 @@ class ForcedCutBpe:
                     words.append([bytes(self._from_shown[x] for x in w).decode() for w, _ in split])
         distinct = list({w for ws in words for w in ws})
         ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
-        for chunk, ws in zip(plain, words, strict=False):
+        for chunk, ws in zip(plain, words, strict=True):
             self._chunks[chunk] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
     # -- texts
