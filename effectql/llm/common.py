@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -89,3 +90,44 @@ def text_slices(
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+
+
+#: A key that holds this share of all rows is joined apart; at most 1 / HOT_SHARE keys do.
+HOT_SHARE = 1 / 200
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row for each key, with the number of rows in ``count``).
+
+    Keys with a large share of the rows are joined by broadcast, which deals none of their rows anew;
+    there can be no more than 1 / HOT_SHARE of them. All others meet in a shuffled join. Both inputs
+    are read twice and should be parked.
+    """
+    hot = groups.where(F.col(count) >= max(2, total * HOT_SHARE)).withColumn("__hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    columns = [*rows.columns, *(c for c in groups.columns if c != key)]
+    cold = marked.where(F.col("__hot").isNull()).select(*rows.columns).join(groups.hint("merge"), key)
+    return cold.select(columns).unionByName(marked.where("__hot").select(columns))
+
+
+def numbered(
+    rows: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 64, spread: list[str] | None = None
+) -> DataFrame:
+    """Number the rows of each group gapless from 0, in no task more than a bucket of a group.
+
+    Buckets come from a hash of ``spread`` (else ``order``); a bucket's first number is the sum of the
+    counts before it. There must be a bounded number of groups: the counts (groups x buckets) are broadcast.
+    ``rows`` is read twice and should be parked.
+    """
+    from pyspark.sql import Window
+
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*(spread or order)), F.lit(buckets)))
+    keys = [*group, "__bucket"]
+    counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return (
+        dealt.withColumn("__place", place).join(F.broadcast(starts), keys)
+        .withColumn(name, F.col("__from") + F.col("__place") - 1).drop("__bucket", "__place", "__from")
+    )

@@ -12,10 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, park, shared_dir, table
-
-#: A digest that holds this share of a batch is joined apart; there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 1 / 200
+from .common import LOWER, UPPER, join_hot, park, shared_dir, table
 
 
 def text_digest(text: Column) -> Column:
@@ -84,14 +81,8 @@ class DigestIndex:
             F.when(F.col("batch") == batch, F.col("top.row_id")).alias("keep_row"),
         )
         held = park(held, "digest-held")
-        hot = F.broadcast(
-            held.where(F.col("group_size") >= max(1, total * HOT_SHARE)).withColumn("hot", F.lit(True))
-        )
-        marked = rows.join(hot, "digest", "left")
-        cold = marked.where("hot is null").select("doc_id", "digest", "row_id").join(held, "digest")
-        columns = ["doc_id", "digest", "row_id", "group_size", "keep_id", "keep_row"]
         return (
-            cold.select(columns).unionByName(marked.where("hot").select(columns))
+            join_hot(rows, held, "digest", "group_size", total)
             .select(
                 "doc_id", "row_id", "keep_id", "group_size",
                 F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(False)).alias("kept"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "bpe", "chat", "media_tiff", "html_layout")
+MODULES = ("exact_dedup", "bpe", "chat", "media_tiff", "html_layout", "packing", "sharding")
 
 
 def _modules():
