@@ -59,14 +59,18 @@ def park(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables this application has parked so far; call it once results are written."""
+def parked(spark: SparkSession) -> int:
+    """How many tables this application has parked; to be given to ``release``."""
+    return len(_parked.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables parked after the first ``since``; call it once the results that need them are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    paths = _parked.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
+    paths = _parked.get(spark.sparkContext.applicationId, [])
+    while len(paths) > since:
+        where = jvm.org.apache.hadoop.fs.Path(paths.pop())
         where.getFileSystem(conf).delete(where, True)
-    return len(paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -301,32 +301,45 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     return QualityModel(labels, scorers)
 
 
-def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, junk and toxic (probabilities) and kept for each row, and the columns in ``keep``.
+def score(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """doc_id, junk and toxic (probabilities) and kept for each row.
 
     A text is kept if neither reaches REJECT. Null and empty texts have no evidence against them; they
     count as junk only if the scorer has learned so. Whole texts are scored; repeated rows each give a
-    row; an empty table gives no rows.
+    row; only doc_id and text are read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    scorers = spark.sparkContext.broadcast(model.scorers)
-    source = docs.select(
-        F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *(F.col(c) for c in keep)
-    )
+    prepare(docs.sparkSession)
+    scorers = docs.sparkSession.sparkContext.broadcast(model.scorers)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "__text"):
-            values, first = features(batch.column(1))
-            p = [np.round(scorers.value[h].score(values, first), 6) for h in ("junk", "toxic")]
+        for batch in text_slices(batches):
+            p = _scores(batch.column(1), scorers.value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x) for x in p), pa.array(np.maximum(*p) < REJECT), *batch.columns[2:]],
-                ["doc_id", "junk", "toxic", "kept", *(f"__{i}" for i in range(len(keep)))],
+                [batch.column(0), *(pa.array(x) for x in p), pa.array(np.maximum(*p) < REJECT)], ["doc_id", "junk", "toxic", "kept"]
             )
 
-    kinds = "".join(f", __{i} {source.schema[i + 2].dataType.simpleString()}" for i in range(len(keep)))
-    out = source.mapInArrow(run, f"doc_id long, junk double, toxic double, kept boolean{kinds}")
-    return out.withColumnsRenamed({f"__{i}": c for i, c in enumerate(keep)}) if keep else out
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, junk double, toxic double, kept boolean"
+    )
+
+
+def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    prepare(docs.sparkSession)
+    scorers = docs.sparkSession.sparkContext.broadcast(model.scorers)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            p = _scores(batch.column(place), scorers.value)
+            yield batch.filter(pa.array(np.maximum(*p) < REJECT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scores(texts: pa.Array, scorers: dict[str, Scorer]) -> list[np.ndarray]:
+    values, first = features(texts)
+    return [np.round(scorers[h].score(values, first), 6) for h in ("junk", "toxic")]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
