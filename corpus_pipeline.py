@@ -1,8 +1,75 @@
-"""The corpus pipeline (see effectql.llm)."""
+"""The corpus pipeline: classify, drop exact copies, drop near copies, cut repeated passages, pack.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next one's ``docs``. All but the last return rows of documents with all their columns.
+Stages read every row and whole texts; null texts count as empty; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from effectql.llm import exact_dedup, ngram_join, packing, quality, suffix_dedup
+from effectql.llm.common import park, parked, release, shared_dir, table
+
+#: The classifier has no counterpart in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; the others go."""
+    return quality.accepted(docs, quality.fit(docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, A-Z lower-cased: the largest doc_id."""
+    marks = park(exact_dedup.DigestIndex(spark).dedup(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias("__digest")), "kept")
+    marked = docs.withColumn("__digest", exact_dedup.text_digest(F.col("text")))
+    named = marked.where("doc_id is not null").hint("merge").join(marks.where("doc_id is not null"), ["doc_id", "__digest"], "left_semi")
+    unnamed = marked.where("doc_id is null").hint("merge").join(marks.where("doc_id is null").select("__digest"), "__digest", "left_semi")
+    unique = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    found = named.unionByName(unnamed.dropDuplicates(["__digest"]))
+    if not unique:  # rows that repeat id and text
+        found = named.dropDuplicates(["doc_id", "__digest"]).unionByName(unnamed.dropDuplicates(["__digest"]))
+    return found.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles: the smallest doc_id."""
+    found = ngram_join.jaccard_components(docs, ngram_join.Similarity(80, 5))
+    gone = park(found.where("doc_id <> component_id").select("doc_id"), "near-copies")
+    return docs.hint("merge").join(gone, "doc_id", "left_anti")
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words or more that occur earlier; those left without words go."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents, packed into sequences."""
+    return packing.pack(park(packing.token_pieces(docs), "pieces"))
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_passages),
+    ("best-fit packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents; what a stage parked is deleted once its result is written."""
+    docs = table(spark, sf_dir, "documents")
+    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        before = parked(spark)
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        release(spark, before)
+        docs = spark.read.parquet(f"{root}/{k}")
+    return docs
