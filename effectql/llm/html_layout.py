@@ -22,7 +22,7 @@ from .common import prepare, table, text_slices
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "xmp", "iframe", "noembed", "noframes"}
 ESCAPABLE_RAW = {"textarea", "title"}
-HIDDEN = set("head script style template noscript noembed noframes iframe datalist audio video canvas object svg math select".split())
+HIDDEN = set("head title script style template noscript noembed noframes iframe datalist audio video canvas object svg math select".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup html hr legend li listing main menu nav ol optgroup option p plaintext pre search "
@@ -218,6 +218,7 @@ class _Layout:
             self.inline.append(head)
             for line in rest:
                 self.end_line(always=True)
+                self.kept = True
                 self.inline.append(line)
         else:
             self.inline.append(text)
@@ -289,7 +290,7 @@ def _walk(node: Node, out: _Layout, kept: bool, depth: int) -> None:
             if kind not in ("hidden", "password", "checkbox", "radio", "file", "image"):
                 out.write(" " + (child.get("value") or "") + " ")
         elif tag in ("ul", "ol", "menu", "dir"):
-            out.space() if tag != "dir" else out.end_line()
+            out.end_line() if tag == "dir" or node.tag == "li" else out.space()
             out.put(_list(child, kept))
             out.gap = node.tag != "li"
         elif tag == "table":

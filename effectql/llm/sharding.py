@@ -113,7 +113,7 @@ def shard_rows(nodes: DataFrame, shards: int, hub: str = "hub", rounds: int = 4)
 def cut_groups(placed: DataFrame, hub: str = "hub") -> DataFrame:
     """groups, whole: hubs with two rows or more, and those of them that lie in a single shard."""
     found = placed.groupBy(hub).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("shard").alias("shards")).where("n > 1")
-    return found.agg(F.count(F.lit(1)).alias("groups"), F.count_if("shards = 1").alias("whole"))
+    return found.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("shards") == 1).alias("whole"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
