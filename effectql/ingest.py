@@ -117,7 +117,7 @@ def ingest_json(store: Store, path: str, **more) -> IngestResult:
 
 def put_texts(store: Store, texts: DataFrame, source: str) -> None:
     """Chinese texts (passcode, kind, text) of known cards; a text replaces the one of its card, kind and source."""
-    ids = store.read("external_id").where("source = 'ygopro_passcode'").select("card_id", F.col("external_id").alias("code"))
+    ids = store.read("external_id").where("source = 'passcode'").select("card_id", F.col("external_id").alias("code"))
     rows = texts.join(ids, F.col("passcode").cast("string") == F.col("code")).select(
         "card_id", F.lit("zh").alias("lang"), "kind", F.lit(source).alias("source"), "text", F.sha2("text", 256).alias("text_sha256"), F.current_timestamp().alias("updated_at")
     )
@@ -135,7 +135,7 @@ class EnrichResult:
 def apply_chinese(store: Store, path: str, source: str = "text_dump") -> EnrichResult:
     """Names and texts of a zipped dump for known cards; it never makes cards."""
     rows = readers.read_text_zip(store.spark, path).withColumn("passcode", zero_to_null(F.col("record.id")))
-    ids = store.read("external_id").where("source = 'ygopro_passcode'").select("card_id", F.col("external_id").alias("code"))
+    ids = store.read("external_id").where("source = 'passcode'").select("card_id", F.col("external_id").alias("code"))
     joined = rows.join(ids, F.col("passcode").cast("string") == F.col("code"), "left").persist()
     counts = joined.agg(
         F.count(F.lit(1)), F.count_if(F.col("card_id").isNotNull()), F.count_if(F.col("passcode").isNotNull() & F.col("card_id").isNull()), F.count_if(F.col("passcode").isNull())

@@ -44,7 +44,7 @@ def from_cdb(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(monster, S.decode_scale(c("level"))).alias("pendulum_scale"), c("atk"), F.when(~link, c("def")).alias("def"),
         c("type").alias("type_mask"), c("race").alias("race_mask"), c("attribute").alias("attribute_mask"), c("category").alias("category_mask"),
         c("setcode").alias("setcode_mask"), S.zero_to_null(c("alias")).alias("alias_passcode"), F.lit("en").alias("text_lang"),
-        F.trim(F.coalesce("desc", F.lit(""))).alias("raw_text"), _external(("ygopro_passcode", c("id"))).alias("external_ids"),
+        F.trim(F.coalesce("desc", F.lit(""))).alias("raw_text"), _external(("passcode", c("id"))).alias("external_ids"),
         F.transform(codes, lambda x: F.struct(F.concat(F.lit("setcode-"), x).alias("archetype"), x.alias("archetype_raw"))).alias("archetypes"),
         S.decode_flags(c("type")).alias("flags"), F.lit(None).cast(_NAMES).alias("names"),
         S.identity_key(c("id").cast("string"), F.lit("en"), F.trim("name")).alias("identity_key"), "payload_json", c("id").cast("string").alias("external_id"),
@@ -82,7 +82,7 @@ def from_json_dump(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         S.zero_to_null(c("linkval")).alias("link_rating"), S.zero_to_null(c("scale")).alias("pendulum_scale"), F.when(monster, c("atk")).alias("atk"),
         F.when(monster & S.zero_to_null(c("linkval")).isNull(), c("def")).alias("def"), *(F.lit(None).cast("long").alias(f"{m}_mask") for m in ("type", "race", "attribute", "category", "setcode")),
         F.lit(None).cast("long").alias("alias_passcode"), F.lit("en").alias("text_lang"), text("desc").alias("raw_text"),
-        _external(("ygopro_passcode", F.nullif(code, F.lit(0))), ("ygoprodeck_id", c("id"))).alias("external_ids"),
+        _external(("passcode", F.nullif(code, F.lit(0))), ("json_id", c("id"))).alias("external_ids"),
         F.when(text("archetype") != "", F.array(F.struct(S.slugify(text("archetype")).alias("archetype"), text("archetype").alias("archetype_raw")))).otherwise(F.array().cast("array<struct<archetype: string, archetype_raw: string>>")).alias("archetypes"),
         F.sort_array(F.array_distinct(F.array_compact(F.array(*flags)))).alias("flags"), F.lit(None).cast(_NAMES).alias("names"),
         S.identity_key(code.cast("string"), F.lit("en"), text("name")).alias("identity_key"), F.col("record").alias("payload_json"), c("id").cast("string").alias("external_id"),

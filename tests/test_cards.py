@@ -149,7 +149,7 @@ def test_migrations(store):
 def test_tools_and_command_line(store, tmp_path):
     tools = Tools(store)
     card = tools.get_card(name="fiend")
-    assert card["archetypes"] == ["test-case"] and {"source": "ygopro_passcode", "external_id": "1002"} in card["external_ids"]
+    assert card["archetypes"] == ["test-case"] and {"source": "passcode", "external_id": "1002"} in card["external_ids"]
     assert tools.get_card(card_id=card["card_id"])["canonical_name"] == "B Fiend Beta"
     for bad in (lambda: tools.get_card(), lambda: tools.get_card("nobody"), lambda: tools.search_cards({"where": {"field": "x"}}), lambda: tools.search_cards({"where": {"field": "card.no", "op": "eq", "value": 1}})):
         with pytest.raises(ToolError):
