@@ -22,8 +22,8 @@ from .wordhash import Words, mix, separators, words_of
 
 #: Documents on which the scorer is fitted, at most (about; they are drawn by a hash of text and id).
 SAMPLE = 8_000
-#: Features that fewer sampled documents have aren't used.
-LEAST = 4
+#: Features that fewer sampled documents have aren't used; words must also lie mostly in bad documents.
+LEAST, LEAST_WORDS, BAD_SHARE = 4, 8, 0.6
 REJECT = 0.5
 
 # Fixed word lists: common function words of four languages, and common insults.
@@ -215,11 +215,16 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total[first[1:]] - total[first[:-1]] + self.bias, -500, 500)))
 
 
-def fit_scorer(values: np.ndarray, first: np.ndarray, bad: np.ndarray, steps: int = 300, rate: float = 0.3, decay: float = 1e-3) -> Scorer:
-    """Logistic regression by full-batch gradient steps with a rate for each weight; classes weigh alike."""
+def fit_scorer(
+    values: np.ndarray, first: np.ndarray, bad: np.ndarray, least: int = LEAST, share: float = 0.0, steps: int = 300, rate: float = 0.3, decay: float = 1e-3
+) -> Scorer:
+    """Logistic regression by full-batch gradient steps with a rate for each weight.
+
+    Features need ``least`` documents, of which at least ``share`` are bad.
+    """
     keys, index, counts = np.unique(values, return_inverse=True, return_counts=True)
-    keep = counts >= LEAST
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    keep = (counts >= least) & (np.bincount(index, bad[row], minlength=len(keys)) >= share * counts)
     used = keep[index]
     column = (np.cumsum(keep) - 1)[index[used]]
     row, keys = row[used], keys[keep]
@@ -295,9 +300,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     every = np.concatenate([*values, np.zeros(0, np.uint64)])
     votes = _votes(np.array([r["bits"] for r in drawn], np.int64))
     scorers = {}
-    for head, parity in (("junk", 0), ("toxic", 1)):  # the form of a text speaks for junk, its words for abuse
+    # the form of a text speaks for junk, its words for abuse
+    for head, parity, least, mostly in (("junk", 0, LEAST, 0.0), ("toxic", 1, LEAST_WORDS, BAD_SHARE)):
         used = (every & _ODD) == parity
-        scorers[head] = fit_scorer(every[used], np.concatenate(([0], np.cumsum(used)))[first], labels[head].bad(votes[head]))
+        bounds = np.concatenate(([0], np.cumsum(used)))[first]
+        scorers[head] = fit_scorer(every[used], bounds, labels[head].bad(votes[head]), least, mostly)
     return QualityModel(labels, scorers)
 
 
