@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -20,6 +21,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 1 << 20
 
 _parked: dict[str, list[str]] = {}
+_collected = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, "2048")
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of plans that are done with; now and then is enough."""
+    global _collected
+    if time.monotonic() - _collected > 4:
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def park(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -55,6 +65,7 @@ def park(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parked/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _collect_garbage(spark)
     _parked.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

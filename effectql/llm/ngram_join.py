@@ -5,9 +5,12 @@ Documents are sets of word shingles. Two of them link when their Jaccard similar
 1. Rows of the same set become one node.
 2. Nodes that share a least hash are compared with a few centers of their group as they stream by; those
    close enough join a star. A large group of near copies so becomes a few stars, with no pairs in it.
-3. Shingles that lie in the prefixes of many stars are a frequent class. In the order "rare first, then
-   by hash" each node takes the prefix that any partner must meet, longer by the combinations asked of
-   the frequent classes; a rare shingle is a signature of its own, frequent ones make one in pairs.
+3. Shingles that lie in the prefixes of many stars, or in many near copies of a group, are a frequent
+   class. In the order "rare first, then by hash" each node takes the prefix that any partner must meet.
+   Rare shingles are signatures of their own. Where they don't make up the prefix it is extended, and
+   frequent ones are signatures in combinations of two. Prefixes of rare shingles are longer by a
+   twentieth of the set and as many signatures more must be shared, so that sets with a passage in common
+   drop out; sets met by a combination only differ in all their rare shingles, which excludes most.
 4. Stars that share a signature and may be near enough in size are compared by their centers. Distances
    of sets obey the triangle inequality, so what centers and radii cannot decide is little; those members
    are compared by their own signatures.
@@ -39,8 +42,10 @@ FREQUENT = 32
 MOST_FREQUENT = 1 << 20
 #: Sets up to this size also have each of their shingles as a signature.
 TINY = 12
-#: Nodes in a streamed group, and centers kept for each.
-GROUP, CENTERS = 2000, 8
+#: Nodes in a streamed group, shingles of it that are held at a time, and centers of each such stretch.
+GROUP, GROUP_SHINGLES, CENTERS = 2000, 1_000_000, 16
+_STAR = ["sid", "center", "shared", "n", "center_n", "token"]
+PREFIX, ALL_RARE = -1, -2
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -55,6 +60,15 @@ class Similarity:
         """Elements of which a linked set must share one, whatever their order."""
         return n + (-self.percent * n // 100) + 1
 
+    def apart(self, n: int) -> int:
+        """Elements that a linked set of any size may lack or have besides, at most."""
+        return (100 - self.percent) * (n + n * 100 // self.percent) // (100 + self.percent)
+
+
+def _more(n):
+    """Signatures that linked sets must share besides one: the prefix is longer by as many."""
+    return n // 20
+
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
@@ -140,7 +154,13 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def stars(docs: DataFrame, nodes: DataFrame, least: str, by: Similarity) -> DataFrame:
-    """(sid, center, shared, n, center_n) of nodes that link with a center of those that share their least hash."""
+    """Stars among nodes that share their least hash, and the shingles that are frequent there.
+
+    Rows with sid: a node that links with a center (sid, center, shared, n, center_n). Rows without: a
+    token that more than FREQUENT nodes of a group have. A group streams by in stretches of bounded size.
+    In each the nodes with the fewest rare shingles become centers first; what they are near copies of
+    has fewer than they.
+    """
     groups = park(nodes.groupBy(least).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "least")
     wanted = park(
         join_hot(nodes, groups, least, "__n", nodes.count()).select(
@@ -151,35 +171,53 @@ def stars(docs: DataFrame, nodes: DataFrame, least: str, by: Similarity) -> Data
     )
     rows = texts_of(docs, wanted).select("key", "salt", "sid", "text").repartition("key", "salt").sortWithinPartitions("key", "salt", "sid")
 
+    def links(held: list[tuple[int, np.ndarray]]) -> Iterator[tuple]:
+        sizes = np.array([len(s) for _, s in held])
+        tokens, inverse, counts = np.unique(np.concatenate([s for _, s in held]), return_inverse=True, return_counts=True)
+        for t in tokens[counts > FREQUENT].view(np.int64).tolist():
+            yield None, None, None, None, None, t
+        owner = np.repeat(np.arange(len(held)), sizes)
+        rare = np.bincount(owner, counts[inverse] <= max(1, len(held) // 50), minlength=len(held))
+        centers: list[tuple[int, np.ndarray]] = []
+        for i in np.lexsort((sizes, rare)).tolist():
+            sid, mine = held[i]
+            for other, center in centers:
+                if other == sid or 100 * min(len(mine), len(center)) < by.percent * max(len(mine), len(center)):
+                    continue
+                shared = _similarity(mine, center)
+                if 100 * shared >= by.percent * (len(mine) + len(center) - shared):
+                    yield sid, other, shared, len(mine), len(center), None
+                    break
+            else:
+                if len(centers) < CENTERS and all(sid != c for c, _ in centers):
+                    centers.append((sid, mine))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, centers = None, []
+        group, held, size = None, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (out := list(links(held))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], _STAR)
+
         for batch in text_slices(batches):
             values, first = shingle_sets(words_of(batch.column(3)), by.words)
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            out = []
             for i, (key, sid) in enumerate(zip(keys, batch.column(2).to_pylist(), strict=True)):
-                if key != group:
-                    group, centers = key, []
-                mine = values[first[i] : first[i + 1]].copy()
-                for other, held in centers:
-                    if 100 * min(len(mine), len(held)) < by.percent * max(len(mine), len(held)):
-                        continue
-                    shared = _similarity(mine, held)
-                    if 100 * shared >= by.percent * (len(mine) + len(held) - shared):
-                        if sid != other:
-                            out.append((sid, other, shared, len(mine), len(held)))
-                        break
-                else:
-                    if len(centers) < CENTERS:
-                        centers.append((sid, mine))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["sid", "center", "shared", "n", "center_n"])
+                if key != group or size > GROUP_SHINGLES:
+                    yield from flush()
+                    group, held, size = key, [], 0
+                held.append((sid, values[first[i] : first[i + 1]].copy()))
+                size += int(first[i + 1] - first[i])
+        yield from flush()
 
-    return rows.mapInArrow(run, "sid long, center long, shared long, n long, center_n long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in _STAR))
 
 
-def frequent(described: DataFrame, centers: DataFrame) -> np.ndarray:
-    """Shingles in the plain prefixes of more than FREQUENT stars, sorted; at most MOST_FREQUENT."""
+def frequent(described: DataFrame, centers: DataFrame, in_groups: DataFrame) -> np.ndarray:
+    """Shingles in the plain prefixes of more than FREQUENT stars, or frequent in a group; sorted, at most MOST_FREQUENT.
+
+    ``in_groups`` has a token for each group that it is frequent in; it counts as FREQUENT + 1 each.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,9 +225,10 @@ def frequent(described: DataFrame, centers: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], ["token"])
 
     windows = described.join(centers.select("doc_id", "sid"), ["doc_id", "sid"]).select("window")
-    counts = park(
-        windows.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT), "frequent"
-    )
+    plain = windows.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    grouped = in_groups.groupBy("token").agg((F.count(F.lit(1)) * (FREQUENT + 1)).alias("n"))
+    both = plain.where(F.col("n") > FREQUENT).unionByName(grouped).groupBy("token").agg(F.sum("n").alias("n"))
+    counts = park(both, "frequent")
     least = FREQUENT
     while counts.where(F.col("n") > least).count() > MOST_FREQUENT:
         least *= 2
@@ -198,25 +237,36 @@ def frequent(described: DataFrame, centers: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, by: Similarity, common: np.ndarray) -> DataFrame:
-    """doc_id, sid, n and the signatures (binary, 64 bits each) of each row."""
+    """doc_id, sid, n, rare (shingles that aren't frequent) and the signatures (binary, 64 bits each) of each row.
+
+    A set with a prefix of rare shingles has those as signatures. Another has all its rare shingles and
+    combinations of its first frequent ones; the combinations find partners that share no rare shingle,
+    and those differ in all the rare shingles of both, which bounds how many there may be.
+    """
     known = docs.sparkSession.sparkContext.broadcast(common)
 
-    def of(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    def of(s: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of single shingles and of combinations."""
         n = len(s)
+        none = np.zeros(0, np.uint64)
         if n == 0:
-            return s
-        size = min(n, by.prefix(n) + CLASSES)
-        rare = s[~often][:size]
-        out = [mix(rare)]
-        rest = s[often][: size - len(rare)]
-        for k in range(CLASSES):
-            c = rest[(rest >> np.uint64(7)) % np.uint64(CLASSES) == k]
-            if len(c) > 1:
-                a, b = np.triu_indices(len(c), 1)
-                out.append(mix(mix(c[a]) + c[b] * _OTHER))
+            return none, none
+        rare = s[~often]
+        if len(rare) >= by.prefix(n) + _more(n):
+            single = [mix(rare[: by.prefix(n) + _more(n)])]
+            pairs = []
+        else:
+            single, pairs = [mix(rare)], []
+            rest = s[often][: by.prefix(n) + CLASSES - len(rare)]
+            if len(rare) <= by.apart(n):
+                for k in range(CLASSES):
+                    c = rest[(rest >> np.uint64(7)) % np.uint64(CLASSES) == k]
+                    if len(c) > 1:
+                        a, b = np.triu_indices(len(c), 1)
+                        pairs.append(mix(mix(c[a]) + c[b] * _OTHER))
         if n <= TINY:
-            out.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
-        return np.concatenate(out)
+            single.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
+        return np.concatenate(single), np.concatenate([none, *pairs])
 
     def make(values: np.ndarray, first: np.ndarray) -> list[pa.Array]:
         common = known.value
@@ -224,55 +274,75 @@ def signatures(docs: DataFrame, by: Similarity, common: np.ndarray) -> DataFrame
         if len(common) and len(values):
             often = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
         n = np.diff(first)
-        made = [of(values[a:b], often[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        return [pa.array(_set_ids(values, first).view(np.int64), mask=n == 0), pa.array(n, pa.int64()), pa.array(made, pa.binary())]
+        made = [of(values[a:b], often[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        rare = n - np.diff(np.concatenate(([0], np.cumsum(often)))[first])
+        return [
+            pa.array(_set_ids(values, first).view(np.int64), mask=n == 0), pa.array(n, pa.int64()), pa.array(rare, pa.int64()),
+            pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary()),
+        ]
 
-    return _scan(docs, by.words, make, "sid long, n long, signatures binary")
+    return _scan(docs, by.words, make, "sid long, n long, rare long, signatures binary, combinations binary")
 
 
 def candidates(signed: DataFrame, by: Similarity, apart: bool = False) -> DataFrame:
-    """Distinct pairs (a < b) of keys that share a signature and may be near enough in size.
+    """Distinct pairs (a < b) of keys that share as many signatures as they must and may be near enough in size.
 
-    ``signed``: key, part, n, signatures. Rows of a signature stream by in order; those of one key are
-    drawn together first. With ``apart``, pairs within a part are left out.
+    ``signed``: key, part, n, rare, signatures, combinations. Rows of a signature stream by in order;
+    those of one key are drawn together first. With ``apart``, pairs within a part are left out.
     """
+    # rare is negative for single shingles: PREFIX of sets that have a whole prefix of them, else ALL_RARE
+    names = ["sig", "key", "part", "n", "rare"]
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "signatures"):
-            raw = batch.column(3).to_pylist()
-            rows = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
-            if len(rows):
-                kept = [batch.column(k).take(pa.array(rows)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *kept], ["sig", "key", "part", "n"])
+            for place, combined in ((4, False), (5, True)):
+                raw = batch.column(place).to_pylist()
+                rows = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+                if len(rows):
+                    kept = [batch.column(k).take(pa.array(rows)) for k in range(3)]
+                    rare = np.asarray(batch.column(3), dtype=np.int64)
+                    if not combined:
+                        n = np.asarray(batch.column(2), dtype=np.int64)
+                        rare = np.where(rare < by.prefix(n) + _more(n), ALL_RARE, PREFIX)
+                    rare = pa.array(rare[rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *kept, rare], names)
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
 
-        def within(sig: np.ndarray, key: np.ndarray, part: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def within(sig, key, part, n, rare) -> Iterator[pa.RecordBatch]:
             if len(sig) == 0:
                 return
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
             starts = np.flatnonzero(new)
-            least, most = np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
+            least, most, low = (f.reduceat(x, starts) for f, x in ((np.minimum, n), (np.maximum, n), (np.minimum, rare)))
+            alone = np.diff(np.append(starts, len(sig))) == 1  # a single set stands behind the key
             sig, key, part = sig[starts], key[starts], part[starts]
-            alone = np.ones(len(sig), bool)
             same = sig[1:] == sig[:-1]
-            alone[1:] &= ~same
-            alone[:-1] &= ~same
-            sig, key, part, least, most = (x[~alone] for x in (sig, key, part, least, most))
+            shared = np.zeros(len(sig), bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            sig, key, part, least, most, low, alone = (x[shared] for x in (sig, key, part, least, most, low, alone))
             step = 1
-            while step < len(sig):
-                i = np.flatnonzero(sig[step:] == sig[:-step])
-                if len(i) == 0:
-                    break
+            i = np.arange(len(sig))
+            while len(i):
+                i = i[i + step < len(sig)]
+                i = i[sig[i] == sig[i + step]]
                 j = i + step
                 fits = (100 * most[i] >= by.percent * least[j]) & (100 * most[j] >= by.percent * least[i])
                 if apart:
                     fits &= part[i] != part[j]
-                i, j = i[fits], j[fits]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], ["a", "b"])
+                # sets that share no rare shingle differ in all of them, and in what they have more of the others
+                differ = low[i] + low[j] + np.abs((least[i] - low[i]) - (least[j] - low[j]))
+                near = differ * (100 + by.percent) <= (100 - by.percent) * (least[i] + least[j])
+                fits &= (low[i] < 0) | ~(alone[i] & alone[j]) | near
+                a, b = i[fits], j[fits]
+                if len(a):
+                    more = np.where((low[a] == PREFIX) | (low[b] == PREFIX), _more(np.minimum(least[a], least[b])), 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b])), pa.array(1 + more)], ["a", "b", "need"]
+                    )
                 step += 1
 
         for batch in batches:
@@ -284,9 +354,11 @@ def candidates(signed: DataFrame, by: Similarity, apart: bool = False) -> DataFr
             held = [x[cut:] for x in rows]
         yield from within(*held)
 
-    exploded = signed.select("key", "part", "n", "signatures").mapInArrow(unpack, "sig long, key long, part long, n long")
+    exploded = signed.select("key", "part", "n", "rare", "signatures", "combinations").mapInArrow(unpack, ", ".join(f"{c} long" for c in names))
     ordered = exploded.repartition("sig").sortWithinPartitions("sig", "key")
-    return ordered.mapInArrow(pairs, "a long, b long").distinct()
+    found = ordered.mapInArrow(pairs, "a long, b long, need long")
+    shared = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
+    return shared.where("shared >= need").select("a", "b")
 
 
 def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, by: Similarity) -> DataFrame:
@@ -345,20 +417,22 @@ def jaccard_components(docs: DataFrame, by: Similarity | None = None) -> DataFra
         ),
         "sets",
     )
-    star = park(stars(docs, nodes, "least1", by), "stars-1")
+    found1 = park(stars(docs, nodes, "least1", by), "stars-1")
+    star = found1.where("sid is not null")
     taken = star.select("sid").union(star.select("center")).distinct()
     second = park(nodes.join(taken, "sid", "left_anti"), "without-star")
-    star = park(star.unionByName(stars(docs, second, "least2", by)).dropDuplicates(["sid"]), "stars")
+    found2 = park(stars(docs, second, "least2", by), "stars-2")
+    star = park(star.unionByName(found2.where("sid is not null")).dropDuplicates(["sid"]), "stars")
     members = park(
         nodes.join(star.select("sid", "center", (1 - F.col("shared") / (F.col("n") + F.col("center_n") - F.col("shared"))).alias("far")), "sid", "left")
         .select("doc_id", "sid", F.coalesce("center", "sid").alias("center"), F.coalesce("far", F.lit(0.0)).alias("far")),
         "members",
     )
     centers = members.where("sid = center")
-    common = frequent(described, centers)
+    common = frequent(described, centers, found1.unionByName(found2).where("sid is null").select("token"))
     signed = park(
         signatures(docs, by, common).where("sid is not null").join(members.select("doc_id", "sid", "center"), ["doc_id", "sid"])
-        .select("sid", F.col("center").alias("key"), F.lit(0).cast("long").alias("part"), "n", "signatures"),
+        .select("sid", F.col("center").alias("key"), F.lit(0).cast("long").alias("part"), "n", "rare", "signatures", "combinations"),
         "signed",
     )
     seen = park(compare(docs, nodes, candidates(signed, by), by), "center-pairs")
@@ -400,7 +474,7 @@ def _between_members(
     """Links, as pairs of centers, between members of stars that centers and radii left undecided."""
     involved = unsure.select(F.col("a").alias("center"), F.col("ca").alias("comp")).union(unsure.select("b", "cb")).distinct()
     mine = park(members.join(involved, "center").select("sid", "center", "comp"), "undecided")
-    part = signed.join(mine, "sid").select(F.col("sid").alias("key"), F.col("comp").alias("part"), "n", "signatures")
+    part = signed.join(mine, "sid").select(F.col("sid").alias("key"), F.col("comp").alias("part"), "n", "rare", "signatures", "combinations")
     pairs = candidates(part, by, apart=True)
     where = mine.select("sid", "center")
     asked = (

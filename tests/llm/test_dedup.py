@@ -49,6 +49,7 @@ def test_ngram_join_between_stars(spark, monkeypatch):
     """With a center for each group only, links between members of different stars decide."""
     monkeypatch.setattr(ngram_join, "FREQUENT", 1)
     monkeypatch.setattr(ngram_join, "GROUP", 4)
+    monkeypatch.setattr(ngram_join, "CENTERS", 1)
     docs = [d for d in texts(11) if d[0] is not None and 40 <= d[0] < 90] + [(None, "one two three"), (300, "one two three")]
     got = ngram_join.jaccard_components(spark.createDataFrame(rows(docs), SCHEMA), ngram_join.Similarity(90, 3)).collect()
     expected = components([d for d in docs if d[0] is not None], 90, 3)
