@@ -112,6 +112,19 @@ class Store:
             self.write("schema_migrations", self.read("schema_migrations").unionByName(rows.withColumn("applied_at", F.current_timestamp())))
         return [m[0] for m in fresh]
 
+    def analyze(self, prefix: str = "effectql_") -> list[str]:
+        """Register the newest versions as catalog tables and gather statistics of all their columns; returns the names."""
+        names = []
+        for name in SCHEMAS:
+            versions = self._versions(name)
+            if versions:
+                table = f"{prefix}{name}"
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                self.spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{versions[-1]}'")
+                self.spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+                names.append(table)
+        return names
+
     def audit(self) -> DataFrame:
         """table, problem and n: keys that occur twice, and children without parent."""
         parts = []

@@ -1,4 +1,4 @@
-"""Command line: ingest, effects, effects-show, search, card, stats, check."""
+"""Command line: ingest, effects, effects-show, search, card, stats, check, analyze."""
 
 from __future__ import annotations
 
@@ -64,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--raw", action="store_true")
     sub.add_parser("stats")
     sub.add_parser("check")
+    sub.add_parser("analyze")
     return p
 
 
@@ -78,6 +79,8 @@ def run(argv: list[str], spark: SparkSession, config: Config) -> object:
         return ingest.build_effects(store)
     if args.command == "stats":
         return stats(store)
+    if args.command == "analyze":
+        return store.analyze()
     if args.command == "check":
         return [r.asDict() for r in store.audit().collect()]
     tools = Tools(store)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .functions import vocab as V
 from .operators import aggregates as A
-from .operators import dml
+from .operators import dml, extract
 from .plans.ast import Exists, Field, Query, all_of, any_of, negate
 from .plans.compile import LOWER, UPPER, Compiler, fold
+from .plans.filters import parse_filters
 from .plans.retail import MODEL, load
 from .plans.sqlprint import Printer
 
@@ -554,3 +555,53 @@ def validator_violations(spark, sf_dir):
     """One scan: each row gives the checks that it breaks."""
     broken = F.array_compact(F.array(*(F.when(F.expr(c), F.struct(F.lit(level).alias("level"), F.lit(m).alias("message"))) for m, (level, c) in _CHECKS.items())))
     return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.inline(broken))
+
+
+# -- front ends and the extraction of card texts
+
+_filtered = parse_filters(["segment=building", "balance>=0", "effect.size<=3", "clause.returnflag=r", "effect.bound<=10"], MODEL)
+query("filter_shorthand", Printer(MODEL).keys(_filtered))(lambda spark, sf_dir: Compiler(MODEL, load(spark, sf_dir)).matched(_filtered).select("c_custkey"))
+
+_TEXTS = (
+    (1, "这个卡名的效果1回合只能使用1次。①：把墓地的1只光属性怪兽除外才能发动。从额外卡组特殊召唤1只龙族怪兽。"),
+    (2, "①：自己从卡组抽1张卡，那之后自己墓地的1只怪兽除外。②：谜。"),
+)
+
+
+def _parsed(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(i, x, None, False) for i, x in _TEXTS], "card_id long, desc string, pdesc string, pendulum boolean")
+    return extract.extract(rows)
+
+
+@query(
+    "zh_units",
+    "SELECT * FROM (VALUES (1::BIGINT, 0, 'RESTRICTION', NULL, 'OK'), (1, 1, 'NUMBERED', '①', 'OK'), (2, 0, 'NUMBERED', '①', 'OK'), (2, 1, 'NUMBERED', '②', 'UNRESOLVED')) v(card_id, unit_index, kind, marker, parse_status)",
+)
+def zh_units(spark, sf_dir):
+    return extract.effect_tables(_parsed(spark))["effect_unit"].select("card_id", "unit_index", "kind", "marker", "parse_status")
+
+
+@query(
+    "zh_clauses",
+    """SELECT * FROM (VALUES (1::BIGINT, 0, 'RESTRICTION', '这个卡名的效果1回合只能使用1次。'), (1, 0, 'COST', '把墓地的1只光属性怪兽除外'), (1, 1, 'RESOLUTION', '从额外卡组特殊召唤1只龙族怪兽'),
+    (2, 0, 'RESOLUTION', '自己从卡组抽1张卡，那之后自己墓地的1只怪兽除外'), (2, 0, 'RESOLUTION', '谜')) v(card_id, clause_index, role, clause_text)""",
+)
+def zh_clauses(spark, sf_dir):
+    return extract.effect_tables(_parsed(spark))["effect_clause"].select("card_id", "clause_index", "role", "clause_text")
+
+
+@query(
+    "zh_predicates",
+    """SELECT * FROM (VALUES (1::BIGINT, NULL, NULL, NULL, NULL, NULL, 0.15::DOUBLE), (1, 'BANISH', 'GRAVEYARD', 'BANISHED', 'LIGHT', NULL, 1.0), (1, 'SPECIAL_SUMMON', 'EXTRA_DECK', 'MONSTER_ZONE', NULL, 'DRAGON', 1.0),
+    (2, 'DRAW', 'DECK', 'HAND', NULL, NULL, 1.0), (2, 'BANISH', 'GRAVEYARD', 'BANISHED', NULL, NULL, 1.0), (2, NULL, NULL, NULL, NULL, NULL, 0.15))
+    v(card_id, action, source_zone, destination_zone, object_attribute, object_race, confidence)""",
+)
+def zh_predicates(spark, sf_dir):
+    return extract.effect_tables(_parsed(spark))["effect_predicate"].select(
+        "card_id", "action", "source_zone", "destination_zone", "object_attribute", "object_race", "confidence"
+    )
+
+
+@query("zh_violations", "SELECT 1::BIGINT AS card_id, '' AS message WHERE false")
+def zh_violations(spark, sf_dir):
+    return extract.violations(_parsed(spark)).where("level = 'error'").select("card_id", "message")

@@ -138,6 +138,11 @@ def test_ingest_again_updates_in_place(store, tmp_path):
     assert payload["name"] == POOL[payload["id"] - 1001][0]
 
 
+def test_statistics(store):
+    assert "effectql_card" in store.analyze()
+    assert store.spark.table("effectql_card").count() == 7
+
+
 def test_migrations(store):
     assert store.migrate() == []
     with pytest.raises(MigrationError):
