@@ -1,11 +1,13 @@
 """Sharding by balanced label propagation.
 
-Linked documents start in shards dealt by a hash. In each round they see where their neighbours lie and
-move to the shard of most of them, as far as its quota allows. Documents without links then fill every
-shard up to its exact size.
-
-Links are given as (node, hub) rows: nodes of a hub are linked with each other. Hubs larger than half a
-quota are parted beforehand (they cannot stay whole, and so no key of a join is hot).
+Linked documents start in shards dealt by a hash. Each group of them sees where its members lie and asks
+for the shard of most of them; shards let groups in as far as their places go. Places of members that lie
+elsewhere, or that leave, count as free, so that full shards exchange members. Groups that were refused
+ask again among the shards that still have room for them, until none is left. The few largest groups and
+the last ones are seated one by one, largest first. Documents without links then fill every shard up to
+its exact size.
+
+Links are given as a hub of each node: nodes of a hub are linked with each other.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import numbered, park, table
 
-#: Buckets in which moves into a shard are admitted.
+#: Buckets in which groups are let into a shard.
 ADMISSION = 512
+#: Groups with more than this share of a shard are seated one by one (there are at most shards x LARGE), and the last LAST groups.
+LARGE, LAST = 16, 4096
 
 
 def _place(amounts: list[int], number: Column) -> Column:
@@ -29,84 +33,103 @@ def _place(amounts: list[int], number: Column) -> Column:
 
 
 def linked(nodes: DataFrame, quota: int, hub: str) -> DataFrame:
-    """(node, hub) of hubs with two nodes or more; hubs over half the quota in parts of at most about that size."""
+    """(node, hub) of nodes with a hub; hubs over half the quota in parts of at most about that size."""
     most = max(1, quota // 2)
-    sizes = nodes.where(F.col(hub).isNotNull()).groupBy(hub).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = park(sizes.where("__n > 1"), "hub-sizes")
-    large = sizes.where(F.col("__n") > most)  # fewer than nodes / most of them, about twice the shards
+    known = nodes.where(F.col(hub).isNotNull()).select("node", F.xxhash64(hub).alias("hub"))
+    large = park(known.groupBy("hub").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most), "large-hubs")
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("__n") / most).cast("int"))
-    marked = nodes.select("node", F.col(hub)).join(F.broadcast(large), hub, "left")
-    parted = marked.where("__n is not null").select("node", F.xxhash64(hub, part).alias("hub"))
-    whole = (
-        marked.where("__n is null").drop("__n").hint("merge").join(sizes.where(F.col("__n") <= most), hub, "left_semi")
-        .select("node", F.xxhash64(hub).alias("hub"))
-    )
-    return whole.unionByName(parted)
+    marked = known.join(F.broadcast(large), "hub", "left")
+    return marked.select("node", F.when(F.col("__n").isNull(), F.col("hub")).otherwise(F.xxhash64("hub", part)).alias("hub"))
 
 
-def propagate(edges: DataFrame, shards: int, quota: int, rounds: int = 4) -> DataFrame:
-    """(node, shard) for the nodes of ``edges`` (node, hub), after ``rounds`` of moves under ``quota`` nodes a shard."""
-    spark = edges.sparkSession
-    labels = park(
-        edges.select("node").distinct().withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")), "labels-0"
-    )
-    for k in range(1, rounds + 1):
-        held = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        room = spark.createDataFrame([(s, max(0, quota - held.get(s, 0))) for s in range(shards)], "shard int, room long")
-        seen = edges.join(labels, "node")
-        votes = seen.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("votes"))
+def seat(groups: list[tuple[int, int]], free: list[int]) -> list[tuple[int, int, int, int]]:
+    """(hub, from, to, shard) for groups (hub, size), largest first; takes their places from ``free``.
+
+    A group goes where it leaves least room, or, if it fits nowhere, fills the emptiest shards first.
+    """
+    out = []
+    for hub, n in sorted(groups, key=lambda g: (-g[1], g[0])):
+        at = 0
+        while at < n:
+            fits = [s for s, room in enumerate(free) if room >= n - at]
+            s = min(fits, key=free.__getitem__) if fits else max(range(len(free)), key=free.__getitem__)
+            taken = min(n - at, free[s])
+            out.append((hub, at, at + taken, s))
+            free[s] -= taken
+            at += taken
+    return out
+
+
+def propagate(groups: DataFrame, free: list[int]) -> tuple[list[DataFrame], list[tuple[int, int]]]:
+    """Tables (hub, shard) of groups that were let in, and the groups (hub, size), at most LAST, that were not.
+
+    ``groups``: hub, n and how many members lie in which shard, votes (array of votes, shard). Takes the
+    places of those let in from ``free``. Should more than LAST groups fit nowhere, they are in neither.
+    """
+    spark = groups.sparkSession
+    placed, k, left = [], 0, groups.count()
+    while left > LAST:
+        k += 1
+        room = F.array(*(F.lit(x).cast("long") for x in free))
         # most votes; among equals, by a hash, so that equal groups don't all want the same shard
-        liked = (
-            votes.join(F.broadcast(room), "shard")
-            .groupBy("hub").agg(F.max(F.struct(
-                (F.col("room") > 0).alias("open"), "votes", F.xxhash64("hub", "shard").alias("tie"), "shard",
-            )).alias("best"))
-            .select("hub", F.col("best.shard").alias("target"), F.col("best.votes").alias("votes"))
-        )
-        wanted = (
-            seen.join(liked, "hub").groupBy("node", "shard", "target").agg(F.sum("votes").alias("votes"), F.min("hub").alias("hub"))
-            .groupBy("node", "shard").agg(F.max(F.struct("votes", "target", "hub")).alias("best"))
-            .select("node", "shard", "best.target", F.pmod(F.xxhash64("best.hub", F.lit(k)), F.lit(ADMISSION)).alias("bucket"))
-        )
-        wanted = park(wanted, f"moves-{k}")
-        asked = wanted.where("shard <> target").groupBy("target", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-        # shards x ADMISSION counts: buckets are let in while they fit, the first that doesn't in part
-        shares = []
-        free = {s: max(0, quota - held.get(s, 0)) for s in range(shards)}
+        open_ = F.filter("votes", lambda v: F.element_at(room, v["shard"] + 1) >= F.col("n"))
+        liked = F.array_max(F.transform(open_, lambda v: F.struct(v["votes"].alias("votes"), F.xxhash64("hub", v["shard"], F.lit(k)).alias("tie"), v["shard"].alias("shard"))))
+        anywhere = _place(free, F.pmod(F.xxhash64("hub", F.lit(-k)), F.lit(max(1, sum(free)))))
+        wanted = groups.select(
+            "*", F.coalesce(liked["shard"], anywhere).alias("target"), F.pmod(F.xxhash64("hub", F.lit(1000 + k)), F.lit(ADMISSION)).alias("bucket")
+        )
+        asked = wanted.groupBy("target", "bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).collect()
+        let_in = []  # of shards x ADMISSION counts those that fit, the largest first
         for r in sorted(asked, key=lambda r: (r["target"], -r["n"], r["bucket"])):
-            share = 1.0 if r["n"] <= free[r["target"]] else 0.95 * free[r["target"]] / r["n"]
-            free[r["target"]] -= min(r["n"], free[r["target"]])
-            shares.append((r["target"], r["bucket"], share))
-        share = spark.createDataFrame(shares or [(-1, 0, 0.0)], "target int, bucket long, share double")
-        luck = F.pmod(F.xxhash64("node", F.lit(1000 + k)), F.lit(1 << 20)) / float(1 << 20)
-        moved = wanted.join(F.broadcast(share), ["target", "bucket"], "left")
-        labels = park(
-            moved.select("node", F.when((F.col("shard") != F.col("target")) & (luck < F.col("share")), F.col("target")).otherwise(F.col("shard")).alias("shard")),
-            f"labels-{k}",
-        )
-    return labels
-
-
-def shard_rows(nodes: DataFrame, shards: int, hub: str = "hub", rounds: int = 4) -> DataFrame:
+            if r["target"] < len(free) and r["n"] <= free[r["target"]]:
+                free[r["target"]] -= r["n"]
+                left -= r["groups"]
+                let_in.append((r["target"], r["bucket"], r["target"]))
+        if not let_in:
+            return placed, []
+        admitted = spark.createDataFrame(let_in, "target int, bucket long, shard int")
+        after = park(wanted.join(F.broadcast(admitted), ["target", "bucket"], "left").select("hub", "n", "votes", "shard"), f"groups-{k}")
+        placed.append(after.where("shard is not null").select("hub", "shard"))
+        groups = after.where("shard is null").select("hub", "n", "votes")
+    return placed, [(r["hub"], r["n"]) for r in groups.select("hub", "n").collect()]
+
+
+def shard_rows(nodes: DataFrame, shards: int, hub: str = "hub") -> DataFrame:
     """Adds shard and slot to ``nodes`` (unique column ``node``): counts at most one apart, slots gapless.
 
     Rows of equal ``hub`` are linked; a null hub links with nothing. ``nodes`` is read several times and
     should be parked. An empty table gives no rows.
     """
+    spark = nodes.sparkSession
     total = nodes.count()
-    targets = [total // shards + (s < total % shards) for s in range(shards)]
-    edges = park(linked(nodes, min(targets), hub), "edges")
-    labels = propagate(edges, shards, min(targets), rounds)
-    ranked = park(numbered(labels, ["shard"], ["node"], "__rank"), "ranked")
-    held = {r["shard"]: r["n"] for r in ranked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    limit = F.array(*map(F.lit, targets))
-    stay = ranked.where(F.col("__rank") < F.element_at(limit, F.col("shard") + 1)).select("node", "shard")
-    rest = park(nodes.select("node").join(stay, "node", "left_anti"), "unlinked")
-    free = [t - min(t, held.get(s, 0)) for s, t in enumerate(targets)]
-    filled = numbered(rest.withColumn("__one", F.lit(0)), ["__one"], ["node"], "__number", buckets=4096).select(
+    free = [total // shards + (s < total % shards) for s in range(shards)]
+    most = max(1, max(free) // LARGE)
+    known = park(linked(nodes, min(free), hub), "edges")
+    votes = known.groupBy("hub", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("votes"))
+    groups = votes.groupBy("hub").agg(F.sum("votes").alias("n"), F.collect_list(F.struct("votes", "shard")).alias("votes"))
+    groups = park(groups.where("n > 1"), "groups")
+    seats = seat([(r["hub"], r["n"]) for r in groups.where(F.col("n") > most).select("hub", "n").collect()], free)
+    placed, last = propagate(groups.where(F.col("n") <= most), free)
+    seats += seat(last, free)
+    parted = {h for h, start, _, _ in seats if start}
+    seated = spark.createDataFrame([(h, None if h in parted else s, True) for h, start, _, s in seats if not start], "hub long, shard int, seated boolean")
+    pieces = spark.createDataFrame([x for x in seats if x[0] in parted], "hub long, start long, end long, shard int")
+    let_in = spark.createDataFrame([], "hub long, shard int")
+    for x in placed:
+        let_in = let_in.unionByName(x)
+    marked = known.join(F.broadcast(seated), "hub", "left")
+    split = park(marked.where("seated and shard is null").select("node", "hub"), "parted")  # hubs: fewer than shards
+    split = numbered(split, ["hub"], ["node"], "__number").join(F.broadcast(pieces), "hub").where("__number >= start and __number < end")
+    labels = park(
+        marked.where("shard is not null").select("node", "shard").unionByName(split.select("node", "shard"))
+        .unionByName(marked.where("seated is null").select("node", "hub").join(let_in, "hub", "left").select("node", "shard"))
+        .unionByName(nodes.where(F.col(hub).isNull()).select("node", F.lit(None).cast("int").alias("shard"))),
+        "labels",
+    )
+    filled = numbered(labels.where("shard is null").select("node", F.lit(0).alias("__one")), ["__one"], ["node"], "__number", buckets=4096).select(
         "node", _place(free, F.col("__number")).alias("shard")
     )
-    placed = park(stay.unionByName(filled), "placed")
+    placed = park(labels.where("shard is not null").unionByName(filled), "placed")
     return nodes.join(numbered(placed, ["shard"], ["node"], "slot", buckets=256), "node")
 
 
@@ -116,7 +139,7 @@ def cut_groups(placed: DataFrame, hub: str = "hub") -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("shards") == 1).alias("whole"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: the law ``rows``.
 
     Size is the UTF-8 length of the text (null: none) plus 8. Rows of equal text are linked; null counts
@@ -131,7 +154,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataF
         ).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    return shard_rows(nodes, shards, "hub", rounds).select(
+    return shard_rows(nodes, shards, "hub").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 

@@ -85,6 +85,16 @@ def test_sharding(spark):
     assert sum(len(groups[t]) == 1 for t in small) >= 0.8 * len(small)
 
 
+@pytest.mark.parametrize("last", [4, 4096])
+def test_sharding_of_copies_only(spark, monkeypatch, last):
+    """Where every text occurs twice, shards are full and exchange members."""
+    monkeypatch.setattr(sharding, "LAST", last, raising=False)
+    docs = [(i, f"text {i % 600}") for i in range(1200)]
+    placed = sharding.shard_documents(spark.createDataFrame(rows(docs), SCHEMA), shards=6)
+    assert sorted(r["count"] for r in placed.groupBy("shard").count().collect()) == [200] * 6
+    assert sharding.cut_groups(placed, "text_crc32").collect() == [(600, 600)]
+
+
 def test_sharding_of_few_rows(spark):
     got = sharding.shard_documents(spark.createDataFrame(rows([(1, "a"), (2, "a")]), SCHEMA), shards=4).collect()
     assert len(got) == 2 and len({r["shard"] for r in got}) == 2
