@@ -32,16 +32,6 @@ def _place(amounts: list[int], number: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, ends)), lambda x: x <= number))
 
 
-def linked(nodes: DataFrame, quota: int, hub: str) -> DataFrame:
-    """(node, hub) of nodes with a hub; hubs over half the quota in parts of at most about that size."""
-    most = max(1, quota // 2)
-    known = nodes.where(F.col(hub).isNotNull()).select("node", F.xxhash64(hub).alias("hub"))
-    large = park(known.groupBy("hub").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most), "large-hubs")
-    part = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("__n") / most).cast("int"))
-    marked = known.join(F.broadcast(large), "hub", "left")
-    return marked.select("node", F.when(F.col("__n").isNull(), F.col("hub")).otherwise(F.xxhash64("hub", part)).alias("hub"))
-
-
 def seat(groups: list[tuple[int, int]], free: list[int]) -> list[tuple[int, int, int, int]]:
     """(hub, from, to, shard) for groups (hub, size), largest first; takes their places from ``free``.
 
@@ -104,7 +94,7 @@ def shard_rows(nodes: DataFrame, shards: int, hub: str = "hub") -> DataFrame:
     total = nodes.count()
     free = [total // shards + (s < total % shards) for s in range(shards)]
     most = max(1, max(free) // LARGE)
-    known = park(linked(nodes, min(free), hub), "edges")
+    known = park(nodes.where(F.col(hub).isNotNull()).select("node", F.xxhash64(hub).alias("hub")), "edges")
     votes = known.groupBy("hub", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("votes"))
     groups = votes.groupBy("hub").agg(F.sum("votes").alias("n"), F.collect_list(F.struct("votes", "shard")).alias("votes"))
     groups = park(groups.where("n > 1"), "groups")

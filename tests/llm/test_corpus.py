@@ -95,6 +95,18 @@ def test_sharding_of_copies_only(spark, monkeypatch, last):
     assert sharding.cut_groups(placed, "text_crc32").collect() == [(600, 600)]
 
 
+def test_sharding_of_large_groups(spark):
+    """A group that fits a shard is whole, one that doesn't lies in as few as possible."""
+    texts = ["a"] * 100 + ["b"] * 90 + ["c"] * 60 + ["d"] * 250 + [f"text {i}" for i in range(100)]
+    placed = sharding.shard_documents(spark.createDataFrame(rows(list(enumerate(texts))), SCHEMA), shards=6)
+    assert [r["count"] for r in placed.groupBy("shard").count().collect()] == [100] * 6
+    found = {zlib.crc32(t.encode()): t for t in "abcd"}
+    shards = defaultdict(set)
+    for r in placed.collect():
+        shards[found.get(r["text_crc32"])].add(r["shard"])
+    assert [len(shards[t]) for t in "abcd"] == [1, 1, 1, 3]
+
+
 def test_sharding_of_few_rows(spark):
     got = sharding.shard_documents(spark.createDataFrame(rows([(1, "a"), (2, "a")]), SCHEMA), shards=4).collect()
     assert len(got) == 2 and len({r["shard"] for r in got}) == 2
