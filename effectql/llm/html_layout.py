@@ -22,7 +22,15 @@ from .common import prepare, table, text_slices
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "xmp", "iframe", "noembed", "noframes"}
 ESCAPABLE_RAW = {"textarea", "title"}
-HIDDEN = set("head title script style template noscript noembed noframes iframe datalist audio video canvas object svg math select".split())
+HIDDEN = set("head title script style template noscript noembed noframes iframe datalist audio video canvas object".split())
+#: Parts of graphics and formulas that are not drawn where they stand.
+UNDRAWN = set("defs symbol clippath mask marker pattern lineargradient radialgradient filter metadata desc annotation annotation-xml".split())
+#: Elements of graphics and formulas with page content, and tags that end a graphic or formula.
+POINTS = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = set(
+    "b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby "
+    "s small span strong strike sub sup table tt u ul var".split()
+)
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup html hr legend li listing main menu nav ol optgroup option p plaintext pre search "
@@ -55,15 +63,22 @@ _token = re.compile(
     re.DOTALL,
 )
 _attribute = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.DOTALL)
-_invisible = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_invisible = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_visibility = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\b", re.I)
 _space = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "kind", "tag")
 
-    def __init__(self, tag: str, attributes: str = ""):
+    def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
         self.tag, self.attributes, self.children = tag, attributes, []
+        #: "svg" or "math" in a graphic or formula, "text" in a drawn text of a graphic, else empty.
+        self.kind = "" if parent is None or parent.tag in POINTS else parent.kind
+        if tag in ("svg", "math"):
+            self.kind = tag
+        elif tag == "text" and self.kind == "svg":
+            self.kind = tag
 
     def get(self, name: str) -> str | None:
         """The value of an attribute, empty for one without value, None where it is missing."""
@@ -158,6 +173,9 @@ def parse(source: str) -> Node:
             continue
         if body is None and tag not in HEAD_ONLY and not (stack[-1] is not head and len(stack) > 2):
             into_body()
+        if tag in BREAKS_OUT:
+            while stack[-1].kind and stack[-1].tag not in POINTS:
+                stack.pop()
         if tag in CLOSES_P:
             close({"p"}, SCOPE | {"button"})
         if tag in IMPLIED_END:
@@ -166,9 +184,9 @@ def parse(source: str) -> Node:
                 row = Node("tr")
                 stack[-1].children.append(row)
                 stack.append(row)
-        node = Node(tag, m[3])
+        node = Node(tag, m[3], stack[-1])
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or node.kind and m[3].endswith("/"):
             continue
         if tag in RAW or tag in ESCAPABLE_RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
@@ -185,8 +203,8 @@ def parse(source: str) -> Node:
 
 
 def hidden(node: Node) -> bool:
-    """Whether a page shows nothing of the element."""
-    if node.tag in HIDDEN:
+    """Whether a page shows nothing of the element and of what it holds."""
+    if node.tag in HIDDEN or node.kind and node.tag in UNDRAWN:
         return True
     if not node.attributes:
         return False
@@ -195,6 +213,34 @@ def hidden(node: Node) -> bool:
     return bool(_invisible.search(node.get("style") or ""))
 
 
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text is visible: what it says, else as above it."""
+    style = node.get("style") if node.attributes else None
+    said = _visibility.findall(style) if style else []
+    return said[-1].lower() in ("visible", "initial") if said else inherited
+
+
+def _options(select: Node, seen: bool) -> tuple[list[str], list[str]]:
+    """The lines of a list box, and the labels of options that are marked as selected."""
+    lines, selected, todo = [], [], [(x, seen) for x in reversed(select.children)]
+    while todo:
+        x, above = todo.pop()
+        if isinstance(x, str) or hidden(x):
+            continue
+        shown = visible(x, above)
+        if x.tag == "option":
+            label = x.get("label") or " ".join("".join(t for t in _flat(x, True) if isinstance(t, str)).split())
+            if shown:
+                lines.append(label)
+                if x.get("selected") is not None:
+                    selected.append(label)
+        else:
+            if x.tag == "optgroup" and shown and x.get("label"):
+                lines.append(x.get("label"))
+            todo.extend((c, shown) for c in reversed(x.children))
+    return lines, selected
+
+
 def columns_of(text: str) -> int:
     """Places a line takes: two for wide characters, none for combining marks."""
     if text.isascii():
@@ -243,9 +289,9 @@ class _Layout:
         self.gap = True
 
 
-def _block(node: Node, kept: bool = False) -> list[str]:
+def _block(node: Node, kept: bool = False, seen: bool = True) -> list[str]:
     out = _Layout()
-    _walk(node, out, kept, 0)
+    _walk(node, out, kept, 0, seen)
     out.end_line()
     return out.lines
 
@@ -254,29 +300,42 @@ def _block(node: Node, kept: bool = False) -> list[str]:
 DEEPEST = 150
 
 
-def _flat(node: Node) -> Iterator[Node | str]:
-    """Texts and breaks below a node, without recursion."""
-    todo = [node]
+def _flat(node: Node, seen: bool) -> Iterator[Node | str]:
+    """Visible texts, breaks and form elements below a node, without recursion."""
+    todo: list[tuple[Node | str, bool]] = [(node, seen)]
     while todo:
-        x = todo.pop()
-        if isinstance(x, str) or x.tag in VOID:
+        x, above = todo.pop()
+        if isinstance(x, str):
             yield x
+            continue
+        shown = above if x is node else visible(x, above)
+        if x.tag in VOID or x.tag == "select" and x is not node:
+            if shown:
+                yield x
         elif x is node or not hidden(x):
-            if x is not node and x.tag in BLOCK:
-                todo.append(Node("br"))
-            todo.extend(reversed(x.children))
-            if x is not node and x.tag in BLOCK:
-                todo.append(Node("br"))
-
-
-def _walk(node: Node, out: _Layout, kept: bool, depth: int) -> None:
-    for child in node.children if depth < DEEPEST else _flat(node):
+            apart = None if x is node else Node("br") if x.tag in BLOCK or x.tag == "mtr" else " " if x.kind == "text" and x.tag == "text" or x.tag in ("mfrac", "mtd") else None
+            if apart:
+                todo.append((apart, above))
+            drawn = shown and x.kind != "svg"
+            todo.extend((c, shown) for c in reversed(x.children) if drawn or not isinstance(c, str))
+            if apart:
+                todo.append((apart, above))
+
+
+def _walk(node: Node, out: _Layout, kept: bool, depth: int, seen: bool) -> None:
+    flat = depth >= DEEPEST
+    drawn = flat or seen and node.kind != "svg"
+    for child in _flat(node, seen) if flat else node.children:
         if isinstance(child, str):
-            out.write(child, kept)
+            if drawn:
+                out.write(child, kept)
             continue
         if hidden(child):
             continue
         tag = child.tag
+        shown = visible(child, seen or flat)
+        if (tag in VOID or tag == "select") and not shown:
+            continue
         if tag == "br":
             out.end_line(always=True)
         elif tag == "hr":
@@ -289,34 +348,45 @@ def _walk(node: Node, out: _Layout, kept: bool, depth: int) -> None:
             kind = (child.get("type") or "text").lower()
             if kind not in ("hidden", "password", "checkbox", "radio", "file", "image"):
                 out.write(" " + (child.get("value") or "") + " ")
+        elif tag == "select":
+            lines, selected = _options(child, shown)
+            if child.get("multiple") is not None or re.fullmatch(r"0*([2-9]|[1-9]\d+)", (child.get("size") or "").strip()):
+                out.end_line()
+                out.put(lines)
+            elif selected:
+                out.write(" " + selected[-1] + " ")
         elif tag in ("ul", "ol", "menu", "dir"):
             out.end_line() if tag == "dir" or node.tag == "li" else out.space()
-            out.put(_list(child, kept))
+            out.put(_list(child, kept, shown))
             out.gap = node.tag != "li"
         elif tag == "table":
             out.space()
-            out.put(_table(child, kept))
+            out.put(_table(child, kept, shown))
             out.gap = True
         elif tag in ("pre", "listing", "xmp", "textarea"):
             out.space()
-            lines = _block(child, True)
+            lines = _block(child, True, shown)
             while lines and not lines[0]:
                 lines = lines[1:]
             out.put(lines)
             out.gap = True
         elif tag in ("blockquote", "dd"):
             out.space() if tag == "blockquote" else out.end_line()
-            out.put(["  " + x if x else x for x in _block(child, kept)])
+            out.put(["  " + x if x else x for x in _block(child, kept, shown)])
             out.gap = tag == "blockquote"
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "mtr":
             out.space() if tag in SPACED else out.end_line()
-            _walk(child, out, kept, depth + 1)
+            _walk(child, out, kept, depth + 1, shown)
             out.space() if tag in SPACED else out.end_line()
         else:
-            _walk(child, out, kept, depth + 1)
+            # texts of a graphic, parts of a fraction and cells of a formula stand apart
+            apart = " " if tag == "text" and child.kind == "text" or tag == "mtd" or node.tag == "mfrac" else ""
+            out.write(apart)
+            _walk(child, out, kept, depth + 1, shown)
+            out.write(apart)
 
 
-def _list(node: Node, kept: bool) -> list[str]:
+def _list(node: Node, kept: bool, seen: bool) -> list[str]:
     start = node.get("start") if node.attributes else None
     number = int(start) if start and re.fullmatch(r"-?\d{1,9}", start.strip()) else 1
     lines: list[str] = []
@@ -328,7 +398,7 @@ def _list(node: Node, kept: bool) -> list[str]:
             if not isinstance(child, str) and hidden(child):
                 continue
             loose.children = [child]
-            lines += ["  " + x if x else x for x in _block(loose, kept)]
+            lines += ["  " + x if x else x for x in _block(loose, kept, seen)]
             continue
         if hidden(child):
             continue
@@ -337,7 +407,12 @@ def _list(node: Node, kept: bool) -> list[str]:
             number = int(value)
         mark = f"{number}. " if node.tag == "ol" else "- "
         number += 1
-        inner = _block(child, kept) or [""]
+        shown = visible(child, seen)
+        inner = _block(child, kept, shown)
+        if not shown:  # neither its mark
+            lines += [" " * len(mark) + x if x else x for x in inner]
+            continue
+        inner = inner or [""]
         lines.append((mark + inner[0]).rstrip())
         lines += [" " * len(mark) + x if x else x for x in inner[1:]]
     return lines
@@ -348,34 +423,34 @@ def _span(node: Node, name: str) -> int:
     return max(1, min(1000, int(value))) if value and re.fullmatch(r"\d{1,6}", value.strip()) else 1
 
 
-def _table(node: Node, kept: bool) -> list[str]:
+def _table(node: Node, kept: bool, seen: bool) -> list[str]:
     """Rows as lines with aligned columns; cells keep their own lines, spans cover what they span."""
     above: list[str] = []
-    rows: dict[str, list[Node]] = {"thead": [], "tbody": [], "tfoot": []}
+    rows: dict[str, list[tuple[Node, bool]]] = {"thead": [], "tbody": [], "tfoot": []}
 
-    def gather(x: Node, part: str) -> None:
+    def gather(x: Node, part: str, seen: bool) -> None:
         for c in x.children:
             if isinstance(c, str):
-                if c.strip():
+                if seen and c.strip():
                     above.append(_space.sub(" ", c).strip())
             elif hidden(c):
                 continue
             elif c.tag == "tr":
-                rows[part].append(c)
+                rows[part].append((c, visible(c, seen)))
             elif c.tag in rows:
-                gather(c, c.tag)
+                gather(c, c.tag, visible(c, seen))
             elif c.tag not in ("colgroup", "col"):
-                above.extend(_block(c, kept))
+                above.extend(_block(c, kept, visible(c, seen)))
 
-    gather(node, "tbody")
+    gather(node, "tbody", seen)
     ordered = rows["thead"] + rows["tbody"] + rows["tfoot"]
     grid: list[list[tuple[int, int, list[str]]]] = []
     covered: dict[int, int] = {}
-    for row in ordered:
+    for row, shown in ordered:
         at, cells, next_covered = 0, [], {c: n - 1 for c, n in covered.items() if n > 1}
         for c in row.children:
             if isinstance(c, str):
-                if c.strip():
+                if shown and c.strip():
                     above.append(_space.sub(" ", c).strip())
                 continue
             if hidden(c):
@@ -383,7 +458,7 @@ def _table(node: Node, kept: bool) -> list[str]:
             while covered.get(at):
                 at += 1
             wide, high = _span(c, "colspan"), _span(c, "rowspan")
-            cells.append((at, wide, _block(c, kept)))
+            cells.append((at, wide, _block(c, kept, visible(c, shown))))
             if high > 1:
                 next_covered.update({k: high - 1 for k in range(at, at + wide)})
             at += wide
@@ -421,7 +496,7 @@ def render(source: str | None) -> str:
     root = parse(source)
     if hidden(root):
         return ""
-    lines = _block(root)
+    lines = _block(root, seen=visible(root, True))
     while lines and not lines[-1]:
         lines.pop()
     while lines and not lines[0]:
@@ -433,7 +508,9 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", html_column: str
     """page_id, text for each row of ``pages``.
 
     Null and empty pages have empty text; any input has a result, broken markup included. Whole pages
-    are read; repeated rows each give a row; only the two named columns are read; an empty table gives
+    are read. Text of formulas and graphics is shown, their titles and annotations are not. Of drop-down
+    lists the option marked as selected is shown (none, where the first stands by default), of list boxes
+    all. Repeated rows each give a row; only the two named columns are read; an empty table gives
     no rows.
     """
     prepare(pages.sparkSession)

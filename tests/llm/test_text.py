@@ -141,6 +141,25 @@ def test_layout(source, expected):
     assert html_layout.render(source) == expected
 
 
+SHOWN = [
+    ("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math> b", "a x= 1 2 b"),
+    ("<svg><title>t</title><defs/><path d='M0'/>loose<text>one<tspan>!</tspan></text><text>two</text></svg> z", "one! two z"),
+    ("<svg><path><p>after", "after"),
+    ("<svg><foreignObject><p>in</p></foreignObject></svg>", "in"),
+    ("<select><option>a<option selected>b</select>c", "b c"),
+    ("<select multiple><optgroup label=g><option>a<option>b</select>", "g\na\nb"),
+    ("<div style='visibility:hidden'>no<p>no<b style='visibility: visible'>yes</b></div>z", "yes\n\nz"),
+    ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "- yes"),
+    ("<table><tr style='visibility:hidden'><td>no<td><i style='visibility:visible'>yes</i></table>", "yes"),
+    ("<div>" * 200 + "<svg>no<text>yes</text></svg><i style='visibility:hidden'>no<b style='visibility:visible'>also", "yes also"),
+]
+
+
+@pytest.mark.parametrize("source, expected", SHOWN, ids=range(len(SHOWN)))
+def test_layout_shows_all_visible_text(source, expected):
+    assert html_layout.render(source) == expected
+
+
 def test_layout_never_fails():
     rng = random.Random(5)
     parts = ["<table>", "</table>", "<tr>", "<td>", "<p>", "</p>", "<li>", "<ul>", "</ul>", "x", "&#0;", "<", ">", "<!--", "-->", "</div>", "<a href='", "'", '"', "<script>", "</script>", "<th rowspan=3>", "<dd>", "<br/>", "</br>", "<head>", "</head>", "<body>", "<html>", "<pre>"]
