@@ -38,10 +38,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles: the smallest doc_id."""
-    found = ngram_join.jaccard_components(docs, ngram_join.Similarity(80, 5))
-    gone = park(found.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    return docs.hint("merge").join(gone, "doc_id", "left_anti")
+    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles: the smallest doc_id, a null one last."""
+    rows = park(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = ngram_join.linked_rows(rows.withColumnRenamed("__row", "row"), ngram_join.Similarity(80, 5))
+    gone = park(found.where("row <> first_row").select(F.col("row").alias("__row")), "near-copies")
+    return rows.hint("merge").join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

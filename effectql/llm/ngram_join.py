@@ -75,15 +75,15 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _scan(docs: DataFrame, words: int, make, schema: str) -> DataFrame:
-    """``make`` (row values, their bounds) for slices of (doc_id, text); it gives the columns behind doc_id."""
-    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
+    """``make`` (row values, their bounds) for slices of (row, doc_id, text); it gives the columns behind doc_id."""
+    names = ["row", "doc_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            values, first = shingle_sets(words_of(batch.column(1)), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *make(values, first)], names)
+            values, first = shingle_sets(words_of(batch.column(2)), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *make(values, first)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {schema}")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id long, {schema}")
 
 
 def _set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ def _set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, by: Similarity) -> DataFrame:
-    """doc_id, sid (identity of the set, null without words), n, two least hashes and the plain prefix of each row."""
+    """row, doc_id, sid (identity of the set, null without words), n, two least hashes and the plain prefix of each row."""
 
     def make(values: np.ndarray, first: np.ndarray) -> list[pa.Array]:
         n = np.diff(first)
@@ -120,26 +120,24 @@ def _bits(rows: DataFrame, column: str):
     return rows.sparkSession.sparkContext.broadcast(bits.view(np.uint8).tobytes())
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (doc_id, sid, ...) with the text of its documents.
+def texts_of(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``wanted`` with the text of the rows that ``key`` names.
 
-    A bitmap of hashed ids keeps nearly all other texts out of the shuffle; it has a fixed size, and
+    A bitmap of hashed keys keeps nearly all other texts out of the shuffle; it has a fixed size, and
     where it fills up more texts take part in the join.
     """
-    bits = _bits(wanted, "doc_id")
-    hashed = docs.select(
-        F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND((1 << 24) - 1).alias("__h"), F.col("text").cast("string")
-    )
+    bits = _bits(wanted, key)
+    hashed = docs.select(F.col(key).cast("long"), F.xxhash64(F.col(key).cast("long")).bitwiseAND((1 << 24) - 1).alias("__h"), F.col("text").cast("string"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             hit = known[np.asarray(batch.column(1), dtype=np.int64)]
             if hit.any():
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["doc_id", "text"]).filter(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], [key, "text"]).filter(pa.array(hit))
 
-    found = hashed.mapInArrow(run, "doc_id long, text string")
-    return found.hint("merge").join(wanted, found["doc_id"].eqNullSafe(wanted["doc_id"])).select(wanted["*"], "text")
+    found = hashed.mapInArrow(run, f"{key} long, text string")
+    return found.hint("merge").join(wanted, found[key].eqNullSafe(wanted[key])).select(wanted["*"], "text")
 
 
 def _similarity(a: np.ndarray, b: np.ndarray) -> int:
@@ -164,12 +162,12 @@ def stars(docs: DataFrame, nodes: DataFrame, least: str, by: Similarity) -> Data
     groups = park(nodes.groupBy(least).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "least")
     wanted = park(
         join_hot(nodes, groups, least, "__n", nodes.count()).select(
-            "doc_id", "sid", F.col(least).alias("key"),
+            "row", "sid", F.col(least).alias("key"),
             F.pmod(F.xxhash64("sid"), F.ceil(F.col("__n") / GROUP).cast("int")).alias("salt"),
         ),
         "star-candidates",
     )
-    rows = texts_of(docs, wanted).select("key", "salt", "sid", "text").repartition("key", "salt").sortWithinPartitions("key", "salt", "sid")
+    rows = texts_of(docs, wanted, "row").select("key", "salt", "sid", "text").repartition("key", "salt").sortWithinPartitions("key", "salt", "sid")
 
     def links(held: list[tuple[int, np.ndarray]]) -> Iterator[tuple]:
         sizes = np.array([len(s) for _, s in held])
@@ -224,7 +222,7 @@ def frequent(described: DataFrame, centers: DataFrame, in_groups: DataFrame) ->
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], ["token"])
 
-    windows = described.join(centers.select("doc_id", "sid"), ["doc_id", "sid"]).select("window")
+    windows = described.join(centers.select("row"), "row").select("window")
     plain = windows.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     grouped = in_groups.groupBy("token").agg((F.count(F.lit(1)) * (FREQUENT + 1)).alias("n"))
     both = plain.where(F.col("n") > FREQUENT).unionByName(grouped).groupBy("token").agg(F.sum("n").alias("n"))
@@ -237,7 +235,7 @@ def frequent(described: DataFrame, centers: DataFrame, in_groups: DataFrame) ->
 
 
 def signatures(docs: DataFrame, by: Similarity, common: np.ndarray) -> DataFrame:
-    """doc_id, sid, n, rare (shingles that aren't frequent) and the signatures (binary, 64 bits each) of each row.
+    """row, doc_id, sid, n, rare (shingles that aren't frequent) and the signatures (binary, 64 bits each) of each row.
 
     A set with a prefix of rare shingles has those as signatures. Another has all its rare shingles and
     combinations of its first frequent ones; the combinations find partners that share no rare shingle,
@@ -369,7 +367,7 @@ def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, by: Similarity)
     pairs = park(pairs, "pairs")
     each = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__n"))
     sides = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    texts = park(texts_of(docs, park(nodes.select("doc_id", "sid").join(sides, "sid").select("doc_id", "sid"), "compared")).select("sid", "text"), "compared-texts")
+    texts = park(texts_of(docs, park(nodes.select("row", "sid").join(sides, "sid").select("row", "sid"), "compared"), "row").select("sid", "text"), "compared-texts")
     parts = F.ceil(F.col("__n") / GROUP).cast("int")
     heads = (
         texts.join(each, texts["sid"] == each["a"]).select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("sid").alias("b"), "text")
@@ -405,16 +403,28 @@ def jaccard_components(docs: DataFrame, by: Similarity | None = None) -> DataFra
     shingles and link with nothing, their own id is their component. Texts of fewer words than a shingle
     have one. Rows that repeat a text, with whatever id, are in one component; among rows with a null id
     only, the component is null. Whole texts take part; only doc_id and text are read; an empty table
-    gives no rows. Sets are told apart by 64-bit hashes.
+    gives no rows. Sets are told apart by 64-bit hashes, rows by a number of their own.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return linked_rows(park(rows, "rows"), by).select("doc_id", "n_shingles", "component_id", "sid")
+
+
+def linked_rows(docs: DataFrame, by: Similarity | None = None) -> DataFrame:
+    """What ``jaccard_components`` gives for parked ``docs`` (unique row, doc_id, text), with row and first_row.
+
+    The latter is the row of the component with the smallest doc_id, null ids last, then the smallest row.
     """
     by = by or Similarity()
     prepare(docs.sparkSession)
+    docs = docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
     described = park(describe(docs, by), "described")
     nodes = park(
         described.where("sid is not null").groupBy("sid").agg(
-            F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("least1").alias("least1"),
+            first, F.max("n").alias("n"), F.max("least1").alias("least1"),
             F.max("least2").alias("least2"), F.count(F.lit(1)).alias("copies"),
-        ),
+        ).select("sid", "first.row", "first.doc_id", "n", "least1", "least2", "copies"),
         "sets",
     )
     found1 = park(stars(docs, nodes, "least1", by), "stars-1")
@@ -425,13 +435,13 @@ def jaccard_components(docs: DataFrame, by: Similarity | None = None) -> DataFra
     star = park(star.unionByName(found2.where("sid is not null")).dropDuplicates(["sid"]), "stars")
     members = park(
         nodes.join(star.select("sid", "center", (1 - F.col("shared") / (F.col("n") + F.col("center_n") - F.col("shared"))).alias("far")), "sid", "left")
-        .select("doc_id", "sid", F.coalesce("center", "sid").alias("center"), F.coalesce("far", F.lit(0.0)).alias("far")),
+        .select("row", "doc_id", "sid", F.coalesce("center", "sid").alias("center"), F.coalesce("far", F.lit(0.0)).alias("far")),
         "members",
     )
     centers = members.where("sid = center")
     common = frequent(described, centers, found1.unionByName(found2).where("sid is null").select("token"))
     signed = park(
-        signatures(docs, by, common).where("sid is not null").join(members.select("doc_id", "sid", "center"), ["doc_id", "sid"])
+        signatures(docs, by, common).where("sid is not null").join(members.select("row", "center"), "row")
         .select("sid", F.col("center").alias("key"), F.lit(0).cast("long").alias("part"), "n", "rare", "signatures", "combinations"),
         "signed",
     )
@@ -455,16 +465,16 @@ def jaccard_components(docs: DataFrame, by: Similarity | None = None) -> DataFra
     if not unsure.isEmpty():
         edges = edges.unionByName(_between_members(docs, nodes, members, signed, unsure, comps, by))
         comps = park(connected_components(every, park(edges, "all-edges")), "components-2")
-    placed = members.join(comps.withColumnRenamed("node", "center"), "center").select("sid", "doc_id", "comp")
-    named = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    placed = members.join(comps.withColumnRenamed("node", "center"), "center").select("sid", "row", "doc_id", "comp")
+    named = placed.groupBy("comp").agg(first).select("comp", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
     found = park(
-        placed.join(named, "comp").select("sid", "component_id").join(nodes.select("sid", "copies"), "sid"), "found"
+        placed.join(named, "comp").select("sid", "component_id", "first_row").join(nodes.select("sid", "copies"), "sid"), "found"
     )
-    rows = described.select("doc_id", "sid", "n")
+    rows = described.select("row", "doc_id", "sid", "n")
     return (
         join_hot(rows.where("sid is not null"), found, "sid", "copies", rows.count())
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sid")
-        .unionByName(rows.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sid"))
+        .select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sid", "row", "first_row")
+        .unionByName(rows.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sid", "row", F.col("row").alias("first_row")))
     )
 
 

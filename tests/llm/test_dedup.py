@@ -2,6 +2,7 @@
 
 import hashlib
 
+import corpus_pipeline
 import pytest
 from corpus import SCHEMA, components, lowered, repeats, rows, split, texts
 
@@ -57,6 +58,23 @@ def test_ngram_join_between_stars(spark, monkeypatch):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [300]
 
 
+def test_ngram_join_tells_rows_apart(spark):
+    """Links by way of rows without id, and different texts under one id."""
+    words = [f"w{k}" for k in range(100)]
+    chain = [" ".join([f"x{k}" for k in range(n)] + words[n:]) for n in (0, 6, 12)]  # only neighbours link
+    other = " ".join(f"o{k}" for k in range(60))
+    docs = [(1, chain[0]), (None, chain[1]), (3, chain[2]), (7, other), (7, "quite another text"), (8, other + " end"), (None, "alone a"), (None, "alone b")]
+    frame = spark.createDataFrame(rows(docs), SCHEMA)
+    got = ngram_join.jaccard_components(frame, ngram_join.Similarity(80, 3)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == [
+        (0, 1, 0), (0, 1, 0), (0, 98, 1), (1, 98, 1), (3, 98, 1), (7, 1, 7), (7, 58, 7), (8, 59, 7),
+    ]
+    near = [(2, chain[0]), (9, "kept under this id"), (9, chain[0] + " end"), (None, other), (None, other + " end")]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows(near), SCHEMA), "").collect()
+    assert [(r["doc_id"], r["text"]) for r in left if r["doc_id"]] == [(2, chain[0]), (9, "kept under this id")]
+    assert len(left) == 3
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
