@@ -1,8 +1,11 @@
-"""Tables of the card domain: schemas, a versioned registry, and storage as Parquet with atomic replacement."""
+"""Tables of the card domain: schemas, a versioned registry, and storage as Parquet with transactions."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,40 +58,94 @@ class MigrationError(RuntimeError):
 
 
 class Store:
-    """Tables under a folder. A table is a folder of versions; the newest complete one counts.
+    """Tables under a folder, and manifests that say which folder of a table counts.
 
-    A write goes to a new version and counts once Spark has committed it, so a reader sees the table
-    before or after a change and a write that failed leaves nothing behind.
+    A write goes to a new folder and counts once a manifest that names it is published, by one rename. A
+    ``transaction`` publishes all its writes at once, so a reader sees all tables before or after a
+    change, and a change that failed leaves nothing behind but folders that no manifest names; they go
+    with the next one.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self, name: str) -> list[str]:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(conf)
-        if not fs.exists(path):
-            return []
-        done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(p.toString() for p in done)
+        self._staged: dict[str, str] | None = None
+
+    def _path(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _listed(self, *parts: str) -> list[str]:
+        path, fs = self._path(*parts)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _manifests(self) -> list[str]:
+        return [x for x in self._listed("_manifests") if x.endswith(".json") and not x.startswith((".", "_"))]
+
+    def _manifest(self, name: str) -> dict[str, str]:
+        path, fs = self._path("_manifests", name)
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def current(self) -> dict[str, str]:
+        """The folder of each table that was written, staged ones in a transaction."""
+        done = self._manifests()
+        return (self._manifest(done[-1]) if done else {}) | (self._staged or {})
+
+    def _publish(self, changes: dict[str, str]) -> None:
+        done = self._manifests()
+        before = self._manifest(done[-1]) if done else {}
+        after = before | changes
+        number = int(done[-1].split(".")[0]) + 1 if done else 1
+        hidden, fs = self._path("_manifests", f"_{uuid.uuid4().hex}")
+        out = fs.create(hidden, False)
+        out.write(bytearray(json.dumps(after, sort_keys=True).encode()))
+        out.close()
+        target, _ = self._path("_manifests", f"{number:08d}.json")
+        if fs.exists(target) or not fs.rename(hidden, target):
+            fs.delete(hidden, False)
+            raise RuntimeError("another writer has changed the store")
+        for name in changes:  # the version before stays, for readers that still use it
+            for folder in self._listed(name):
+                if folder not in (after.get(name), before.get(name)):
+                    fs.delete(self._path(name, folder)[0], True)
+        for old in done[:-1]:
+            fs.delete(self._path("_manifests", old)[0], False)
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """All writes inside count at the end at once, or, after an error, not at all. Inside another one it joins that."""
+        if self._staged is not None:
+            yield
+            return
+        self._staged = {}
+        try:
+            yield
+            changes, self._staged = self._staged, None
+            if changes:
+                self._publish(changes)
+        finally:
+            self._staged = None
+
+    def folder(self, name: str) -> str | None:
+        found = self.current().get(name)
+        return f"{self.root}/{name}/{found}" if found else None
 
     def read(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
+        folder = self.folder(name)
+        if folder is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(versions[-1])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(folder)
 
     def write(self, name: str, rows: DataFrame) -> None:
-        """Replace a table; the version before stays until the next write, for readers that still use it."""
-        before = self._versions(name)
-        number = int(before[-1].rsplit("/", 1)[1].split("-")[0]) + 1 if before else 1
-        typed = rows.to(self.spark.createDataFrame([], SCHEMAS[name]).schema)
-        typed.write.parquet(f"{self.root}/{name}/{number:08d}-{uuid.uuid4().hex[:8]}")
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for old in before[:-1]:
-            path = jvm.org.apache.hadoop.fs.Path(old)
-            path.getFileSystem(conf).delete(path, True)
+        """Replace a table."""
+        with self.transaction():
+            typed = rows.to(self.spark.createDataFrame([], SCHEMAS[name]).schema)
+            version = uuid.uuid4().hex
+            typed.write.parquet(f"{self.root}/{name}/{version}")
+            self._staged[name] = version
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.read(name) for name in SCHEMAS}
@@ -103,24 +160,29 @@ class Store:
             if known.get(number, name) != name:
                 raise MigrationError(f"version {number} is {known[number]}, not {name}")
         fresh = sorted(m for m in migrations if m[0] not in known)
-        for _, _, tables in fresh:
-            for t in tables:
-                if not self._versions(t):
-                    self.write(t, self.spark.createDataFrame([], SCHEMAS[t]))
+        if fresh:
+            with self.transaction():
+                self._apply(fresh)
+        return [m[0] for m in fresh]
+
+    def _apply(self, fresh: list[tuple]) -> None:
+        known = self.current()
+        for t in dict.fromkeys(t for _, _, tables in fresh for t in tables):
+            if t not in known:
+                self.write(t, self.spark.createDataFrame([], SCHEMAS[t]))
         if fresh:
             rows = self.spark.createDataFrame([(n, name) for n, name, _ in fresh], "version int, name string")
             self.write("schema_migrations", self.read("schema_migrations").unionByName(rows.withColumn("applied_at", F.current_timestamp())))
-        return [m[0] for m in fresh]
 
     def analyze(self, prefix: str = "effectql_") -> list[str]:
         """Register the newest versions as catalog tables and gather statistics of all their columns; returns the names."""
         names = []
         for name in SCHEMAS:
-            versions = self._versions(name)
-            if versions:
+            folder = self.folder(name)
+            if folder:
                 table = f"{prefix}{name}"
                 self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-                self.spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{versions[-1]}'")
+                self.spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{folder}'")
                 self.spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
                 names.append(table)
         return names

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import SCHEMAS, Store
 from .functions.scalars import zero_to_null
-from .operators import dml, extract
+from .operators import dml, extract, numbering
 from .operators.aggregates import collisions, pivot_max
 from .sources import normalize, readers
 
@@ -39,7 +39,7 @@ def resolve(records: DataFrame, external: DataFrame, top: int) -> DataFrame:
     first = F.get(F.col("external_ids"), F.lit(0))
     fresh = F.when(F.size("external_ids") > 0, F.concat_ws(":", first["source"], first["external_id"])).otherwise(F.concat(F.lit("row:"), F.col("__row").cast("string")))
     new = joined.where("card_id is null").select(fresh.alias("__key")).distinct()
-    ids = new.withColumn("__id", F.lit(top) + F.row_number().over(Window.orderBy("__key")))
+    ids = numbering.numbered(new, [F.col("__key")], "__id", top)
     return (
         joined.withColumn("__key", F.when(F.col("card_id").isNull(), fresh)).join(ids, "__key", "left")
         .withColumn("is_new", F.col("card_id").isNull()).withColumn("card_id", F.coalesce("card_id", "__id").cast("long")).drop("__key", "__id")
@@ -60,7 +60,15 @@ def register_source(store: Store, name: str, content_sha256: str | None, **more)
 
 
 def ingest_records(store: Store, records: DataFrame, rejects: DataFrame, source: str, content_sha256: str | None = None, version: str | None = None) -> IngestResult:
-    """Put normalised records into the store. Running it again with the same records changes nothing but times."""
+    """Put normalised records into the store. Running it again with the same records changes nothing but times.
+
+    All tables change at once, or none.
+    """
+    with store.transaction():
+        return _ingest_records(store, records, rejects, source, content_sha256, version)
+
+
+def _ingest_records(store: Store, records: DataFrame, rejects: DataFrame, source: str, content_sha256: str | None, version: str | None) -> IngestResult:
     store.migrate()
     source_id = register_source(store, source, content_sha256, source_version=version, record_count=records.count())
     top = store.read("card").agg(F.coalesce(F.max("card_id"), F.lit(0))).first()[0]
@@ -74,8 +82,9 @@ def ingest_records(store: Store, records: DataFrame, rejects: DataFrame, source:
     touched = latest.select("card_id")
     exploded = lambda c, *cols: latest.select("card_id", F.explode(c).alias("x")).select("card_id", *(F.col(f"x.{k}") for k in cols))
     raw_top = store.read("raw_card_record").agg(F.coalesce(F.max("raw_id"), F.lit(0))).first()[0]
-    raw = found.select(
-        (F.lit(raw_top) + F.row_number().over(Window.orderBy("__row"))).cast("long").alias("raw_id"), F.lit(source_id).cast("long").alias("source_id"),
+    places = numbering.numbered(found.select("__row"), [F.col("__row")], "raw_id", raw_top)
+    raw = found.join(places, "__row").select(
+        "raw_id", F.lit(source_id).cast("long").alias("source_id"),
         "card_id", "external_id", F.sha2("payload_json", 256).alias("payload_sha256"), "payload_json",
     )
     changes = {
@@ -105,7 +114,13 @@ def ingest_cdb(store: Store, path: str, **more) -> IngestResult:
     return ingest_records(store, *normalize.from_cdb(readers.read_cdb(store.spark, path)), source="cdb", **more)
 
 
-def ingest_json(store: Store, path: str, **more) -> IngestResult:
+def ingest_json(store: Store, path: str | list[str], **more) -> IngestResult:
+    """A dump, or several at once, with the texts they hold."""
+    with store.transaction():
+        return _ingest_json(store, path, **more)
+
+
+def _ingest_json(store: Store, path: str | list[str], **more) -> IngestResult:
     good, bad = readers.read_json_dump(store.spark, path)
     records, untold = normalize.from_json_dump(good)
     result = ingest_records(store, records, bad.unionByName(untold), source="json", **more)
@@ -134,6 +149,11 @@ class EnrichResult:
 
 def apply_chinese(store: Store, path: str, source: str = "text_dump") -> EnrichResult:
     """Names and texts of a zipped dump for known cards; it never makes cards."""
+    with store.transaction():
+        return _apply_chinese(store, path, source)
+
+
+def _apply_chinese(store: Store, path: str, source: str) -> EnrichResult:
     rows = readers.read_text_zip(store.spark, path).withColumn("passcode", zero_to_null(F.col("record.id")))
     ids = store.read("external_id").where("source = 'passcode'").select("card_id", F.col("external_id").alias("code"))
     joined = rows.join(ids, F.col("passcode").cast("string") == F.col("code"), "left").persist()
@@ -164,9 +184,10 @@ def build_effects(store: Store, fallback=None, exact_stats: bool = False) -> dic
     texts = parser_texts(store)
     rows = extract.extract(texts, fallback, exact_stats).persist()
     touched = texts.select("card_id")
-    for name, new in extract.effect_tables(rows).items():
-        old = store.read(name)
-        store.write(name, old.join(touched, "card_id", "left_anti").select(*old.columns).unionByName(new.select(*old.columns)))
+    with store.transaction():
+        for name, new in extract.effect_tables(rows).items():
+            old = store.read(name)
+            store.write(name, old.join(touched, "card_id", "left_anti").select(*old.columns).unionByName(new.select(*old.columns)))
     out = {name: store.read(name).count() for name in ("effect_unit", "effect_clause", "effect_predicate")}
     out |= {r["parse_status"]: r["count"] for r in store.read("effect_unit").groupBy("parse_status").count().collect()}
     out["errors"] = extract.violations(rows).where("level = 'error'").count()

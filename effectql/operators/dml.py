@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """For each key the row that comes last."""
@@ -63,9 +65,8 @@ def get_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], id_
     same = [existing[k].eqNullSafe(incoming[k]) for k in keys]
     fresh = incoming.dropDuplicates(keys).join(existing, same, "left_anti")
     top = existing.agg(F.coalesce(F.max(id_column), F.lit(0))).first()[0]
-    place = F.row_number().over(Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys]))
-    numbered = fresh.drop(id_column).withColumn(id_column, (place + F.lit(top)).cast(existing.schema[id_column].dataType))
-    return existing.unionByName(numbered.select(*existing.columns))
+    new = numbered(fresh.drop(id_column), [F.col(k).asc_nulls_first() for k in keys], id_column, top)
+    return existing.unionByName(new.withColumn(id_column, F.col(id_column).cast(existing.schema[id_column].dataType)).select(*existing.columns))
 
 
 def cascade(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:

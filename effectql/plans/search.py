@@ -33,8 +33,11 @@ class Searcher:
 
         The page is cut first, so that everything else is joined to its few cards only.
         """
-        page = self.compiler.page(query)
-        lists = self.tables["card_archetype"].groupBy("card_id").agg(F.sort_array(F.collect_list("archetype")).alias("archetypes"))
+        found = self.compiler.page(query)
+        # its rows, no more than the limit, are asked for once; all that follows is joined to them
+        page = found.sparkSession.createDataFrame(found.collect(), found.schema)
+        side = self.tables["card_archetype"].join(F.broadcast(page.select("card_id")), "card_id", "left_semi")
+        lists = side.groupBy("card_id").agg(F.sort_array(F.collect_list("archetype")).alias("archetypes"))
         rows = page.join(lists, "card_id", "left")
         if evidence and any(isinstance(n, Exists) for n in walk(query.where)):
             shown = self.compiler.evidence(query, page, mode)

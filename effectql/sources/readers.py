@@ -73,8 +73,11 @@ def read_cdb(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, CDB_ROW)
 
 
-def read_json_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records of a dump ({"data": [...]} or a bare list), and those that can't be read (record, reason)."""
+def read_json_dump(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Records of dumps ({"data": [...]} or a bare list), and those that can't be read (record, reason).
+
+    A dump is one value and is split by one task; several dumps are split side by side.
+    """
     raw = spark.read.option("wholetext", True).text(path)
     listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.data"))
     items = raw.select(F.explode(F.from_json(listed, "array<string>")).alias("record"))

@@ -11,11 +11,12 @@ from ..ingest import ingest_json
 
 
 def follow_dumps(store: Store, folder: str, checkpoint: str) -> StreamingQuery:
-    """Ingest every dump that appears in ``folder``. A batch that runs again updates in place."""
+    """Ingest the dumps that appear in ``folder``, all of a batch at once. A batch that runs again updates in place."""
 
     def step(batch: DataFrame, number: int) -> None:
-        for row in batch.select("path").distinct().collect():  # names of the files that came in this batch
-            ingest_json(store, row["path"])
+        paths = sorted(row["path"] for row in batch.select("path").distinct().collect())  # names of files, not their rows
+        if paths:
+            ingest_json(store, paths)
 
     files = store.spark.readStream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"))
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,16 +5,19 @@ import sqlite3
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from effectql import cli, ingest
-from effectql.catalog import MigrationError, Store
+from effectql.catalog import SCHEMAS, MigrationError, Store
 from effectql.config import Config
+from effectql.operators import dml, numbering
 from effectql.plans.ast import Exists, Field, Query, QueryError, all_of, any_of, effect, negate
 from effectql.plans.cards import tables
 from effectql.plans.filters import parse_filters
 from effectql.plans.search import Searcher
 from effectql.sources import normalize, readers
 from effectql.streaming.incremental import follow_dumps
+from effectql.tools import SCHEMAS as SCHEMAS_OF_TOOLS
 from effectql.tools import ToolError, Tools
 
 POOL = [
@@ -236,3 +239,49 @@ def test_names_are_added_once(spark):
     extra = spark.createDataFrame([("1", "fr", "un", "official"), ("1", "fr", "un", "official"), ("2", "fr", "", "official")], "external_id string, lang string, name string, name_kind string")
     got = {r["external_id"]: len(r["names"]) for r in normalize.with_names(rows, extra).select("external_id", "names").collect()}
     assert got == {"1": 1, "2": 0}
+
+
+def test_a_change_that_fails_leaves_every_table_as_it_was(spark, tmp_path, monkeypatch):
+    """A write that fails in the middle of an ingest: readers see the state before it, of all tables."""
+    dump = tmp_path / "cards.json"
+    store = Store(spark, str(tmp_path / "store"))
+    card = lambda i, name: {"id": i, "name": name, "type": "Effect Monster", "desc": "d", "race": "Dragon", "card_images": [{"id": i}]}
+    dump.write_text(json.dumps({"data": [card(1, "One")]}))
+    ingest.ingest_json(store, str(dump))
+    before = {name: sorted(map(str, store.read(name).collect())) for name in SCHEMAS}
+    dump.write_text(json.dumps({"data": [card(1, "Uno"), card(2, "Two")]}))
+    real, calls = Store.write, []
+
+    def failing(self, name, rows):
+        calls.append(name)
+        if len(calls) == 4:
+            raise OSError("no space left")
+        real(self, name, rows)
+
+    monkeypatch.setattr(Store, "write", failing)
+    with pytest.raises(OSError):
+        ingest.ingest_json(store, str(dump))
+    monkeypatch.setattr(Store, "write", real)
+    for reader in (store, Store(spark, store.root)):
+        assert {name: sorted(map(str, reader.read(name).collect())) for name in SCHEMAS} == before
+    ingest.ingest_json(store, str(dump))
+    assert {r["canonical_name"] for r in store.read("card").collect()} == {"Uno", "Two"}
+    assert store.audit().isEmpty()
+
+
+def test_numbers_without_a_single_task(spark):
+    rows = spark.createDataFrame([(k * 7919 % 1000, None if k % 50 == 0 else f"k{k}") for k in range(1000)], "a long, b string")
+    made = numbering.numbered(rows, [F.col("b").asc_nulls_first(), F.col("a")], "n", 10)
+    got = [(r["b"] or "", r["a"], r["n"]) for r in made.collect()]
+    assert [n for _, _, n in sorted(got, key=lambda x: x[2])] == list(range(11, 1011))
+    assert [x[:2] for x in sorted(got, key=lambda x: x[2])] == sorted(x[:2] for x in got)
+    assert numbering.numbered(rows.limit(0), [F.col("a")], "n").count() == 0
+    known = spark.createDataFrame([(1, "x")], "id long, b string")
+    after = dml.get_or_create(known, rows.select(F.lit(0).cast("long").alias("id"), "b"), ["b"], "id")
+    assert "SinglePartition" not in after._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tool_schemas_follow_the_methods():
+    assert set(SCHEMAS_OF_TOOLS) == {"get_card", "search_cards", "search_effects", "plan_query", "fulltext_search", "semantic_search"}
+    assert SCHEMAS_OF_TOOLS["search_effects"]["input"]["query"] == {"type": "Any", "required": True}
+    assert all(s["description"] and s["output"] for s in SCHEMAS_OF_TOOLS.values())
