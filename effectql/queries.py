@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .functions import vocab as V
+from .ingest import resolve
 from .operators import aggregates as A
 from .operators import dml, extract
 from .plans.ast import Exists, Field, Query, all_of, any_of, negate
@@ -16,6 +17,7 @@ from .plans.compile import LOWER, UPPER, Compiler, fold
 from .plans.filters import parse_filters
 from .plans.retail import MODEL, load
 from .plans.sqlprint import Printer
+from .sources import normalize, readers
 
 FOLD = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
 found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,10 +67,10 @@ TREES = {
     "side_table_like": Field("card.nation", "eq", "nation_1_"),
     "side_table_contains": Field("card.region", "contains", "aMERi"),
     "side_table_under_or": any_of(Field("card.region", "ne", "ASIA"), all_of(BUILDING, Field("card.nation", "contains", "_1"))),
-    "interval_lte": Exists(all_of(Field("effect.bound", "lte", 3), Field("effect.size", "eq", 5), Field("clause.priority", "eq", "1-URGENT"))),
-    "interval_gte": Exists(all_of(Field("effect.bound", "gte", 48), Field("effect.size", "eq", 5), Field("clause.priority", "eq", "1-URGENT"))),
-    "interval_lt": Exists(all_of(Field("effect.bound", "lt", 5), Field("effect.size", "eq", 5), RETURNED)),
-    "interval_gt": Exists(all_of(Field("effect.bound", "gt", 45), Field("effect.size", "eq", 5), RETURNED)),
+    "interval_lte": Exists(Field("effect.bound", "lte", 3)),
+    "interval_gte": Exists(Field("effect.bound", "gte", 48)),
+    "interval_lt": Exists(Field("effect.bound", "lt", 5)),
+    "interval_gt": Exists(Field("effect.bound", "gt", 45)),
 }
 
 
@@ -114,11 +116,11 @@ for _mode, _op in (("all", "AND"), ("any", "OR")):
 
 @query(
     "evidence_left",
-    "SELECT o.o_custkey, o.o_orderkey, count(l.l_orderkey)::BIGINT AS lines FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'A' WHERE o.o_orderstatus = 'P' GROUP BY ALL",
+    "SELECT o.o_custkey, o.o_orderkey, count(l.l_orderkey)::BIGINT AS lines FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'A' GROUP BY ALL",
 )
 def evidence_left(spark, sf_dir):
     """Units without predicates stay: the left form of the evidence join."""
-    units = t(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    units = t(spark, sf_dir, "orders")
     lines = t(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")
     return units.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_custkey", "o_orderkey").agg(F.count("l_orderkey").alias("lines"))
 
@@ -126,10 +128,10 @@ def evidence_left(spark, sf_dir):
 @query(
     "evidence_payloads",
     """SELECT l_orderkey, count(*)::BIGINT AS n, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS payload
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY l_orderkey""",
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""",
 )
 def evidence_payloads(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    rows = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     parts = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
     shown = F.transform(parts, lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["l_partkey"].cast("string")))
     return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(shown, ",").alias("payload"))
@@ -197,9 +199,9 @@ def pivot_max_case(spark, sf_dir):
     return A.pivot_max(t(spark, sf_dir, "conversations"), "conv_id", "role", "text", ["user", "assistant", "system"])
 
 
-@query("identity_collisions", "SELECT p_brand, string_agg(DISTINCT lower(p_name), '|' ORDER BY lower(p_name)) AS names FROM part WHERE p_size <= 2 GROUP BY p_brand HAVING count(DISTINCT lower(p_name)) > 1")
+@query("identity_collisions", "SELECT p_brand, string_agg(DISTINCT lower(p_name), '|' ORDER BY lower(p_name)) AS names FROM part GROUP BY p_brand HAVING count(DISTINCT lower(p_name)) > 1")
 def identity_collisions(spark, sf_dir):
-    return A.collisions(t(spark, sf_dir, "part").where("p_size <= 2"), "p_brand", "p_name").select("p_brand", F.array_join("names", "|").alias("names"))
+    return A.collisions(t(spark, sf_dir, "part"), "p_brand", "p_name").select("p_brand", F.array_join("names", "|").alias("names"))
 
 
 @query("identity_counts", "SELECT count(DISTINCT p_name)::BIGINT AS keys, count(*)::BIGINT AS records FROM part")
@@ -562,46 +564,183 @@ def validator_violations(spark, sf_dir):
 _filtered = parse_filters(["segment=building", "balance>=0", "effect.size<=3", "clause.returnflag=r", "effect.bound<=10"], MODEL)
 query("filter_shorthand", Printer(MODEL).keys(_filtered))(lambda spark, sf_dir: Compiler(MODEL, load(spark, sf_dir)).matched(_filtered).select("c_custkey"))
 
-_TEXTS = (
-    (1, "这个卡名的效果1回合只能使用1次。①：把墓地的1只光属性怪兽除外才能发动。从额外卡组特殊召唤1只龙族怪兽。"),
-    (2, "①：自己从卡组抽1张卡，那之后自己墓地的1只怪兽除外。②：谜。"),
+# A card for each part, with effects whose kind and words are chosen by its key and size.
+ATTRIBUTE_WORDS = {"光": "LIGHT", "暗": "DARK", "地": "EARTH", "水": "WATER"}
+RACE_WORDS = {"龙族": "DRAGON", "战士族": "WARRIOR", "恶魔族": "FIEND"}
+_pick = lambda words, by: "CASE " + " ".join(f"WHEN {by} % {len(words)} = {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
+_attribute, _race = _pick(ATTRIBUTE_WORDS, "p_partkey"), _pick(RACE_WORDS, "p_partkey")
+_count, _level = "CAST(p_size % 5 + 1 AS VARCHAR(9))", "CAST(p_size % 8 + 1 AS VARCHAR(9))"
+#: order, whether a card has it, kind, marker, and its clauses: role, SQL of the words, and what stands behind them.
+CARD_UNITS = (
+    (0, "p_size % 3 = 0", "RESTRICTION", None, (("RESTRICTION", "'这个卡名的效果1回合只能使用1次。'", ""),)),
+    (1, "true", "NUMBERED", "①", (("COST", f"concat('把墓地的', {_count}, '只', {_attribute}, '属性怪兽除外')", "才能发动。"), ("RESOLUTION", f"concat('从额外卡组特殊召唤1只', {_race}, '怪兽')", "。"))),
+    (2, "p_partkey % 2 = 0", "NUMBERED", "②", (("TARGET", "'以场上1张魔法·陷阱卡为对象'", "才能发动。"), ("RESOLUTION", "'那张卡破坏'", "。"))),
+    (3, "p_partkey % 5 = 0", "NUMBERED", "③", (("RESOLUTION", f"concat('从手卡特殊召唤1只', {_level}, '星以下的战士族怪兽')", "。"),)),
+    (4, "p_partkey % 7 = 0", "NUMBERED", "④", (("RESOLUTION", "'谜'", "。"),)),
+    (5, "p_partkey % 3 = 1", "NUMBERED", "⑤", (("RESOLUTION", f"concat('自己从卡组抽', {_count}, '张卡，那之后自己墓地的1只怪兽除外')", "。"),)),
+    (6, "p_partkey % 11 = 0", "NUMBERED", "⑥", (("CONDITION", "'这张卡召唤成功时'", "才能发动。"), ("RESOLUTION", f"concat('从卡组把1只', {_attribute}, '属性怪兽加入手卡')", "。"))),
 )
+_unit_text = lambda clauses: "concat(" + ", ".join(f"{words}, '{behind}'" for _, words, behind in clauses) + ")"
+#: (order, clause, predicate): which fields a predicate of these clauses has; all others are null.
+CARD_PREDICATES = {
+    (0, 0, 0): {"confidence": 0.15, "source_text": "''"},
+    (1, 0, 0): {"action": "'BANISH'", "source_zone": "'GRAVEYARD'", "destination_zone": "'BANISHED'", "object_count": "p_size % 5 + 1", "object_card_type": "'MONSTER'", "object_attribute": _pick(ATTRIBUTE_WORDS.values(), "p_partkey"), "source_text": "'除外'"},
+    (1, 1, 0): {"action": "'SPECIAL_SUMMON'", "source_zone": "'EXTRA_DECK'", "destination_zone": "'MONSTER_ZONE'", "object_count": "1", "object_card_type": "'MONSTER'", "object_race": _pick(RACE_WORDS.values(), "p_partkey"), "source_text": "'特殊召唤'"},
+    (2, 0, 0): {"object_count": "1", "object_card_type": "'SPELL_TRAP'", "result_ref": "'ref_1'", "confidence": 0.15, "source_text": "''"},
+    (2, 1, 0): {"action": "'DESTROY'", "object_ref": "'ref_1'", "confidence": 0.6, "source_text": "'破坏'"},
+    (3, 0, 0): {"action": "'SPECIAL_SUMMON'", "source_zone": "'HAND'", "destination_zone": "'MONSTER_ZONE'", "object_count": "1", "object_card_type": "'MONSTER'", "object_race": "'WARRIOR'", "object_level_op": "'<='", "object_level_value": "p_size % 8 + 1", "source_text": "'特殊召唤'"},
+    (4, 0, 0): {"confidence": 0.15, "source_text": "''"},
+    (5, 0, 0): {"subject": "'SELF'", "action": "'DRAW'", "source_zone": "'DECK'", "destination_zone": "'HAND'", "object_count": "p_size % 5 + 1", "source_text": f"concat('抽', {_count}, '张')"},
+    (5, 0, 1): {"subject": "'SELF'", "action": "'BANISH'", "source_zone": "'GRAVEYARD'", "destination_zone": "'BANISHED'", "object_count": "1", "object_card_type": "'MONSTER'", "source_text": "'除外'"},
+    (6, 0, 0): {"confidence": 0.15, "source_text": "''"},
+    (6, 1, 0): {"action": "'SEARCH'", "source_zone": "'DECK'", "destination_zone": "'HAND'", "object_count": "1", "object_card_type": "'MONSTER'", "object_attribute": _pick(ATTRIBUTE_WORDS.values(), "p_partkey"), "source_text": "'加入手卡'"},
+}
+_FIELDS = {
+    "subject": "VARCHAR", "action": "VARCHAR", "source_zone": "VARCHAR", "destination_zone": "VARCHAR", "object_count": "INT", "object_card_type": "VARCHAR", "object_attribute": "VARCHAR",
+    "object_race": "VARCHAR", "object_level_op": "VARCHAR", "object_level_value": "INT", "object_ref": "VARCHAR", "result_ref": "VARCHAR", "confidence": "DOUBLE", "source_text": "VARCHAR",
+}
+#: The units a card has, numbered from 0 in order.
+_PLACES = "SELECT p_partkey, p_size, ord, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY ord) - 1 AS INT) AS unit_index FROM part, (VALUES " + ", ".join(f"({n[0]})" for n in CARD_UNITS) + ") o(ord) WHERE CASE ord " + " ".join(f"WHEN {n} THEN {c}" for n, c, *_ in CARD_UNITS) + " END"
+
+
+def _by_unit(value) -> str:
+    return "CASE ord " + " ".join(f"WHEN {u[0]} THEN {value(u)}" for u in CARD_UNITS) + " END"
+
+
+def _clause_rows() -> str:
+    out = []
+    for n, _, _, _, clauses in CARD_UNITS:
+        start = "0"
+        for i, (role, words, behind) in enumerate(clauses):
+            out.append(f"SELECT p_partkey AS card_id, unit_index, {i} AS clause_index, '{role}' AS role, {words} AS clause_text, CAST({start} AS INT) AS start_offset, CAST({start} + length({words}) AS INT) AS end_offset FROM u WHERE ord = {n}")
+            start = f"{start} + length({words}) + {len(behind)}"
+    return " UNION ALL ".join(out)
+
+
+def _predicate_rows() -> str:
+    out = []
+    for (n, clause, k), fields in CARD_PREDICATES.items():
+        said = {"subject": "'ANY'", "confidence": 1.0} | fields
+        out.append(f"SELECT p_partkey AS card_id, unit_index, {clause} AS clause_index, {k} AS pred_index, " + ", ".join(f"CAST({said.get(f, 'NULL')} AS {kind}) AS {f}" for f, kind in _FIELDS.items()) + f" FROM u WHERE ord = {n}")
+    return " UNION ALL ".join(out)
 
 
-def _parsed(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(i, x, None, False) for i, x in _TEXTS], "card_id long, desc string, pdesc string, pendulum boolean")
-    return extract.extract(rows)
+def part_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """card_id, desc, pdesc, pendulum: the text of each part's card."""
+    units = [F.when(F.expr(c), F.concat(F.lit(marker + "：" if marker else ""), F.expr(_unit_text(clauses).replace("VARCHAR(9)", "STRING")))) for _, c, _, marker, clauses in CARD_UNITS]
+    return t(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("card_id"), F.concat_ws("", *units).alias("desc"), F.lit(None).cast("string").alias("pdesc"), F.lit(False).alias("pendulum")
+    )
+
+
+def _card_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return extract.effect_tables(extract.extract(part_cards(spark, sf_dir)))
 
 
 @query(
-    "zh_units",
-    "SELECT * FROM (VALUES (1::BIGINT, 0, 'RESTRICTION', NULL, 'OK'), (1, 1, 'NUMBERED', '①', 'OK'), (2, 0, 'NUMBERED', '①', 'OK'), (2, 1, 'NUMBERED', '②', 'UNRESOLVED')) v(card_id, unit_index, kind, marker, parse_status)",
+    "card_units",
+    f"WITH u AS ({_PLACES}) SELECT p_partkey AS card_id, unit_index, {_by_unit(lambda u: repr(u[2]))} AS kind, {_by_unit(lambda u: repr(u[3]) if u[3] else 'NULL')} AS marker, "
+    f"{_by_unit(lambda u: _unit_text(u[4]))} AS unit_text, {_by_unit(lambda u: repr('UNRESOLVED' if u[0] == 4 else 'OK'))} AS parse_status FROM u",
 )
-def zh_units(spark, sf_dir):
-    return extract.effect_tables(_parsed(spark))["effect_unit"].select("card_id", "unit_index", "kind", "marker", "parse_status")
+def card_units(spark, sf_dir):
+    """Texts of all parts' cards to units, with their status."""
+    return _card_tables(spark, sf_dir)["effect_unit"].select("card_id", "unit_index", "kind", "marker", "unit_text", "parse_status")
+
+
+@query("card_clauses", f"WITH u AS ({_PLACES}) {_clause_rows()}")
+def card_clauses(spark, sf_dir):
+    made = _card_tables(spark, sf_dir)
+    units = made["effect_unit"].select("unit_id", "unit_index")
+    return made["effect_clause"].join(units, "unit_id").select("card_id", "unit_index", "clause_index", "role", "clause_text", "start_offset", "end_offset")
+
+
+@query("card_predicates", f"WITH u AS ({_PLACES}) {_predicate_rows()}")
+def card_predicates(spark, sf_dir):
+    made = _card_tables(spark, sf_dir)
+    units, clauses = made["effect_unit"].select("unit_id", "unit_index"), made["effect_clause"].select("clause_id", "clause_index")
+    return made["effect_predicate"].join(units, "unit_id").join(clauses, "clause_id").select("card_id", "unit_index", "clause_index", "pred_index", *_FIELDS)
 
 
 @query(
-    "zh_clauses",
-    """SELECT * FROM (VALUES (1::BIGINT, 0, 'RESTRICTION', '这个卡名的效果1回合只能使用1次。'), (1, 0, 'COST', '把墓地的1只光属性怪兽除外'), (1, 1, 'RESOLUTION', '从额外卡组特殊召唤1只龙族怪兽'),
-    (2, 0, 'RESOLUTION', '自己从卡组抽1张卡，那之后自己墓地的1只怪兽除外'), (2, 0, 'RESOLUTION', '谜')) v(card_id, clause_index, role, clause_text)""",
+    "card_counts",
+    f"WITH u AS ({_PLACES}), c AS ({_clause_rows()}), p AS ({_predicate_rows()}) SELECT (SELECT count(*) FROM u)::BIGINT AS units, (SELECT count(*) FROM c)::BIGINT AS clauses, (SELECT count(*) FROM p)::BIGINT AS predicates, (SELECT count(*) FROM u WHERE ord = 4)::BIGINT AS unresolved",
 )
-def zh_clauses(spark, sf_dir):
-    return extract.effect_tables(_parsed(spark))["effect_clause"].select("card_id", "clause_index", "role", "clause_text")
+def card_counts(spark, sf_dir):
+    """Totals of a build, as ``build_effects`` gives them."""
+    made = _card_tables(spark, sf_dir)
+    counts = {name: made[f"effect_{kind}"].agg(F.count(F.lit(1)).alias(name)) for name, kind in (("units", "unit"), ("clauses", "clause"), ("predicates", "predicate"))}
+    counts["unresolved"] = made["effect_unit"].agg(F.count_if(F.col("parse_status") == "UNRESOLVED").alias("unresolved"))
+    out = counts.pop("units").withColumn("k", F.lit(1))
+    for rows in counts.values():
+        out = out.join(rows.withColumn("k", F.lit(1)), "k")
+    return out.drop("k")
+
+
+@query("card_violations", "SELECT p_partkey AS card_id, '' AS message FROM part WHERE false")
+def card_violations(spark, sf_dir):
+    """Extraction keeps its own rules on every card; none breaks one."""
+    return extract.violations(extract.extract(part_cards(spark, sf_dir))).where("level = 'error'").select("card_id", "message")
+
+
+# -- ingest: rows of a card database and of a dump, made of parts
+
+_MASKS = {"monster": 1 | 32, "spell": 2 | 65536, "trap": 4}
 
 
 @query(
-    "zh_predicates",
-    """SELECT * FROM (VALUES (1::BIGINT, NULL, NULL, NULL, NULL, NULL, 0.15::DOUBLE), (1, 'BANISH', 'GRAVEYARD', 'BANISHED', 'LIGHT', NULL, 1.0), (1, 'SPECIAL_SUMMON', 'EXTRA_DECK', 'MONSTER_ZONE', NULL, 'DRAGON', 1.0),
-    (2, 'DRAW', 'DECK', 'HAND', NULL, NULL, 1.0), (2, 'BANISH', 'GRAVEYARD', 'BANISHED', NULL, NULL, 1.0), (2, NULL, NULL, NULL, NULL, NULL, 0.15))
-    v(card_id, action, source_zone, destination_zone, object_attribute, object_race, confidence)""",
+    "cdb_records",
+    """SELECT p_partkey AS key, trim(p_name) AS canonical_name, k.category AS card_category, CASE WHEN k.category = 'MONSTER' THEN 'DRAGON' END AS race, CASE WHEN k.category = 'MONSTER' THEN 'LIGHT' END AS attribute,
+    CASE WHEN k.category = 'MONSTER' AND p_size % 13 > 0 THEN p_size % 13 END AS level_rank, CASE WHEN p_size % 4 > 0 THEN p_size % 4 END::BIGINT AS alias_passcode, CAST(p_partkey AS VARCHAR) AS passcode
+    FROM part JOIN (VALUES (0, 'MONSTER'), (1, 'SPELL'), (2, 'TRAP')) k(m, category) ON p_partkey % 4 = m""",
 )
-def zh_predicates(spark, sf_dir):
-    return extract.effect_tables(_parsed(spark))["effect_predicate"].select(
-        "card_id", "action", "source_zone", "destination_zone", "object_attribute", "object_race", "confidence"
+def cdb_records(spark, sf_dir):
+    """Rows of a card database, normalised; those of no category are told apart."""
+    kind = F.expr("p_partkey % 4")
+    mask = F.when(kind == 0, F.lit(_MASKS["monster"])).when(kind == 1, F.lit(_MASKS["spell"])).when(kind == 2, F.lit(_MASKS["trap"])).otherwise(F.lit(0))
+    zero = F.lit(0).cast("long")
+    rows = t(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("long").alias("id"), zero.alias("ot"), (F.col("p_size") % 4).cast("long").alias("alias"), zero.alias("setcode"), mask.cast("long").alias("type"), F.lit(1).alias("atk"), F.lit(2).alias("def"),
+        (F.col("p_size") % 13).cast("long").alias("level"), F.lit(8192).cast("long").alias("race"), F.lit(16).cast("long").alias("attribute"), zero.alias("category"), F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("name"), F.lit("d").alias("desc"),
+    )
+    return normalize.from_cdb(rows)[0].select(
+        F.col("external_id").cast("long").alias("key"), "canonical_name", "card_category", "race", "attribute", "level_rank", "alias_passcode", F.col("external_ids")[0]["external_id"].alias("passcode")
     )
 
 
-@query("zh_violations", "SELECT 1::BIGINT AS card_id, '' AS message WHERE false")
-def zh_violations(spark, sf_dir):
-    return extract.violations(_parsed(spark)).where("level = 'error'").select("card_id", "message")
+@query("cdb_rejects", "SELECT 'no category bit' AS reason, count(*)::BIGINT AS n FROM part WHERE p_partkey % 4 = 3")
+def cdb_rejects(spark, sf_dir):
+    mask = F.when(F.expr("p_partkey % 4 = 3"), F.lit(0)).otherwise(F.lit(1)).cast("long")
+    zero = F.lit(0).cast("long")
+    rows = t(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("long").alias("id"), *(zero.alias(c) for c in ("ot", "alias", "setcode", "level", "race", "attribute", "category")), mask.alias("type"), F.lit(1).alias("atk"), F.lit(2).alias("def"),
+        F.col("p_name").alias("name"), F.lit("d").alias("desc"),
+    )
+    return normalize.from_cdb(rows)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "dump_records",
+    """SELECT p_partkey AS key, p_name AS canonical_name, CASE WHEN p_size % 3 = 0 THEN 'SPELL' WHEN p_size % 3 = 1 THEN 'TRAP' ELSE 'MONSTER' END AS card_category, CASE WHEN p_size % 3 = 2 AND p_size > 0 THEN p_size END AS atk,
+    CASE WHEN p_partkey = 0 THEN 'json_id' ELSE 'passcode,json_id' END AS sources, lower(replace(p_brand, '#', '-')) AS archetype FROM part""",
+)
+def dump_records(spark, sf_dir):
+    """Records of a JSON dump, parsed and normalised."""
+    kind = F.when(F.expr("p_size % 3 = 0"), "Spell Card").when(F.expr("p_size % 3 = 1"), "Trap Card").otherwise("Effect Monster")
+    payload = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("type"), F.col("p_size").alias("atk"), F.translate("p_brand", "#", "-").alias("archetype")))
+    rows = t(spark, sf_dir, "part").select(payload.alias("record")).select(F.from_json("record", readers.JSON_CARD).alias("r"), "record").select("r.*", "record").drop("_corrupt_record")
+    return normalize.from_json_dump(rows)[0].select(
+        F.col("external_id").cast("long").alias("key"), "canonical_name", "card_category", "atk", F.array_join(F.col("external_ids.source"), ",").alias("sources"), F.get(F.col("archetypes"), F.lit(0))["archetype"].alias("archetype")
+    )
+
+
+@query(
+    "resolve_ids",
+    """WITH r AS (SELECT c_custkey, c_nationkey FROM customer), known AS (SELECT n_nationkey, n_nationkey + 1 AS card_id FROM nation WHERE n_nationkey % 2 = 0),
+    fresh AS (SELECT c_nationkey, 100 + row_number() OVER (ORDER BY 'code:' || c_nationkey) AS card_id FROM (SELECT DISTINCT c_nationkey FROM r WHERE c_nationkey % 2 = 1))
+    SELECT c_custkey, coalesce(known.card_id, fresh.card_id)::BIGINT AS card_id, known.card_id IS NULL AS is_new FROM r LEFT JOIN known ON n_nationkey = r.c_nationkey LEFT JOIN fresh ON fresh.c_nationkey = r.c_nationkey""",
+)
+def resolve_ids(spark, sf_dir):
+    """Identity of incoming records by external ids: known cards, and new ones numbered on."""
+    records = t(spark, sf_dir, "customer").select("c_custkey", F.array(F.struct(F.lit("code").alias("source"), F.col("c_nationkey").cast("string").alias("external_id"))).alias("external_ids"))
+    known = t(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.lit("code").alias("source"), F.col("n_nationkey").cast("string").alias("external_id"), (F.col("n_nationkey") + 1).cast("long").alias("card_id"))
+    return resolve(records, known, 100).select("c_custkey", "card_id", "is_new")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from effectql import cli, ingest
 from effectql.catalog import SCHEMAS, MigrationError, Store
 from effectql.config import Config
-from effectql.operators import dml, numbering
+from effectql.functions import scalars
+from effectql.operators import dml, extract, numbering
 from effectql.plans.ast import Exists, Field, Query, QueryError, all_of, any_of, effect, negate
 from effectql.plans.cards import tables
 from effectql.plans.filters import parse_filters
@@ -285,3 +286,14 @@ def test_tool_schemas_follow_the_methods():
     assert set(SCHEMAS_OF_TOOLS) == {"get_card", "search_cards", "search_effects", "plan_query", "fulltext_search", "semantic_search"}
     assert SCHEMAS_OF_TOOLS["search_effects"]["input"]["query"] == {"type": "Any", "required": True}
     assert all(s["description"] and s["output"] for s in SCHEMAS_OF_TOOLS.values())
+
+
+def test_column_functions_agree_with_the_extraction(spark):
+    """Text functions exist as columns and, in the extraction, as functions of a string: one meaning."""
+    texts = ["", "  a\r\nb\rc \n", "「x」和「长名字 」", "「」「未完", "对方和自己", "自己的玩家", "双方", "玩家", "谜", "「" + "y" * 60 + "」「" + "z" * 61 + "」", "从「甲」到「乙丙」。"]
+    made = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select(
+        "i", scalars.normalize_text(F.col("x")).alias("normal"), scalars.mask_quoted(F.col("x")).alias("mask"), scalars.quoted_names(F.col("x")).alias("names"), scalars.subject(F.col("x")).alias("subject")
+    )
+    for r in made.collect():
+        x = texts[r["i"]]
+        assert (r["normal"], r["mask"], r["names"], r["subject"]) == (extract.normalize(x), extract.mask(x), extract.names(x), extract._subject(x)), x
