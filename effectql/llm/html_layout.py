@@ -36,6 +36,7 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup html hr legend li listing main menu nav ol optgroup option p plaintext pre search "
     "section summary table tbody td tfoot th thead tr ul caption xmp".split()
 )
+LISTS = {"ul", "ol", "menu", "dir"}
 #: Blocks with an empty line before and behind.
 SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul fieldset".split())
 CLOSES_P = BLOCK - set("html body td th tr tbody thead tfoot caption option optgroup legend".split())
@@ -96,15 +97,28 @@ def parse(source: str) -> Node:
     body: Node | None = None
     head: Node | None = None
     stack = [root]
+    #: The places in the stack of each open tag, so that no search walks the stack.
+    places: dict[str, list[int]] = {}
     at, end = 0, len(source)
 
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+
+    def last(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def into_body() -> None:
         nonlocal body
         if body is None:
             body = Node("body")
             root.children.append(body)
-            del stack[1:]
-            stack.append(body)
+            cut(1)
+            push(body)
 
     def text(value: str, decoded: bool = False) -> None:
         if not value:
@@ -118,13 +132,9 @@ def parse(source: str) -> Node:
         stack[-1].children.append(value)
 
     def close(tags: set[str], until: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = stack[i].tag
-            if tag in tags and stack[i] is not body:
-                del stack[i:]
-                return
-            if tag in until:
-                return
+        found = last(tags)
+        if found and stack[found] is not body and found >= last(until):
+            cut(found)
 
     while at < end:
         m = _token.search(source, at)
@@ -142,12 +152,12 @@ def parse(source: str) -> Node:
                 continue
             if tag == "head":
                 if stack[-1] is head:
-                    stack.pop()
+                    cut(len(stack) - 1)
             elif tag == "br":
                 into_body()
                 stack[-1].children.append(Node("br"))
             elif tag == "p":
-                if not any(n.tag == "p" for n in stack):
+                if not places.get("p"):
                     into_body()
                     stack[-1].children.append(Node("p"))
                 else:
@@ -164,7 +174,7 @@ def parse(source: str) -> Node:
             if head is None and body is None:
                 head = Node("head", m[3])
                 root.children.append(head)
-                stack.append(head)
+                push(head)
             continue
         if tag == "body":
             if body is None:
@@ -175,7 +185,7 @@ def parse(source: str) -> Node:
             into_body()
         if tag in BREAKS_OUT:
             while stack[-1].kind and stack[-1].tag not in POINTS:
-                stack.pop()
+                cut(len(stack) - 1)
         if tag in CLOSES_P:
             close({"p"}, SCOPE | {"button"})
         if tag in IMPLIED_END:
@@ -183,7 +193,7 @@ def parse(source: str) -> Node:
             if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr")
                 stack[-1].children.append(row)
-                stack.append(row)
+                push(row)
         node = Node(tag, m[3], stack[-1])
         stack[-1].children.append(node)
         if tag in VOID or node.kind and m[3].endswith("/"):
@@ -198,7 +208,7 @@ def parse(source: str) -> Node:
         if tag == "plaintext":
             node.children.append(source[at:])
             break
-        stack.append(node)
+        push(node)
     return root
 
 
@@ -229,7 +239,7 @@ def _options(select: Node, seen: bool) -> tuple[list[str], list[str]]:
             continue
         shown = visible(x, above)
         if x.tag == "option":
-            label = x.get("label") or " ".join("".join(t for t in _flat(x, True) if isinstance(t, str)).split())
+            label = x.get("label") or _flat(x)
             if shown:
                 lines.append(label)
                 if x.get("selected") is not None:
@@ -248,14 +258,28 @@ def columns_of(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+#: Places that lines are indented at most; deeper blocks stand as far in.
+INDENT = 64
+#: Tables in tables beyond this depth are laid out as blocks: a cell on a line of its own.
+TABLES = 24
+
+
 class _Layout:
-    """Lines of a block; inline text gathers in the last line until a block or a break ends it."""
+    """Lines of a block; inline text gathers in the last line until a block or a break ends it.
+
+    Blocks inside that are indented or marked write to the same lines, with what stands in front of them.
+    """
 
     def __init__(self):
         self.lines: list[str] = []
         self.inline: list[str] = []
         self.gap = False
         self.kept = False
+        #: Where the innermost block begins, what stands in front of its next line and of those behind it.
+        self.start, self.first, self.rest = 0, "", ""
+        #: Whether a mark waits for its line, an empty line is due before the next, and empty lines are skipped.
+        self.marked = self.due = self.skip = False
+        self.outer: list[tuple] = []
 
     def write(self, text: str, kept: bool = False) -> None:
         if kept:
@@ -279,63 +303,138 @@ class _Layout:
         self.put([line])
 
     def put(self, lines: list[str]) -> None:
-        if self.gap and self.lines and lines:
-            self.lines.append("")
+        for line in lines:
+            if self.skip and not line and not self.marked:
+                continue
+            self.skip = False
+            if self.due or self.gap and len(self.lines) > self.start:
+                self.lines.append("")
+            self.due = self.gap = False
+            if self.marked:
+                self.lines.append((self.first + line).rstrip())
+                self.first, self.marked = self.rest, False
+            else:
+                self.lines.append(self.first + line if line else line)
+                self.first = self.rest
         self.gap = False
-        self.lines += lines
 
     def space(self) -> None:
         self.end_line()
         self.gap = True
 
-
-def _block(node: Node, kept: bool = False, seen: bool = True) -> list[str]:
+    def enter(self, mark: str = "", indent: int = 0, skip: bool = False) -> None:
+        """Begin a block: its first line has ``mark`` (if any) in front, the others are indented."""
+        self.outer.append((self.start, self.first, self.rest, self.marked, self.due, self.skip, self.gap, len(self.lines)))
+        self.due = self.due or self.gap and len(self.lines) > self.start
+        indent = min(indent, max(0, INDENT - len(self.rest)))
+        if len(self.first) < 2 * INDENT:
+            self.first += mark or " " * indent
+        self.rest += " " * indent
+        self.marked = self.marked or bool(mark)
+        self.start, self.gap, self.skip = len(self.lines), False, self.skip or skip
+
+    def leave(self, gap: bool | None, marked: bool = False) -> None:
+        """End the innermost block.
+
+        ``gap``: whether an empty line follows; None: only if one was due before and the block has no
+        line. ``marked``: its mark gets a line even if the block has none.
+        """
+        self.end_line()
+        if marked and len(self.lines) == self.start:
+            self.skip = False
+            self.put([""])
+        start, first, rest, was_marked, due, skip, had_gap, before = self.outer.pop()
+        written = len(self.lines) > before
+        self.start, self.rest = start, rest
+        self.first = rest if written else first
+        self.marked = was_marked and not written
+        self.due = due and not written
+        self.skip = skip and not written
+        self.gap = had_gap and not written if gap is None else gap
+
+
+def _block(node: Node, kept: bool = False, seen: bool = True, tables: int = 0) -> list[str]:
     out = _Layout()
-    _walk(node, out, kept, 0, seen)
+    _walk(node, out, kept, seen, tables)
     out.end_line()
     return out.lines
 
 
-#: Beyond this depth elements are laid out as part of the one above, which bounds the recursion.
-DEEPEST = 150
-
-
-def _flat(node: Node, seen: bool) -> Iterator[Node | str]:
-    """Visible texts, breaks and form elements below a node, without recursion."""
-    todo: list[tuple[Node | str, bool]] = [(node, seen)]
+def _flat(node: Node) -> str:
+    """The texts below a node that are shown, in a line."""
+    todo: list[tuple[Node | str, bool]] = [(node, True)]
+    found = []
     while todo:
         x, above = todo.pop()
         if isinstance(x, str):
-            yield x
-            continue
-        shown = above if x is node else visible(x, above)
-        if x.tag in VOID or x.tag == "select" and x is not node:
-            if shown:
-                yield x
+            found.append(x)
         elif x is node or not hidden(x):
-            apart = None if x is node else Node("br") if x.tag in BLOCK or x.tag == "mtr" else " " if x.kind == "text" and x.tag == "text" or x.tag in ("mfrac", "mtd") else None
-            if apart:
-                todo.append((apart, above))
-            drawn = shown and x.kind != "svg"
-            todo.extend((c, shown) for c in reversed(x.children) if drawn or not isinstance(c, str))
-            if apart:
-                todo.append((apart, above))
-
-
-def _walk(node: Node, out: _Layout, kept: bool, depth: int, seen: bool) -> None:
-    flat = depth >= DEEPEST
-    drawn = flat or seen and node.kind != "svg"
-    for child in _flat(node, seen) if flat else node.children:
+            shown = above if x is node else visible(x, above)
+            todo.extend((c, shown) for c in reversed(x.children) if shown or not isinstance(c, str))
+    return " ".join("".join(found).split())
+
+
+def _nothing() -> None:
+    pass
+
+
+def _walk(top: Node, out: _Layout, kept: bool, seen: bool, tables: int) -> None:
+    """Lay out what is below ``top``. Open elements wait in a list, so pages of any depth do."""
+    # children still to come, their element, whether its text is visible and keeps white space, and what ends it
+    open_: list[tuple] = [(iter(top.children), top, seen, kept, _nothing)]
+    numbers: list[int] = []  # of the next item of each open list
+
+    def lay_list(node: Node, shown: bool, kept: bool, gap: bool) -> None:
+        start = node.get("start") if node.attributes else None
+        numbers.append(int(start) if start and re.fullmatch(r"-?\d{1,9}", start.strip()) else 1)
+
+        def end() -> None:
+            numbers.pop()
+            out.gap = gap
+
+        open_.append((iter(node.children), node, shown, kept, end))
+
+    def item(child: Node | str, node: Node, seen: bool, kept: bool) -> None:
+        """A child of a list: an item, or something that stands where one should."""
+        if isinstance(child, str) or child.tag != "li":
+            if not (isinstance(child, str) and not child.strip() or not isinstance(child, str) and hidden(child)):
+                loose = Node("li")
+                loose.children = [child]
+                out.enter(indent=2)
+                open_.append((iter(loose.children), loose, seen, kept, lambda: out.leave(None)))
+            return
+        if hidden(child):
+            return
+        value = child.get("value") if child.attributes else None
+        if value and re.fullmatch(r"-?\d{1,9}", value.strip()):
+            numbers[-1] = int(value)
+        mark = f"{numbers[-1]}. " if node.tag == "ol" else "- "
+        numbers[-1] += 1
+        shown = visible(child, seen)
+        out.enter(mark if shown else "", len(mark))
+        open_.append((iter(child.children), child, shown, kept, lambda: out.leave(None, shown)))
+
+    while open_:
+        children, node, seen, kept, end = open_[-1]
+        child = next(children, None)
+        if child is None:
+            open_.pop()
+            end()
+            continue
+        if node.tag in LISTS and node is not top:
+            item(child, node, seen, kept)
+            continue
         if isinstance(child, str):
-            if drawn:
+            if seen and node.kind != "svg":
                 out.write(child, kept)
             continue
         if hidden(child):
             continue
         tag = child.tag
-        shown = visible(child, seen or flat)
+        shown = visible(child, seen)
         if (tag in VOID or tag == "select") and not shown:
             continue
+        below = iter(child.children)
         if tag == "br":
             out.end_line(always=True)
         elif tag == "hr":
@@ -355,67 +454,33 @@ def _walk(node: Node, out: _Layout, kept: bool, depth: int, seen: bool) -> None:
                 out.put(lines)
             elif selected:
                 out.write(" " + selected[-1] + " ")
-        elif tag in ("ul", "ol", "menu", "dir"):
+        elif tag in LISTS:
             out.end_line() if tag == "dir" or node.tag == "li" else out.space()
-            out.put(_list(child, kept, shown))
-            out.gap = node.tag != "li"
-        elif tag == "table":
+            lay_list(child, shown, kept, node.tag != "li")
+        elif tag == "table" and tables < TABLES:
             out.space()
-            out.put(_table(child, kept, shown))
+            out.put(_table(child, kept, shown, tables + 1))
             out.gap = True
         elif tag in ("pre", "listing", "xmp", "textarea"):
             out.space()
-            lines = _block(child, True, shown)
-            while lines and not lines[0]:
-                lines = lines[1:]
-            out.put(lines)
-            out.gap = True
+            out.enter(skip=True)
+            open_.append((below, child, shown, True, lambda: out.leave(True)))
         elif tag in ("blockquote", "dd"):
-            out.space() if tag == "blockquote" else out.end_line()
-            out.put(["  " + x if x else x for x in _block(child, kept, shown)])
-            out.gap = tag == "blockquote"
+            quote = tag == "blockquote"
+            out.space() if quote else out.end_line()
+            out.enter(indent=2)
+            open_.append((below, child, shown, kept, lambda quote=quote: out.leave(quote)))
         elif tag in BLOCK or tag == "mtr":
-            out.space() if tag in SPACED else out.end_line()
-            _walk(child, out, kept, depth + 1, shown)
-            out.space() if tag in SPACED else out.end_line()
+            around = out.space if tag in SPACED else out.end_line
+            around()
+            if tag == "details" and child.get("open") is None:
+                below = iter([c for c in child.children if not isinstance(c, str) and c.tag == "summary"][:1])
+            open_.append((below, child, shown, kept, around))
         else:
             # texts of a graphic, parts of a fraction and cells of a formula stand apart
             apart = " " if tag == "text" and child.kind == "text" or tag == "mtd" or node.tag == "mfrac" else ""
             out.write(apart)
-            _walk(child, out, kept, depth + 1, shown)
-            out.write(apart)
-
-
-def _list(node: Node, kept: bool, seen: bool) -> list[str]:
-    start = node.get("start") if node.attributes else None
-    number = int(start) if start and re.fullmatch(r"-?\d{1,9}", start.strip()) else 1
-    lines: list[str] = []
-    loose = Node("li")
-    for child in node.children:
-        if isinstance(child, str) and not child.strip():
-            continue
-        if isinstance(child, str) or child.tag != "li":
-            if not isinstance(child, str) and hidden(child):
-                continue
-            loose.children = [child]
-            lines += ["  " + x if x else x for x in _block(loose, kept, seen)]
-            continue
-        if hidden(child):
-            continue
-        value = child.get("value") if child.attributes else None
-        if value and re.fullmatch(r"-?\d{1,9}", value.strip()):
-            number = int(value)
-        mark = f"{number}. " if node.tag == "ol" else "- "
-        number += 1
-        shown = visible(child, seen)
-        inner = _block(child, kept, shown)
-        if not shown:  # neither its mark
-            lines += [" " * len(mark) + x if x else x for x in inner]
-            continue
-        inner = inner or [""]
-        lines.append((mark + inner[0]).rstrip())
-        lines += [" " * len(mark) + x if x else x for x in inner[1:]]
-    return lines
+            open_.append((below, child, shown, kept, lambda apart=apart: out.write(apart)))
 
 
 def _span(node: Node, name: str) -> int:
@@ -423,26 +488,29 @@ def _span(node: Node, name: str) -> int:
     return max(1, min(1000, int(value))) if value and re.fullmatch(r"\d{1,6}", value.strip()) else 1
 
 
-def _table(node: Node, kept: bool, seen: bool) -> list[str]:
+def _table(node: Node, kept: bool, seen: bool, tables: int) -> list[str]:
     """Rows as lines with aligned columns; cells keep their own lines, spans cover what they span."""
     above: list[str] = []
     rows: dict[str, list[tuple[Node, bool]]] = {"thead": [], "tbody": [], "tfoot": []}
 
-    def gather(x: Node, part: str, seen: bool) -> None:
-        for c in x.children:
-            if isinstance(c, str):
-                if seen and c.strip():
-                    above.append(_space.sub(" ", c).strip())
-            elif hidden(c):
-                continue
-            elif c.tag == "tr":
-                rows[part].append((c, visible(c, seen)))
-            elif c.tag in rows:
-                gather(c, c.tag, visible(c, seen))
-            elif c.tag not in ("colgroup", "col"):
-                above.extend(_block(c, kept, visible(c, seen)))
-
-    gather(node, "tbody", seen)
+    todo = [(iter(node.children), "tbody", seen)]
+    while todo:
+        children, part, shown = todo[-1]
+        c = next(children, None)
+        if c is None:
+            todo.pop()
+        elif isinstance(c, str):
+            if shown and c.strip():
+                above.append(_space.sub(" ", c).strip())
+        elif hidden(c):
+            continue
+        elif c.tag == "tr":
+            rows[part].append((c, visible(c, shown)))
+        elif c.tag in rows:
+            todo.append((iter(c.children), c.tag, visible(c, shown)))
+        elif c.tag not in ("colgroup", "col"):
+            above.extend(_block(c, kept, visible(c, shown), tables))
+
     ordered = rows["thead"] + rows["tbody"] + rows["tfoot"]
     grid: list[list[tuple[int, int, list[str]]]] = []
     covered: dict[int, int] = {}
@@ -458,7 +526,7 @@ def _table(node: Node, kept: bool, seen: bool) -> list[str]:
             while covered.get(at):
                 at += 1
             wide, high = _span(c, "colspan"), _span(c, "rowspan")
-            cells.append((at, wide, _block(c, kept, visible(c, shown))))
+            cells.append((at, wide, _block(c, kept, visible(c, shown), tables)))
             if high > 1:
                 next_covered.update({k: high - 1 for k in range(at, at + wide)})
             at += wide
@@ -507,7 +575,9 @@ def render(source: str | None) -> str:
 def extract_text(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
     """page_id, text for each row of ``pages``.
 
-    Null and empty pages have empty text; any input has a result, broken markup included. Whole pages
+    Null and empty pages have empty text; any input has a result, broken markup and any depth of nesting
+    included, in time that grows with the page. Lines are indented by INDENT places at most and have marks for twice as many; tables in
+    more than TABLES tables are laid out as blocks. Of a closed ``details`` the summary is shown. Whole pages
     are read. Text of formulas and graphics is shown, their titles and annotations are not. Of drop-down
     lists the option marked as selected is shown (none, where the first stands by default), of list boxes
     all. Repeated rows each give a row; only the two named columns are read; an empty table gives

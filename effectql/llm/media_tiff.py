@@ -1,7 +1,8 @@
 """TIFF media columns: pages as rows.
 
 ``decode_tiff`` walks the image directories of a file, decodes its strips or tiles (none, LZW, deflate,
-PackBits), undoes the horizontal predictor and yields a page for each directory. ``encode_tiff`` writes
+PackBits) of interleaved or separate planes, undoes the horizontal predictor and yields a page for each
+directory. ``encode_tiff`` writes
 such files from 8-bit samples without loss.
 """
 
@@ -22,13 +23,18 @@ from .common import prepare, table, text_slices
 
 # Fixed values of the TIFF 6.0 format: tags, field sizes, compression schemes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 262, 273, 277
-ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 278, 279, 284, 317
+ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, FILL_ORDER = 278, 279, 284, 317, 266
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 FIELD_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 FIELD_CODE = {1: "B", 3: "H", 4: "I"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 
+#: No scheme packs more samples in a byte (deflate reaches 1,032, LZW some 2,700); a page that claims more is broken.
+MOST_EXPANSION = 4096
+_REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
+
 class TiffError(ValueError):
     """A file that breaks the format or needs a part of it that isn't supported."""
 
@@ -164,6 +170,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if not known:
             raise TiffError("LZW data without a clear code")
         if not previous:
+            if code > 255:
+                raise TiffError("LZW code out of range")
             entry = known[code]
         else:
             if code < len(known):
@@ -284,7 +292,7 @@ def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int
 
 
 def decode_tiff(data: bytes) -> Iterator[Page]:
-    """The pages of a file, in the order of its directories."""
+    """The pages of a file, in the order of its directories; whatever is broken raises TiffError."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("not a TIFF file")
@@ -299,43 +307,63 @@ def decode_tiff(data: bytes) -> Iterator[Page]:
         at = following
 
 
+def _samples(block: bytes, rows: int, wide: int, samples: int, bits: int, order: str) -> np.ndarray:
+    """rows x wide x samples; samples of less than 8 bits are packed, each row from a new byte on."""
+    if bits >= 8:
+        kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+        return np.frombuffer(block, kind).reshape(rows, wide, samples).astype(kind.newbyteorder("="))
+    unpacked = np.unpackbits(np.frombuffer(block, np.uint8).reshape(rows, -1), axis=1)
+    values = unpacked.reshape(rows, -1, bits) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.uint8))
+    return values[:, : wide * samples].reshape(rows, wide, samples).astype(np.uint8)
+
+
 def _page(data: bytes, f: dict[int, list[int]], order: str, number: int) -> Page:
-    if WIDTH not in f or LENGTH not in f:
+    """A page's samples, interleaved, row by row: a byte each up to 8 bits, two (of this machine) for 16."""
+    if any(not v for v in f.values()):
+        raise TiffError("a field without values")
+    if WIDTH not in f or LENGTH not in f or not f[WIDTH][0] or not f[LENGTH][0]:
         raise TiffError("a directory without width or length")
     width, height = f[WIDTH][0], f[LENGTH][0]
     bits, samples = f.get(BITS, [1])[0], f.get(SAMPLES, [1])[0]
-    scheme, predictor = f.get(COMPRESSION, [NONE])[0], f.get(PREDICTOR, [1])[0]
-    if bits not in (8, 16) or len(set(f.get(BITS, [bits]))) > 1:
-        raise TiffError("samples must be of 8 or 16 bits")
-    if f.get(PLANAR, [1])[0] != 1 or predictor not in (1, 2):
-        raise TiffError("separate planes and floating-point predictors aren't supported")
-    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+    scheme, predictor, planar = f.get(COMPRESSION, [NONE])[0], f.get(PREDICTOR, [1])[0], f.get(PLANAR, [1])[0]
+    if bits not in (1, 2, 4, 8, 16) or len(set(f.get(BITS, [bits]))) > 1 or not samples:
+        raise TiffError("samples must all be of 1, 2, 4, 8 or 16 bits")
+    if planar not in (1, 2) or predictor not in (1, 2) or predictor == 2 and bits < 8:
+        raise TiffError("this planar configuration or predictor isn't supported")
+    if width * height * samples * bits > 8 * MOST_EXPANSION * len(data):
+        raise TiffError("a page claims more samples than the file can hold")
     tiled = TILE_OFFSETS in f
     if tiled:
-        wide, high = f[TILE_WIDTH][0], f[TILE_LENGTH][0]
-        offsets, counts = f[TILE_OFFSETS], f[TILE_COUNTS]
+        wide, high = f.get(TILE_WIDTH, [0])[0], f.get(TILE_LENGTH, [0])[0]
+        offsets, counts = f[TILE_OFFSETS], f.get(TILE_COUNTS, [])
     else:
-        wide, high = width, min(f.get(ROWS_PER_STRIP, [height])[0], height) or 1
-        if STRIP_OFFSETS not in f:
-            raise TiffError("a directory without strips or tiles")
-        offsets = f[STRIP_OFFSETS]
-        counts = f.get(STRIP_COUNTS) or [height * width * samples * kind.itemsize]
-    across = -(-width // wide)
-    out = np.zeros((height, width * samples), kind.newbyteorder("="))
-    for i, (offset, count) in enumerate(zip(offsets, counts, strict=False)):
-        y, x = i // across * high, i % across * wide
+        wide, high = width, min(f.get(ROWS_PER_STRIP, [height])[0], height)
+        offsets, counts = f.get(STRIP_OFFSETS, []), f.get(STRIP_COUNTS, [])
+        if not counts and len(offsets) == 1 and scheme == NONE:
+            counts = [len(data)]
+    if not wide or not high:
+        raise TiffError("strips or tiles without size")
+    across, down = -(-width // wide), -(-height // high)
+    planes, each = (samples, 1) if planar == 2 else (1, samples)
+    if not len(offsets) == len(counts) == across * down * planes:
+        raise TiffError("strips or tiles don't cover the page")
+    if tiled and across * wide * down * high * samples * bits > 8 * MOST_EXPANSION * len(data):
+        raise TiffError("tiles claim more samples than the file can hold")
+    out = np.zeros((height, width, samples), np.uint16 if bits == 16 else np.uint8)
+    for i, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
+        plane, at = divmod(i, across * down)
+        y, x = at // across * high, at % across * wide
         rows = high if tiled else min(high, height - y)
-        if rows <= 0:
-            break
-        size = rows * wide * samples * kind.itemsize
-        block = _expand(data[offset : offset + count], scheme, size)
+        size = rows * -(-wide * each * bits // 8)
+        block = data[offset : offset + count]
+        block = _expand(block.translate(_REVERSED) if f.get(FILL_ORDER, [1])[0] == 2 else block, scheme, size)
         if len(block) < size:
             raise TiffError("a strip or tile ends early")
-        a = np.frombuffer(block, kind).reshape(rows, wide, samples).astype(out.dtype)
+        a = _samples(block, rows, wide, each, bits, order)
         if predictor == 2:
             a = np.cumsum(a, axis=1, dtype=out.dtype)
-        part = a.reshape(rows, wide * samples)[: height - y, : (width - x) * samples]
-        out[y : y + part.shape[0], x * samples : x * samples + part.shape[1]] = part
+        part = a[: height - y, : width - x]
+        out[y : y + part.shape[0], x : x + part.shape[1], plane : plane + each] = part
     return Page(number, width, height, bits, samples, scheme, predictor, tiled, out.tobytes())
 
 
@@ -350,7 +378,9 @@ PAGE_COLUMNS = (
 def tiff_pages(files: DataFrame, column: str = "media") -> DataFrame:
     """One row for each page of each file; the other columns are kept, ``column`` is dropped.
 
-    A null or broken file gives a row with page -1 and an error (after the pages that could be read).
+    A null or broken file gives a row with page -1 and an error (after the pages that could be read). So
+    does what isn't supported: other schemes than none, LZW, deflate and PackBits, samples of other than 1,
+    2, 4, 8 or 16 bits, floating-point predictors.
     Rows follow each other in the order of the files and pages of their partition.
     """
     keep = [c for c in files.columns if c != column]

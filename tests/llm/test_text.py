@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import re
+import struct
+import time
 import zlib
 from array import array
 
@@ -173,3 +176,102 @@ def test_layout_column(spark):
     assert len(got) == len(PAGES) + 2
     assert {(r["page_id"], r["text"]) for r in got} == {(i, t) for i, (_, t) in enumerate(PAGES)} | {(None, "x"), (2, "again")}
     assert html_layout.extract_text(frame.limit(0)).count() == 0
+
+
+DEEP = {
+    "div": "<div>" * 100_000 + "x", "text": "<div>t" * 100_000, "list": "<ul><li>" * 100_000 + "x", "list text": "<ol><li>t" * 50_000, "quote": "<blockquote>q" * 100_000,
+    "table": "<table><tr><td>c" * 20_000, "inline": "<b>" * 100_000 + "x", "paragraph": "<p><table><td>" + "<div>" * 100_000 + "x", "body": "<table>" + "<tbody>" * 100_000 + "<tr><td>x",
+    "terms": "<dl><dd>x" * 50_000, "options": "<select multiple>" + "<optgroup><option>x" * 20_000, "pre": "<pre>\n\nx" * 50_000,
+}
+
+
+@pytest.mark.parametrize("kind", DEEP)
+def test_html_of_any_depth(kind):
+    began = time.process_time()
+    found = html_layout.render(DEEP[kind])
+    assert time.process_time() - began < 10
+    texts = re.sub("<[^>]*>", " ", DEEP[kind]).split()
+    assert [x for x in found.split() if x == texts[0]] == texts
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<details><summary>s</summary>more</details>after", "s\nafter"),
+        ("<details open><summary>s</summary>more</details>after", "s\nmore\nafter"),
+        ("<ul><li>a<ul><li>b<blockquote>c<br>d</blockquote></ul><li><ol start=9><li>e<li>f</ol></ul>", "- a\n  - b\n\n      c\n      d\n- 9. e\n  10. f"),
+        ("<ul><li></li><li>x</li></ul>", "-\n- x"),
+        ("a<pre>\n\n  b\n c\n</pre>d", "a\n\n  b\n c\n\nd"),
+        ("<table><tr><td>a<td><table><tr><td>b<td>c<tr><td>dd<td>e</table></table>", "a  b   c\n   dd  e"),
+    ],
+)
+def test_html_layout_of_blocks(source, text):
+    assert html_layout.render(source) == text
+
+
+def tiff_file(fields, data=b"", order="<"):
+    """A file of one directory, written by hand: fields of (tag, kind, values), 8 bytes of header, then ``data``."""
+    code = {1: "B", 3: "H", 4: "I"}
+    out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8 + len(data) + len(data) % 2) + data + b"\0" * (len(data) % 2))
+    entries, extra, place = b"", b"", len(out) + 2 + 12 * len(fields) + 4
+    for tag, kind, values in fields:
+        body = struct.pack(f"{order}{len(values)}{code[kind]}", *values)
+        if len(body) > 4:
+            extra, body = extra + body, struct.pack(order + "I", place + len(extra))
+        entries += struct.pack(order + "HHI", tag, kind, len(values)) + body.ljust(4, b"\0")
+    return bytes(out + struct.pack(order + "H", len(fields)) + entries + b"\0\0\0\0" + extra)
+
+
+def test_tiff_codecs_on_foreign_bytes():
+    # the example of the PackBits description, and LZW codes worked out by hand: clear, 65, 66, 258, 260, end in 9 bits
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert media_tiff.unpack_bits(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    bits = "".join(f"{c:09b}" for c in (256, 65, 66, 258, 260, 257))
+    coded = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert media_tiff.lzw_decode(coded, 100) == b"ABABABA"
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_tiff_of_few_bits_planes_and_reversed_bits(order):
+    def page(fields, data):
+        (found,) = media_tiff.decode_tiff(tiff_file(fields, data, order))
+        return found.data
+
+    size = [(256, 3, [3]), (257, 3, [2])]
+    strip = lambda n: [(273, 4, [8]), (278, 3, [2]), (279, 4, [n])]
+    assert page([*size, (258, 3, [1]), (259, 3, [1]), *strip(2)], b"\xa0\x40") == bytes([1, 0, 1, 0, 1, 0])
+    assert page([*size, (259, 3, [1]), (266, 3, [2]), *strip(2)], b"\x05\x02") == bytes([1, 0, 1, 0, 1, 0])
+    assert page([*size, (258, 3, [4]), (259, 3, [1]), *strip(4)], b"\x12\x30\x45\x60") == bytes([1, 2, 3, 4, 5, 6])
+    assert page([*size, (258, 3, [2]), (259, 3, [32773]), *strip(3)], b"\x01\x1b\xe4") == bytes([0, 1, 2, 3, 2, 1])
+    planes = [*size, (258, 3, [8, 8]), (259, 3, [1]), (273, 4, [8, 14]), (277, 3, [2]), (278, 3, [2]), (279, 4, [6, 6]), (284, 3, [2])]
+    assert page(planes, bytes(range(12))) == bytes([0, 6, 1, 7, 2, 8, 3, 9, 4, 10, 5, 11])
+
+
+BASE = {256: (3, [4]), 257: (3, [8]), 258: (3, [8]), 259: (3, [1]), 273: (4, [8, 12, 16, 20, 24, 28, 32, 36]), 278: (3, [1]), 279: (4, [4] * 8)}
+BROKEN = {
+    "few strips": {273: (4, [8]), 279: (4, [4])}, "many strips": {273: (4, [8] * 9), 279: (4, [4] * 9)}, "no counts": {279: None}, "no offsets": {273: None}, "width 0": {256: (3, [0])}, "length 0": {257: (3, [0])},
+    "rows 0": {278: (3, [0])}, "huge": {256: (4, [1 << 31]), 257: (4, [1 << 31]), 278: (4, [1 << 31]), 273: (4, [8]), 279: (4, [32])}, "tile width 0": {322: (3, [0]), 323: (3, [16]), 324: (4, [8]), 325: (4, [32])},
+    "no tile counts": {322: (3, [16]), 323: (3, [16]), 324: (4, [8])}, "huge tile": {322: (4, [1 << 30]), 323: (4, [1 << 30]), 324: (4, [8]), 325: (4, [32])}, "bits 5": {258: (3, [5])}, "no samples": {277: (3, [0])},
+    "offset outside": {273: (4, [8] * 7 + [1 << 31])}, "scheme": {259: (3, [7])}, "LZW": {259: (3, [5])}, "deflate": {259: (3, [8])}, "predictor": {317: (3, [3])}, "uneven bits": {258: (3, [8, 16])},
+}
+
+
+def test_broken_tiff_files_give_errors(spark):
+    """Every file has its rows: pages, or an error."""
+    files = [(0, tiff_file([(t, *v) for t, v in BASE.items()], bytes(range(32)))), (1, None), (2, b""), (3, b"II*\0")]
+    for k, (_, change) in enumerate(BROKEN.items(), 10):
+        fields = sorted((t, *v) for t, v in (BASE | change).items() if v)
+        files.append((k, tiff_file(fields, bytes(range(32)))))
+    rng = random.Random(9)
+    whole = media_tiff.encode_tiff(bytes(rng.randrange(256) for _ in range(6400)), compression=5, rows_per_page=50)
+    for k in range(100, 300):
+        broken = bytearray(whole)
+        for _ in range(rng.randrange(1, 6)):
+            broken[rng.randrange(len(broken))] = rng.randrange(256)
+        files.append((k, bytes(broken[: rng.randrange(len(broken))] if k % 3 == 0 else broken)))
+    got = {}
+    for r in media_tiff.tiff_pages(spark.createDataFrame(files, "k int, media binary")).collect():
+        got.setdefault(r["k"], []).append(r)
+    assert set(got) == {k for k, _ in files}
+    assert [(r["data"], r["error"]) for r in got[0]] == [(bytes(range(32)), None)]
+    assert all(got[k][-1]["error"] and got[k][-1]["page"] == -1 for k in [1, 2, 3, *range(10, 10 + len(BROKEN))])
