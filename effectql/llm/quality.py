@@ -5,6 +5,11 @@ often each of them votes on good and on bad documents; all it needs are the coun
 are taken over the whole corpus. Its posteriors label a bounded sample, on which a linear scorer over
 hashed features is fitted; the scorer then judges every document. This is done for two heads: prose
 that isn't worth keeping (``junk``) and abuse (``toxic``).
+
+Labellers of junk go by the form of a text. Those of abuse go by words: nouns and adjectives of general
+word lists in four languages, and, where some documents are labelled, words that abusive ones have and
+others lack. The latter are mined from at most LABELLED labelled rows and dealt by hash to two labellers,
+which so don't share a word. Labels are used for nothing else; without any, these two labellers abstain.
 """
 
 from __future__ import annotations
@@ -18,10 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table, text_slices
-from .wordhash import Words, mix, separators, words_of
+from .wordhash import Words, column_bytes, mix, separators, words_of
 
 #: Documents on which the scorer is fitted, at most (about; they are drawn by a hash of text and id).
 SAMPLE = 8_000
+#: Labelled rows from which words are mined, at most (those with the least hash of their id), and words that are kept.
+LABELLED, MINED = 20_000, 4_096
+#: A mined word stands in this many abusive documents at least, and this share of the documents that have it is abusive.
+MINED_LEAST, MINED_SHARE = 4, 0.7
 #: Features that fewer sampled documents have aren't used; words must also lie mostly in bad documents.
 LEAST, LEAST_WORDS, BAD_SHARE = 4, 8, 0.6
 REJECT = 0.5
@@ -33,7 +42,21 @@ FUNCTION_WORDS = (
     "der die das und den von zu mit sich auf für ist im dem nicht ein eine "
     "el los las y del se con es no al lo para una"
 ).split()
-INSULTS = "trash pathetic idiot worthless disgusting stupid clown scum loser moron".split()
+# General word lists of abuse: what people are called, and what is said of them.
+ABUSE_NOUNS = (
+    "idiot idiots moron morons imbecile cretin loser losers scum scumbag trash vermin clown clowns jerk jerks bastard bastards "
+    "bitch asshole dumbass dickhead prick twat wanker maggot filth pig swine coward freak pervert parasite fool fools dimwit halfwit "
+    "abschaum arschloch arschlöcher depp deppen trottel vollidiot schwachkopf dummkopf mistkerl drecksau schlampe hurensohn wichser versager "
+    "salaud salope connard connards connasse crétin abruti ordure raclure enculé bâtard imbécile racaille pourriture minable "
+    "imbécil cabrón gilipollas pendejo basura escoria payaso perdedor hijoputa malnacido mamón cretino zorra"
+).split()
+ABUSE_ADJECTIVES = (
+    "stupid pathetic worthless disgusting dumb idiotic moronic filthy useless brainless gutless spineless repulsive vile despicable "
+    "braindead retarded ugly ridiculous revolting contemptible subhuman "
+    "dumm dämlich blöd bescheuert widerlich ekelhaft erbärmlich wertlos hirnlos nutzlos verblödet armselig "
+    "stupide débile pathétique dégoûtant dégueulasse méprisable répugnant pitoyable nul nulle "
+    "estúpido estúpida idiota patético patética asqueroso asquerosa inútil despreciable repugnante miserable"
+).split()
 
 _LETTERS = separators(bytes(b for b in range(33, 127) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123)))
 _SYMBOL = np.zeros(256, bool)
@@ -51,6 +74,8 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if len(known) == 0:
+        return np.zeros(len(values), bool)
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
@@ -59,7 +84,7 @@ KINDS: dict[str, list[list[int]]] = {"junk": [[0, 1], [2, 3], [4, 5], [6, 7]], "
 #: Labellers: the head they speak to, and what they go by. A vote always speaks against a document.
 LABELLERS: dict[str, list[str]] = {
     "junk": ["symbols", "symbol_ends", "capitals", "exclamations", "repeats", "sameness", "bare_marks", "no_function_words"],
-    "toxic": ["insults_a", "insults_b", "insults_c", "insults_d"],
+    "toxic": ["abuse_nouns", "abuse_adjectives", "mined_a", "mined_b"],
 }
 _MEASURES = ("symbols", "symbol_ends", "capitals", "exclamations", "repeats", "sameness", "bare_marks", "function_words")
 
@@ -79,14 +104,20 @@ def _sums(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]).astype(float)
 
 
-def measure(column: pa.Array) -> Measured:
-    """All labellers' measures and votes for the texts of a column. Texts without words get no votes."""
+_NOUNS, _ADJECTIVES = _hashes(ABUSE_NOUNS), _hashes(ABUSE_ADJECTIVES)
+_FUNCTION = _hashes(FUNCTION_WORDS)
+_NONE = np.zeros(0, np.uint64)
+
+
+def measure(column: pa.Array, mined: np.ndarray = _NONE) -> Measured:
+    """All labellers' measures and votes for the texts of a column. Texts without words get no votes.
+
+    ``mined``: sorted hashes of words of labelled abuse.
+    """
     spaced = words_of(column)
     letters = words_of(column, _LETTERS)
     data, rows = spaced.data, np.asarray(letters.first)
     n, ln = np.maximum(spaced.counts, 1), np.maximum(letters.counts, 1)
-    from .wordhash import column_bytes
-
     _, offsets = column_bytes(column)
     length = np.maximum(np.diff(offsets), 1)
     tail = data[spaced.end - 1] if len(spaced.end) else np.zeros(0, np.uint8)
@@ -111,10 +142,11 @@ def measure(column: pa.Array) -> Measured:
         "repeats": _sums(same, rows) / ln,
         "sameness": 1 - distinct / ln,
         "bare_marks": _sums(alnum[spaced.end] == alnum[spaced.start], spaced.first) / n,
-        "function_words": _sums(_member(letters.hashes, _hashes(FUNCTION_WORDS)), rows) / ln,
+        "function_words": _sums(_member(letters.hashes, _FUNCTION), rows) / ln,
     }
     count = letters.counts
-    insults = [_member(letters.hashes, _hashes(part)) for part in (INSULTS[0::2], INSULTS[1::2], INSULTS[:6], INSULTS[4:])]
+    half = mix(mined) & np.uint64(1) == 1
+    lists = {"abuse_nouns": _NOUNS, "abuse_adjectives": _ADJECTIVES, "mined_a": mined[half], "mined_b": mined[~half]}
     votes = {
         "symbols": m["symbols"] > 0.03,
         "symbol_ends": m["symbol_ends"] > 0.2,
@@ -125,14 +157,17 @@ def measure(column: pa.Array) -> Measured:
         "bare_marks": (m["bare_marks"] > 0.15) & (count >= 3),
         "no_function_words": (m["function_words"] < 0.03) & (count >= 20),
     }
-    votes |= {f"insults_{c}": _sums(x, rows) > 0 for c, x in zip("abcd", insults, strict=True)}
+    votes |= {name: _sums(_member(letters.hashes, x), rows) > 0 for name, x in lists.items()}
     return Measured(int(spaced.counts.sum()), m, letters, votes)
 
 
-def patterns(column: pa.Array) -> np.ndarray:
+def patterns(column: pa.Array, mined: np.ndarray = _NONE) -> np.ndarray:
     """The votes of each row as bits, labellers of all heads in order."""
-    votes = measure(column).votes
-    out = np.zeros(len(column), np.int64)
+    return _bits(measure(column, mined).votes, len(column))
+
+
+def _bits(votes: dict[str, np.ndarray], n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
     for i, name in enumerate(x for names in LABELLERS.values() for x in names):
         out |= votes[name].astype(np.int64) << i
     return out
@@ -144,19 +179,22 @@ _ODD = np.uint64(1)
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features and where each row's begin: its distinct words and in which step each measure lies."""
-    found = measure(column)
-    owner = np.repeat(np.arange(len(column)), found.letters.counts)
+    return _features(measure(column), len(column))
+
+
+def _features(found: Measured, n: int) -> tuple[np.ndarray, np.ndarray]:
+    owner = np.repeat(np.arange(n), found.letters.counts)
     value = found.letters.hashes | _ODD
     for i, name in enumerate(_MEASURES):
         step = np.minimum((found.measures[name] * 20).astype(np.int64), 19)
         few = np.minimum(found.letters.counts, 20) // 10
         value = np.concatenate((value, mix(((i * 32 + step) * 4 + few + 1).astype(np.uint64) << np.uint64(40)) & ~_ODD))
-        owner = np.concatenate((owner, np.arange(len(column))))
+        owner = np.concatenate((owner, np.arange(n)))
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return value[new], np.searchsorted(owner[new], np.arange(len(column) + 1))
+    return value[new], np.searchsorted(owner[new], np.arange(n + 1))
 
 
 @dataclass
@@ -180,7 +218,8 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, kinds: list[list[int]], st
     """Expectation-maximisation over vote patterns and their counts.
 
     Documents are good or bad in one of several ways; ``kinds`` names the labellers that each way begins
-    with. Labellers vote on their own given the kind, and all their rates are estimated.
+    with. Labellers vote on their own given the kind, and all their rates are estimated, those on good
+    documents included. Only the start tells good from bad: documents without votes begin as good.
     """
     hold = np.full((len(votes), len(kinds) + 1), 0.02)
     hold[:, 0] = np.where(votes.any(axis=1), 0.02, 1)
@@ -191,8 +230,8 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, kinds: list[list[int]], st
         weight = hold * counts[:, None]
         total = weight.sum(axis=0)
         rates = (weight.T @ votes + 0.5) / (total + 1)[:, None]
-        rates[0] = np.clip((weight[:, 0] @ votes + 0.01) / (total[0] + 10), 1e-6, 0.02)
-        model = LabelModel((total + 1) / (total + 1).sum(), np.clip(rates, 1e-6, 0.98))
+        rates[0] = (weight[:, 0] @ votes + 0.01) / (total[0] + 10)  # a weak belief, worth ten documents, that labellers seldom err
+        model = LabelModel((total + 1) / (total + 1).sum(), np.clip(rates, 1e-6, 1 - 1e-6))
         hold = model.posterior(votes)
     return model
 
@@ -258,18 +297,50 @@ def _votes(bits: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
+def mine(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> np.ndarray:
+    """Sorted hashes of words that labelled abusive documents have and other labelled ones mostly lack.
+
+    ``labels``: doc_id, toxic (0 or 1). Rows without either, or of no document, count for nothing; of
+    labels that repeat an id the largest holds. At most ``most`` labels are read, those with the least hash
+    of their id; they are broadcast. Words are counted on the executors, and at most MINED of them,
+    those in the most abusive documents, are kept.
+    """
+    prepare(docs.sparkSession)
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labelled = texts.join(F.broadcast(drawn), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"))
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            found = words_of(batch.column(0), _LETTERS)
+            toxic = np.asarray(batch.column(1))
+            row = np.repeat(np.arange(batch.num_rows), found.counts)
+            value, first = np.unique(np.stack((found.hashes, row.astype(np.uint64))), axis=1)
+            word, index = np.unique(value, return_inverse=True)
+            bad = np.bincount(index, toxic[first.astype(np.int64)], minlength=len(word)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bad), pa.array(np.bincount(index, minlength=len(word)))], ["word", "bad", "n"])
+
+    counted = labelled.mapInArrow(words, "word long, bad long, n long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    telling = counted.where((F.col("bad") >= MINED_LEAST) & (F.col("bad") >= MINED_SHARE * F.col("n")))
+    kept = telling.orderBy(F.desc("bad"), "n", "word").limit(MINED).select("word").collect()
+    return np.sort(np.array([r["word"] for r in kept], np.int64).view(np.uint64))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> QualityModel:
     """Fit labels on the votes of all ``docs``, and the scorers on about ``sample`` of them.
 
-    The driver gets the counts of vote patterns (at most 2 to the number of labellers) and the hashed
-    features of the sample.
+    ``labels`` (doc_id, toxic), where given, are what ``mine`` takes its words from. The driver gets the
+    counts of vote patterns (at most 2 to the number of labellers) and the hashed features of the sample,
+    which is the rows with the least hashes of id and text.
     """
     prepare(docs.sparkSession)
+    mined = _NONE if labels is None else mine(docs, labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            bits, counts = np.unique(patterns(batch.column(1)), return_counts=True)
+            bits, counts = np.unique(patterns(batch.column(1), mined), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bits), pa.array(counts)], ["bits", "n"])
 
     counted = texts.mapInArrow(vote, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
@@ -284,17 +355,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
 
     def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            values, first = features(batch.column(1))
+            found = measure(batch.column(1), mined)
+            values, first = _features(found, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(patterns(batch.column(1))),
+                    batch.column(2),
+                    pa.array(_bits(found.votes, batch.num_rows)),
                     pa.array([values[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()),
                 ],
-                ["bits", "features"],
+                ["luck", "bits", "features"],
             )
 
-    luck = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1)
-    drawn = texts.where(luck).mapInArrow(sampled, "bits long, features binary").limit(int(1.2 * sample) + 100).collect()
+    # a hair more than the sample, then exactly those with the least hashes; equal rows are drawn together
+    luck = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    near = texts.withColumn("luck", luck).where(F.col("luck") < int(share * (1 << 30)) + (share == 1))
+    drawn = near.mapInArrow(sampled, "luck long, bits long, features binary").orderBy("luck", "bits", "features").limit(int(1.2 * sample) + 100).collect()
     values = [np.frombuffer(r["features"], np.uint64) for r in drawn]
     first = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int64)
     every = np.concatenate([*values, np.zeros(0, np.uint64)])
@@ -351,7 +426,7 @@ def _scores(texts: pa.Array, scorers: dict[str, Scorer]) -> list[np.ndarray]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs))
+    return score(docs, fit(docs, labels=table(spark, sf_dir, "labels")))
 
 
 NAME = "op1_quality"

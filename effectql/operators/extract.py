@@ -374,13 +374,31 @@ def card_rows(card_id, desc, pendulum_text, pendulum, fallback=None, exact_stats
                 yield c | p | {"pred_index": i, "modifiers_json": json.dumps(p["modifiers"], sort_keys=True), "span_start": a, "span_end": b}
 
 
-def extract(texts: DataFrame, fallback=None, exact_stats: bool = False) -> DataFrame:
+#: Extractors for units that the rules leave unresolved, by name; see ``parse_unit``.
+_extractors: dict[str, Callable[[Unit], list[Clause] | None] | None] = {"rule": None}
+
+
+def register_extractor(name: str, extractor: Callable[[Unit], list[Clause] | None]) -> None:
+    """Make an extractor known by a name; "rule", the rules alone, is taken."""
+    if name == "rule":
+        raise ValueError("the name is taken")
+    _extractors[name] = extractor
+
+
+def extractor(name: str) -> Callable[[Unit], list[Clause] | None] | None:
+    if name not in _extractors:
+        raise ValueError(f"no extractor {name!r}; known are {', '.join(sorted(_extractors))}")
+    return _extractors[name]
+
+
+def extract(texts: DataFrame, fallback: Callable[[Unit], list[Clause] | None] | str | None = None, exact_stats: bool = False) -> DataFrame:
     """Flat rows of all cards in ``texts``: card_id, desc, pdesc, pendulum (boolean).
 
-    Cards without text give no rows. Each card is parsed once; ``fallback`` (see parse_unit) must be
-    picklable.
+    Cards without text give no rows. Each card is parsed once; ``fallback`` (see parse_unit), or the one
+    registered under that name, must be picklable.
     """
     ship(texts.sparkSession)
+    fallback = extractor(fallback) if isinstance(fallback, str) else fallback
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -297,3 +297,23 @@ def test_column_functions_agree_with_the_extraction(spark):
     for r in made.collect():
         x = texts[r["i"]]
         assert (r["normal"], r["mask"], r["names"], r["subject"]) == (extract.normalize(x), extract.mask(x), extract.names(x), extract._subject(x)), x
+
+
+def test_extractors_by_name(spark):
+    texts = spark.createDataFrame([(1, "①：谜。", None, False)], "card_id long, desc string, pdesc string, pendulum boolean")
+    extract.register_extractor("tests", lambda unit: [])
+    assert extract.extract(texts, "rule").first()["parse_status"] == "UNRESOLVED"
+    assert extract.extract(texts, "tests").collect() != extract.extract(texts).collect()
+    with pytest.raises(ValueError):
+        extract.extract(texts, "unknown")
+    with pytest.raises(ValueError):
+        extract.register_extractor("rule", lambda unit: None)
+
+
+def test_published_checksum(tmp_path):
+    told = tmp_path / "sum.txt"
+    told.write_text('"0123456789ABCDEF0123456789abcdef"  cards.json\n')
+    assert readers.published_md5(told.as_uri()) == "0123456789abcdef0123456789abcdef"
+    assert readers.published_md5((tmp_path / "missing").as_uri()) is None
+    told.write_text("<html>")
+    assert readers.published_md5(told.as_uri()) is None
