@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .catalog import SCHEMAS
 from .functions import scalars as S
 from .functions import vocab as V
 from .ingest import resolve
 from .operators import aggregates as A
 from .operators import dml, extract
 from .plans.ast import Exists, Field, Query, all_of, any_of, negate
+from .plans.cards import tables
 from .plans.compile import LOWER, UPPER, Compiler, fold
 from .plans.filters import parse_filters
 from .plans.retail import MODEL, load
+from .plans.search import Searcher
 from .plans.sqlprint import Printer
 from .sources import normalize, readers
 
@@ -760,3 +763,55 @@ def resolve_ids(spark, sf_dir):
     records = t(spark, sf_dir, "customer").select("c_custkey", F.array(F.struct(F.lit("code").alias("source"), F.col("c_nationkey").cast("string").alias("external_id"))).alias("external_ids"))
     known = t(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.lit("code").alias("source"), F.col("n_nationkey").cast("string").alias("external_id"), (F.col("n_nationkey") + 1).cast("long").alias("card_id"))
     return resolve(records, known, 100).select("c_custkey", "card_id", "is_new")
+
+
+# -- search over the cards made of parts
+
+
+def _part_searcher(spark: SparkSession, sf_dir: str) -> Searcher:
+    part = t(spark, sf_dir, "part")
+    made = _card_tables(spark, sf_dir) | {
+        "card": part.select(F.col("p_partkey").cast("long").alias("card_id"), F.col("p_name").alias("canonical_name"), F.lit("MONSTER").alias("card_category"), (F.col("p_size") % 12 + 1).cast("int").alias("level_rank")),
+        "card_archetype": part.select(F.col("p_partkey").cast("long").alias("card_id"), F.inline(F.array(*(F.struct(x.alias("archetype"), x.alias("archetype_raw")) for x in (F.col("p_brand"), F.col("p_type")))))),
+    }
+    stored = {}
+    for name in ("card", "card_archetype", "card_flag", "card_name", "effect_unit", "effect_clause", "effect_predicate"):
+        typed = spark.createDataFrame([], SCHEMAS[name])
+        rows = made.get(name, typed)
+        stored[name] = rows.select(*(rows[c] if c in rows.columns else F.lit(None).cast(typed.schema[c].dataType).alias(c) for c in typed.columns))
+    return Searcher(tables(stored))
+
+
+_banish = Query(all_of(Field("card.level_rank", "lte", 9), Exists(all_of(Field("effect.action", "eq", "BANISH"), Field("effect.object_count", "eq", 3)))), limit=40, offset=5)
+_banished = "FROM part WHERE p_size % 12 + 1 <= 9 AND p_size % 5 + 1 = 3"
+
+
+@query(
+    "search_hits",
+    f"""SELECT p_partkey AS card_id, p_name AS canonical_name, array_to_string(list_sort([p_brand, p_type]), ',') AS archetypes, '①' AS markers, 'BANISH,SPECIAL_SUMMON' AS actions
+    {_banished} ORDER BY translate(p_name, '{UPPER}', '{LOWER}'), p_partkey LIMIT 40 OFFSET 5""",
+)
+def search_hits(spark, sf_dir):
+    """A page of hits with archetypes and the effects that matched, whole units with all their predicates."""
+    hits = _part_searcher(spark, sf_dir).hits(_banish)
+    units = F.col("matched_effects")
+    return hits.select(
+        "card_id", "canonical_name", F.array_join("archetypes", ",").alias("archetypes"), F.array_join(F.transform(units, lambda u: u["marker"]), ",").alias("markers"),
+        F.array_join(F.flatten(F.transform(units, lambda u: F.transform(u["predicates"], lambda p: p["action"]))), ",").alias("actions"),
+    )
+
+
+@query("search_total", f"SELECT count(*)::BIGINT AS total {_banished}")
+def search_total(spark, sf_dir):
+    """The number of hits, whatever the page."""
+    found = _part_searcher(spark, sf_dir)
+    return found.compiler.count(_banish).select(F.col(found.compiler.count(_banish).columns[0]).cast("long").alias("total"))
+
+
+@query(
+    "search_effects",
+    f"""SELECT p.card_id, 1 + CAST(s % 3 = 0 AS INT) - 1 AS unit_index, concat('把墓地的3只', {_attribute.replace('p_partkey', 'card_id')}, '属性怪兽除外才能发动。从额外卡组特殊召唤1只', {_race.replace('p_partkey', 'card_id')}, '怪兽。') AS unit_text
+    FROM (SELECT p_partkey AS card_id, p_size AS s {_banished} ORDER BY translate(p_name, '{UPPER}', '{LOWER}'), p_partkey LIMIT 40 OFFSET 5) p""",
+)
+def search_effects(spark, sf_dir):
+    return _part_searcher(spark, sf_dir).effects(_banish).select("card_id", "unit_index", "unit_text")
