@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import time
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -17,77 +20,114 @@ from ..session import ship
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Bytes of text that one vectorised step holds at a time.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that one vectorised step holds at a time; its arrays take some 100 times as many.
+SLICE_BYTES = 1 << 18
 
-_parked: dict[str, list[str]] = {}
-_collected = 0.0
+#: The paths that each open scope has parked; the innermost takes them.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a temporary folder is taken and set as the
-    checkpoint folder.
+    Where the setting is absent, a temporary folder is taken and set as the checkpoint folder if master
+    and executors are one machine; else RuntimeError is raised, as executors would each write to a disk
+    of their own.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    known = sc.getCheckpointDir()
-    if known is None:
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='effectql-')}")
-        known = sc.getCheckpointDir()
-    return known.rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='effectql-')}")
+    return sc.getCheckpointDir().rstrip("/")
+
+
+#: Bytes (about) and rows of an Arrow batch at most: long texts come a few at a time, numbers by the thousand.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 8192
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits in a worker, and ship the package."""
+    """Bound the Arrow batches, which executors and their workers hold outside the heap, and ship the package."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 2048:
-        spark.conf.set(key, "2048")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def _collect_garbage(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles of plans that are done with; now and then is enough."""
-    global _collected
-    if time.monotonic() - _collected > 4:
-        spark._jvm.System.gc()
-        _collected = time.monotonic()
+def _folder(spark: SparkSession, path: str):
+    """A path of the shared file system and that file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def expire(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the innermost scope ends, or else with the application."""
+    where, system = _folder(spark, path)
+    system.deleteOnExit(where)
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, system = _folder(spark, path)
+    system.delete(where, True)
 
 
 def park(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    It cuts the lineage and survives the loss of executors; ``release`` deletes what was parked.
+    It cuts the lineage and survives the loss of executors. The table lives as long as the innermost
+    ``scope``, or, outside of any, as long as the application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parked/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _collect_garbage(spark)
-    _parked.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _tidy(spark)
+    expire(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parked(spark: SparkSession) -> int:
-    """How many tables this application has parked; to be given to ``release``."""
-    return len(_parked.get(spark.sparkContext.applicationId, []))
+#: Seconds between collections of the driver's garbage that ``park`` asks for; None: never.
+TIDY_SECONDS: float | None = 5
+_tidied = 0.0
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables parked after the first ``since``; call it once the results that need them are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    paths = _parked.get(spark.sparkContext.applicationId, [])
-    while len(paths) > since:
-        where = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        where.getFileSystem(conf).delete(where, True)
+def _tidy(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect garbage, now and then.
+
+    Executors keep the broadcasts and shuffles of a finished plan until its last reference on the driver
+    is collected. An operator runs many short jobs that leave hardly any garbage on the driver, so that
+    this would come about too late for executors of a few GB.
+    """
+    global _tidied
+    if TIDY_SECONDS is not None and time.monotonic() - _tidied > TIDY_SECONDS:
+        spark._jvm.System.gc()
+        _tidied = time.monotonic()
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables parked inside are deleted at the end; results that need them must be written before."""
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in mine:
+            delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exists(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    where, system = _folder(spark, f"{sf_dir}/{name}.parquet")
+    return system.exists(where)
+
+
 def text_slices(
     batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
@@ -110,6 +150,46 @@ def text_slices(
         yield batch.slice(start)
 
 
+#: Bits (as powers of two) of the bitmaps that keep rows out of a shuffle, and bits for each key.
+LEAST_BITS, MOST_BITS, BITS_PER_KEY = 12, 24, 32
+
+
+def marked_rows(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``__hit``: true for all rows whose keys are in ``wanted`` and, by chance, for some others.
+
+    A bitmap of the hashed keys is broadcast; it has BITS_PER_KEY bits for each key, 2^MOST_BITS at most
+    (2 MB of bits, in 2^18 words). Where it fills up, more rows are hit by chance, which costs time and
+    changes no result.
+    """
+    size = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_KEY * wanted.count()).bit_length()))
+    bit = F.xxhash64(*keys).bitwiseAND((1 << size) - 1)
+    word, place = F.shiftright(bit, 6).cast("int"), bit.bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    bits = wanted.groupBy(word.alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    dealt = rows.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    return dealt.withColumn("__hit", F.coalesce(F.getbit("__bits", place) == 1, F.lit(False))).drop("__word", "__bits")
+
+
+def with_rows(rows: DataFrame, wanted: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``wanted`` (parked) with ``columns`` of the rows that its keys name; no key is null.
+
+    Of the other rows only those that the bitmap hits by chance take part in the join.
+    """
+    hit = marked_rows(rows, wanted, keys).where("__hit").select(*keys, *columns)
+    return hit.hint("merge").join(wanted, keys).select(*wanted.columns, *columns)
+
+
+def without_rows(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` but those whose keys are in ``gone``. Both are read twice and should be parked.
+
+    Rows that the bitmap misses stay where they lie, the others are anti-joined; no key is null.
+    """
+    marked = marked_rows(rows, gone, keys)
+    hit = marked.where("__hit").drop("__hit")
+    kept = hit.hint("merge").join(gone.select(*keys), keys, "left_anti").select(*rows.columns)
+    return marked.where("not __hit").select(*rows.columns).unionByName(kept)
+
+
 #: A key that holds this share of all rows is joined apart; at most 1 / HOT_SHARE keys do.
 HOT_SHARE = 1 / 200
 
@@ -129,17 +209,22 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, count: str, total: in
 
 
 def numbered(
-    rows: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 64, spread: list[str] | None = None
+    rows: DataFrame, group: list[str], order: list[str], name: str, buckets: int | DataFrame = 64, spread: list[str] | None = None
 ) -> DataFrame:
     """Number the rows of each group gapless from 0, in no task more than a bucket of a group.
 
     Buckets come from a hash of ``spread`` (else ``order``); a bucket's first number is the sum of the
-    counts before it. There must be a bounded number of groups: the counts (groups x buckets) are broadcast.
+    counts before it. ``buckets`` is their number in every group, or a table of it (the group, buckets).
+    There must be a bounded number of groups: the counts (groups x buckets) are broadcast.
     ``rows`` is read twice and should be parked.
     """
     from pyspark.sql import Window
 
-    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*(spread or order)), F.lit(buckets)))
+    if isinstance(buckets, DataFrame):
+        many = buckets.withColumnRenamed("buckets", "__buckets")
+        dealt = rows.join(F.broadcast(many), group).withColumn("__bucket", F.pmod(F.xxhash64(*(spread or order)), F.col("__buckets"))).select(*rows.columns, "__bucket")
+    else:
+        dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*(spread or order)), F.lit(buckets)))
     keys = [*group, "__bucket"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

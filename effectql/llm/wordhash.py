@@ -43,7 +43,7 @@ _WHITE = separators()
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1 << 21)
+        size = max(n, 1 << 19)
         back = pow(_BASE, -1, 1 << 64)
         made = []
         for factor in (_BASE, back):
