@@ -158,6 +158,88 @@ def test_label_model_finds_accuracies():
     assert abs(model.shares[1] - bad.mean()) < 0.02
 
 
+def test_label_model_finds_accuracies_of_labellers_that_err():
+    """Labellers that speak against 5 to 10 % of good documents, and have two kinds of bad ones to tell apart."""
+    rng = np.random.default_rng(4)
+    kind = rng.choice(3, 60_000, p=[0.8, 0.12, 0.08])
+    rates = np.array([[0.05, 0.10, 0.08, 0.07, 0.06, 0.10], [0.9, 0.8, 0.7, 0.06, 0.05, 0.1], [0.05, 0.1, 0.08, 0.85, 0.9, 0.75]])
+    votes = (rng.random((60_000, 6)) < rates[kind]).astype(float)
+    found, index, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = quality.fit_labels(found, counts.astype(float), [[0, 1, 2], [3, 4, 5]])
+    assert np.abs(model.rates - rates).max() < 0.03
+    assert np.abs(model.shares - [0.8, 0.12, 0.08]).max() < 0.01
+    assert ((model.bad(found)[index] > 0.5) == (kind > 0)).mean() > 0.95
+
+
+def test_words_of_labelled_abuse_are_mined(spark):
+    """Abuse in words that no list has: learned from labelled rows, found in others, and without labels nothing is."""
+    rng = random.Random(6)
+    slurs = [f"zq{k}ro" for k in range(12)]
+
+    def docs_of(first, n):
+        out = []
+        for i in range(n):
+            w = [rng.choice(PROSE.split()) if rng.random() < 0.5 else f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(400)}" for _ in range(80)]
+            if bad := rng.random() < 0.15:
+                for s in rng.sample(slurs, 4):
+                    w[rng.randrange(80)] = s
+            out.append((first + i, " ".join(w), bad))
+        return out
+
+    docs, held = docs_of(0, 800), docs_of(5_000, 300)
+    frame = spark.createDataFrame(rows([(i, t) for i, t, _ in [*docs, *held]]), SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, _, b in docs] + [(None, 1, 1), (3, 1, None), (10**6, 0, 1)], "doc_id long, quality int, toxic int")
+    mined = quality.mine(frame, labels)
+    assert set(np.sort(quality._hashes(slurs))) <= set(mined)
+    kept = {r["doc_id"]: r["kept"] for r in quality.score(frame, quality.fit(frame, labels=labels)).collect()}
+    assert sum(kept[i] != b for i, _, b in held) >= 0.98 * len(held)
+    alone = quality.score(frame, quality.fit(frame)).where("not kept").count()
+    assert alone < 10
+    assert len(quality.mine(frame, labels.limit(0))) == 0 and len(quality.mine(frame.limit(0), labels)) == 0
+
+
+def test_sample_is_the_same_every_time(spark):
+    docs = graded(400, 3)
+    frame = spark.createDataFrame(rows([(i, t) for i, t, _ in docs]), SCHEMA)
+    a, b = quality.fit(frame, sample=100), quality.fit(frame.repartition(7), sample=100)
+    for head in a.scorers:
+        assert np.array_equal(a.scorers[head].keys, b.scorers[head].keys) and np.allclose(a.scorers[head].weights, b.scorers[head].weights)
+
+
+def greedy_cut(groups, shards, total):
+    """Groups that are cut when each goes, largest first, to the emptiest shard: a plain assignment to be beaten."""
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    cut = 0
+    for n in sorted(groups, reverse=True):
+        s = max(range(shards), key=room.__getitem__)
+        if room[s] >= n:
+            room[s] -= n
+        else:
+            cut += 1
+            while n:
+                s = max(range(shards), key=room.__getitem__)
+                taken = min(n, room[s])
+                assert taken
+                room[s], n = room[s] - taken, n - taken
+    return cut
+
+
+@pytest.mark.parametrize("share", [0.4, 0.6, 0.9, 0.99])
+def test_sharding_keeps_groups_that_fit(spark, share):
+    """Groups of a large share of a shard: no more are cut than by a greedy assignment."""
+    shards, quota = 6, 100
+    n = int(share * quota)
+    sizes = [n] * int(shards * (1 // share if share < 0.5 else 1))
+    sizes += [3] * min(10, (shards * quota - sum(sizes)) // 3)
+    sizes += [1] * (shards * quota - sum(sizes))
+    texts_ = [f"text {g}" for g, k in enumerate(sizes) for _ in range(k)]
+    placed = sharding.shard_documents(spark.createDataFrame(rows(list(enumerate(texts_))), SCHEMA), shards=shards)
+    groups, whole = sharding.cut_groups(placed, "text_crc32").first()
+    assert groups == sum(k > 1 for k in sizes)
+    assert groups - whole <= greedy_cut([k for k in sizes if k > 1], shards, shards * quota)
+    assert sorted(r["count"] for r in placed.groupBy("shard").count().collect()) == [quota] * shards
+
+
 def test_pipeline(spark, tmp_path):
     good = [(i + 10_000, t) for i, t, bad in graded(150, 4) if not bad]
     docs = [*texts(), *good, (9_000, " ".join(["word%%%"] * 50)), (9_001, "you idiot " * 30), (None, "no id of mine")]
