@@ -1,11 +1,20 @@
 """Suffix-array dedup with sparse suffixes.
 
-Any repeated passage of MIN_WORDS words holds the same minimiser (the least hash of its runs of ANCHOR
-words), whichever document it stands in. So suffixes are retained at minimiser positions only. They are
-sorted by what stands at the anchor and around it, as far left and right as any passage with this
-minimiser reaches, and neighbours are compared: equal surroundings repeat as a whole. Where surroundings
-differ, matches are extended left and right from the anchor a word at a time, as hashes of all passages
-with this minimiser. The first occurrence of a passage (by doc_id and place) stays, later ones are found.
+1. Any repeated passage of MIN_WORDS words holds the same minimiser (the least hash of its runs of ANCHOR
+   words), whichever document it stands in. So suffixes are retained at minimiser positions only.
+2. Retained suffixes are sorted by the words at their anchor and by their surroundings, as far left and
+   right as any passage with this minimiser reaches. Neighbours in that order with equal surroundings
+   repeat as a whole; of each kind of surroundings the first occurrence goes on to step 3.
+3. Where an anchor has several surroundings, their words are fetched and sorted as suffixes. The common
+   prefix of neighbours, and of all others as the least on the way to them, tells how far two suffixes
+   match to the right; the words in front of the anchor are compared to extend the match to the left. What
+   is matched in MIN_WORDS words or more repeats.
+4. Neighbours alone would lose matches: of three occurrences the best partner on the left need not stand
+   next on the right. So step 3 looks at all occurrences of an anchor, up to BLOCK. Beyond that (a license
+   text in many documents) the passages with this anchor are hashed one by one, their first occurrences
+   found by a pre-aggregated minimum, and joined to the others, so that no task holds the whole group.
+
+The first occurrence of a passage (by doc_id and place) stays, later ones are found.
 """
 
 from __future__ import annotations
@@ -17,12 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import park, prepare, table, text_slices
-from .ngram_join import texts_of
+from .common import HOT_SHARE, join_hot, marked_rows, park, prepare, table, text_slices, with_rows
 from .wordhash import Words, _grown, mix, words_of
 
 MIN_WORDS = 50
 ANCHOR = 20
+#: Different surroundings of an anchor that are compared as sorted suffixes; beyond, passages are hashed.
+BLOCK = 48
+#: An anchor with fewer occurrences is drawn together, whatever its share.
+LEAST_HOT = 1000
+#: Stands for a null doc_id, which comes last.
+UNNAMED = (1 << 63) - 1
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -51,12 +65,12 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(words: Words, least: int) -> tuple[np.ndarray, ...]:
-    """Row, hash at the anchor, hash of its surroundings, first and last start (word of the row) of its passages."""
+    """Row, hash at the anchor, hash of its surroundings, first and last start of its passages, and its place (words of the row)."""
     none = np.zeros(0, np.int64)
     n = len(words.hashes)
     size = min(ANCHOR, least)
     if n < least:
-        return none, none, none, none, none
+        return (none,) * 6
     total = _prefix(words)
     at = np.arange(n - size + 1)
     grams = _runs(total, at, at + size)
@@ -65,7 +79,7 @@ def anchors(words: Words, least: int) -> tuple[np.ndarray, ...]:
     start = np.arange(len(where))
     start = start[start + least <= words.first[row[: len(where)] + 1]]
     if len(start) == 0:
-        return none, none, none, none, none
+        return (none,) * 6
     place = where[start].astype(np.int64)
     new = np.ones(len(start), bool)
     new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (row[start[1:]] != row[start[:-1]])
@@ -73,155 +87,215 @@ def anchors(words: Words, least: int) -> tuple[np.ndarray, ...]:
     low, high = start[first], start[np.append(first[1:], len(start)) - 1]
     r = row[low]
     span = _runs(total, low, high + least)
-    return r, grams[place[first]].view(np.int64), span.view(np.int64), low - words.first[r], high - words.first[r]
+    base = words.first[r]
+    return r, grams[place[first]].view(np.int64), span.view(np.int64), low - base, high - base, place[first] - base
 
 
-ROWS = "kind int, sort1 long, sort2 long, doc_id long, low int, high int, source long"
-_names = [f.split()[0] for f in ROWS.split(", ")]
-#: An occurrence, one that is known to repeat an earlier passage, and one whose passages must be compared singly.
-OCCURS, REPEATS, VARIES = 0, 1, 2
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    """Arrays as the columns of ``schema`` (long, int or boolean)."""
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _rows(kind, sort1, sort2, doc, low, high, source) -> pa.RecordBatch:
-    n = len(doc)
-    kinds = np.full(n, kind, np.int32) if np.isscalar(kind) else kind
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kinds, pa.int32()), *(pa.array(np.asarray(x, np.int64)) for x in (sort1, sort2, doc)),
-         pa.array(np.asarray(low, np.int32)), pa.array(np.asarray(high, np.int32)), pa.array(np.asarray(source, np.int64))],
-        _names,
-    )
+#: A document is told apart by doc and ident: doc_id (UNNAMED for null), and the hash of its text or the number of its row.
+SUFFIX = "gram long, span long, doc long, ident long, low int, high int, at int, source long, repeats boolean"
+#: ``wide``: the anchor has more surroundings than BLOCK.
+FOUND = "gram long, doc long, ident long, low int, high int, at int, source long, repeats boolean, wide boolean"
+INTERVAL = "doc long, ident long, low int, high int, source long"
+
+
+def _thinned(same: np.ndarray, doc: np.ndarray, ident: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For sorted rows: which ones lead their equals, which are later ones, and the place of each one's leader."""
+    new = np.ones(len(doc), bool)
+    new[1:] = ~same
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    again = (doc == doc[lead]) & (ident == ident[lead]) & (low == low[lead])
+    return new, ~new & ~again, lead
 
 
-def _occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """All retained suffixes. Those that repeat another one nearby (in the same slice) are marked at once."""
+def _suffixes(docs: DataFrame, least: int) -> DataFrame:
+    """All retained suffixes (SUFFIX). Those that repeat another one in the same slice are marked at once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            r, gram, span, low, high = anchors(words_of(batch.column(1)), least)
+            r, gram, span, low, high, at = anchors(words_of(batch.column(2)), least)
             if len(r) == 0:
                 continue
-            doc = np.asarray(batch.column(0), dtype=np.int64)[r]
-            order = np.lexsort((low, doc, span, gram))
-            gram, span, doc, low, high = (x[order] for x in (gram, span, doc, low, high))
-            new = np.ones(len(doc), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-            again = (doc == doc[lead]) & (low == low[lead]) & ~new
-            yield _rows(OCCURS, gram[new], span[new], doc[new], low[new], high[new], doc[new])
-            late = ~new & ~again
-            if late.any():
-                spread = mix((doc[late] * 1_000_003 + low[late]).view(np.uint64)).view(np.int64)
-                yield _rows(REPEATS, spread, spread, doc[late], low[late], high[late] + least, doc[lead[late]])
+            doc, ident = (np.asarray(batch.column(k), dtype=np.int64)[r] for k in (0, 1))
+            order = np.lexsort((low, ident, doc, span, gram))
+            gram, span, doc, ident, low, high, at = (x[order] for x in (gram, span, doc, ident, low, high, at))
+            same = (gram[1:] == gram[:-1]) & (span[1:] == span[:-1])
+            new, late, lead = _thinned(same, doc, ident, low)
+            out = new | late
+            yield _batch(SUFFIX, *(x[out] for x in (gram, span, doc, ident, low, high, at, doc[lead], late)))
 
-    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, ROWS)
+    return docs.select("doc", "ident", "text").mapInArrow(run, SUFFIX)
 
 
-def _compare_neighbours(rows: DataFrame, least: int) -> DataFrame:
-    """Repeats, and first occurrences whose anchor has other surroundings elsewhere.
+def _compare_neighbours(suffixes: DataFrame, least: int) -> DataFrame:
+    """FOUND rows: repeats, and first occurrences whose anchor has other surroundings elsewhere.
 
-    The pass keeps the last first occurrence, however many rows share an anchor.
+    The pass keeps the last first occurrence and at most BLOCK of those before it, however many rows
+    share an anchor.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead: tuple | None = None  # anchor, surroundings, doc, low, high of the last first occurrence
-        varied = False
+        lead: list[int] | None = None  # gram, span, doc, ident, low, high, at of the last first occurrence
+        held = [np.zeros(0, np.int64)] * 7  # first occurrences of the last anchor that wait for its end
+        gone = 0  # and how many have gone ahead, as there are more than BLOCK
+
+        def told(rows: list[np.ndarray], wide: np.ndarray) -> pa.RecordBatch:
+            gram, _, doc, ident, low, high, at = rows
+            return _batch(FOUND, gram, doc, ident, low, high, at, doc, np.zeros(len(doc), bool), wide)
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            kind, gram, span, doc, low, high, source = (np.asarray(c, dtype=np.int64) for c in batch.columns)
-            told = kind == REPEATS
-            if told.any():
-                yield _rows(REPEATS, gram[told], span[told], doc[told], low[told], high[told], source[told])
-            gram, span, doc, low, high = (x[~told] for x in (gram, span, doc, low, high))
-            if len(doc) == 0:
-                continue
+            columns = [np.asarray(batch.column(k), dtype=np.int64) for k in range(7)]
             ahead = lead is not None
             if ahead:
-                gram, span, doc, low, high = (np.concatenate(([v], x)) for v, x in zip(lead, (gram, span, doc, low, high), strict=True))
-            new = np.ones(len(doc), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])
-            firsts = np.flatnonzero(new)
-            of = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-            late = ~new & ~((doc == doc[of]) & (low == low[of]))
+                columns = [np.concatenate(([v], x)) for v, x in zip(lead, columns, strict=True)]
+            gram, span, doc, ident, low, high, at = columns
+            same = (gram[1:] == gram[:-1]) & (span[1:] == span[:-1])
+            new, late, of = _thinned(same, doc, ident, low)
             if late.any():
-                yield _rows(REPEATS, gram[late], span[late], doc[late], low[late], high[late] + least, doc[of[late]])
-            same = gram[firsts[1:]] == gram[firsts[:-1]]
-            varies = np.zeros(len(firsts), bool)
-            varies[1:] |= same
-            varies[:-1] |= same
-            varies[0] |= ahead and varied
-            out = firsts[:-1][varies[:-1]]
-            if len(out):
-                yield _rows(VARIES, gram[out], span[out], doc[out], low[out], high[out], doc[out])
-            last = firsts[-1]
-            lead, varied = tuple(int(x[last]) for x in (gram, span, doc, low, high)), bool(varies[-1])
-        if lead is not None and varied:
-            yield _rows(VARIES, *([v] for v in (*lead, lead[2])))
-
-    ordered = rows.repartition("sort1").sortWithinPartitions("sort1", "sort2", "doc_id", "low")
-    return ordered.mapInArrow(run, ROWS)
+                yes = np.ones(late.sum(), bool)
+                yield _batch(FOUND, gram[late], doc[late], ident[late], low[late], high[late] + least, at[late], doc[of[late]], yes, ~yes)
+            firsts = np.flatnonzero(new)
+            was = lead[0] if ahead else None
+            lead = [int(x[firsts[-1]]) for x in columns]
+            rows = [np.concatenate((h, x[firsts[ahead:]])) for h, x in zip(held, columns, strict=True)]
+            if len(rows[0]) == 0:
+                continue
+            edges = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1], [True])))
+            sizes = np.diff(edges)
+            if rows[0][0] == was:
+                sizes[0] += gone
+            # all anchors but the last are complete; the last one goes ahead once it has more than BLOCK
+            cut = edges[-1] if sizes[-1] > BLOCK else edges[-2]
+            size = np.repeat(sizes, np.diff(edges))
+            out = np.arange(len(size)) < cut
+            out &= size > 1
+            if out.any():
+                yield told([x[out] for x in rows], size[out] > BLOCK)
+            held = [x[cut:] for x in rows]
+            gone = int(sizes[-1]) if cut == edges[-1] else 0
+        if len(held[0]) > 1:
+            yield told(held, np.zeros(len(held[0]), bool))
+
+    ordered = suffixes.select("gram", "span", "doc", "ident", "low", "high", "at").repartition("gram")
+    return ordered.sortWithinPartitions("gram", "span", "doc", "ident", "low").mapInArrow(run, FOUND)
+
+
+def _common(a: list[bytes], b: list[bytes]) -> int:
+    n = min(len(a), len(b))
+    for k in range(n):
+        if a[k] != b[k]:
+            return k
+    return n
+
+
+def matches(group: list[tuple], least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """INTERVAL rows of the occurrences of an anchor that match an earlier one in ``least`` words or more.
+
+    ``group``: (words from the anchor on, words in front of it backwards, doc, ident, low, at), sorted by
+    the first. A suffix array's property is used: two suffixes have in common the least that neighbours
+    between them have in common.
+    """
+    lcp = [0, *(_common(a[0], b[0]) for a, b in zip(group, group[1:], strict=False))]
+    for j, (_, behind, doc, ident, low, at) in enumerate(group):
+        mine = (doc, ident, low)
+        best: dict[int, tuple[int, tuple]] = {}  # words matched in front of the anchor: from it on, and the first such occurrence
+        for steps in (range(j - 1, -1, -1), range(j + 1, len(group))):
+            run = 1 << 30
+            for i in steps:
+                run = min(run, lcp[i + 1 if i < j else i])
+                if run + len(behind) < least:
+                    break
+                other = group[i]
+                if (other[2], other[3], other[4]) >= mine:
+                    continue
+                left = _common(behind, other[1])
+                if left + run >= least and (run, -other[2], -other[3]) > best.get(left, (0, 0, 0)):
+                    best[left] = (run, -other[2], -other[3])
+        for left, (run, source, _) in best.items():
+            yield doc, ident, at - left, at + run, -source
 
 
 def _extend(docs: DataFrame, varied: DataFrame, least: int) -> DataFrame:
-    """Repeats among single passages of the occurrences in ``varied``."""
+    """Repeats (INTERVAL) among passages of the occurrences in ``varied`` (gram, doc, ident, low, high, at, wide)."""
     wanted = park(
-        varied.groupBy("doc_id").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")).withColumn("sid", F.col("doc_id")),
-        "varied",
-    )
-    texts = texts_of(docs, wanted).select("doc_id", "text", "low", "high")
+        varied.groupBy("doc", "ident").agg(F.collect_list(F.struct("gram", "low", "high", "at", "wide")).alias("places")), "varied"
+    )
+    texts = with_rows(docs, wanted, ["doc", "ident"], ["text"]).select(
+        "doc", "ident", "text", "places.gram", "places.low", "places.high", "places.at", "places.wide"
+    )
+    content = "key long, doc long, ident long, low int, at int, ahead binary, behind binary"
 
-    def passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words around narrow anchors, and hashes of the passages of wide ones (no words)."""
         for batch in text_slices(batches):
-            words = words_of(batch.column(1))
-            total = _prefix(words)
-            starts, owners = [], []
-            for i, (doc, low, high) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                for a, b in zip(low, high, strict=True):
-                    starts.append(np.arange(a, b + 1) + words.first[i])
-                    owners.append(np.full(b - a + 1, doc))
-                    starts[-1] = starts[-1][starts[-1] + least <= words.first[i + 1]]
-                    owners[-1] = owners[-1][: len(starts[-1])]
+            words = words_of(batch.column(2))
+            total, raw = _prefix(words), words.data.tobytes()
+            near, starts, owners = [], [], []
+            for i, (doc, ident, *lists) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6, 7)), strict=True)):
+                base = int(words.first[i])
+                for gram, low, high, at, wide in zip(*lists, strict=True):
+                    if wide:
+                        starts.append(np.arange(base + low, base + high + 1))
+                        owners.append(np.full(high - low + 1, i))
+                        continue
+                    begin, end = int(words.start[base + low]), int(words.end[base + high + least - 1])
+                    here = raw[begin:end].lower().split()
+                    near.append((gram, doc, ident, low, at, b" ".join(here[at - low :]), b" ".join(here[: at - low][::-1])))
+            if near:
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*near, strict=True), kinds, strict=True)], [c.split()[0] for c in content.split(", ")])
             if starts:
-                s, doc = np.concatenate(starts), np.concatenate(owners)
-                row = np.searchsorted(words.first, s, "right") - 1
+                s, row = np.concatenate(starts), np.concatenate(owners)
+                place = pa.array((s - words.first[row]).astype(np.int32))
+                doc, ident = (batch.column(k).take(pa.array(row)) for k in (0, 1))
+                nothing = pa.nulls(len(s), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_runs(total, s, s + least).view(np.int64)), pa.array(doc, pa.int64()), pa.array((s - words.first[row]).astype(np.int32))],
-                    ["passage", "doc_id", "low"],
+                    [pa.array(_runs(total, s, s + least).view(np.int64)), doc, ident, place, place, nothing, nothing], [c.split()[0] for c in content.split(", ")]
                 )
 
-    def later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead: tuple | None = None
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            passage, doc, low = (np.asarray(c, dtype=np.int64) for c in batch.columns)
-            if lead is not None:
-                passage, doc, low = (np.concatenate(([v], x)) for v, x in zip(lead, (passage, doc, low), strict=True))
-            new = np.ones(len(doc), bool)
-            new[1:] = passage[1:] != passage[:-1]
-            of = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-            late = ~new & ~((doc == doc[of]) & (low == low[of]))
-            if late.any():
-                yield _rows(REPEATS, passage[late], passage[late], doc[late], low[late], low[late] + least, doc[of[late]])
-            last = np.flatnonzero(new)[-1]
-            lead = (int(passage[last]), int(doc[last]), int(low[last]))
-
-    found = texts.mapInArrow(passages, "passage long, doc_id long, low int")
-    return found.repartition("passage").sortWithinPartitions("passage", "doc_id", "low").mapInArrow(later, ROWS)
+            out = []
+            for k, doc, ident, low, at, ahead, behind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    out += matches(group, least)
+                    key, group = k, []
+                group.append((ahead.split(b" "), behind.split(b" ") if behind else [], doc, ident, low, at))
+            if out:
+                yield _batch(INTERVAL, *zip(*out, strict=True))
+        if out := list(matches(group, least)):
+            yield _batch(INTERVAL, *zip(*out, strict=True))
+
+    found = park(texts.mapInArrow(run, content), "contents")
+    near = found.where("ahead is not null").repartition("key").sortWithinPartitions("key", "ahead", "behind", "doc", "ident", "low").mapInArrow(compare, INTERVAL)
+    passages = found.where("ahead is null").select("key", "doc", "ident", "low")
+    first = F.min(F.struct("doc", "ident", "low")).alias("first")
+    firsts = park(passages.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"), "first-passages")
+    later = join_hot(passages, firsts, "key", "n", passages.count()).where(F.struct("doc", "ident", "low") > F.col("first"))
+    return near.unionByName(later.select("doc", "ident", "low", (F.col("low") + least).cast("int").alias("high"), F.col("first.doc").alias("source")))
 
 
 def _joined(intervals: DataFrame) -> DataFrame:
-    """doc_id, start_word, end_word, first_doc_id, first_doc_ids: overlapping intervals of a document together."""
+    """doc, ident, start_word, end_word, first_doc_id, first_doc_ids: overlapping intervals of a document together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
 
-        def spans(doc, low, high, source) -> Iterator[pa.RecordBatch]:
+        def spans(doc, ident, low, high, source) -> Iterator[pa.RecordBatch]:
             if len(doc) == 0:
                 return
             # ends rise within a document when each document is lifted above the one before it
-            rank = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]).astype(np.int64)))) * (1 << 32)
+            other = (doc[1:] != doc[:-1]) | (ident[1:] != ident[:-1])
+            rank = np.cumsum(np.concatenate(([0], other.astype(np.int64)))) * (1 << 32)
             reach = np.maximum.accumulate(high + rank)
             new = np.ones(len(doc), bool)
             new[1:] = low[1:] + rank[1:] > reach[:-1]
@@ -229,26 +303,64 @@ def _joined(intervals: DataFrame) -> DataFrame:
             until = np.append(first[1:], len(doc))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(doc[first]), pa.array(low[first]), pa.array(reach[until - 1] - rank[first]), pa.array(np.minimum.reduceat(source, first)),
+                    pa.array(doc[first]), pa.array(ident[first]), pa.array(low[first]), pa.array(reach[until - 1] - rank[first]),
+                    pa.array(np.minimum.reduceat(source, first)),
                     pa.array([np.unique(source[a:b]).tolist() for a, b in zip(first.tolist(), until.tolist(), strict=True)], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "start_word", "end_word", "first_doc_id", "first_doc_ids"],
+                ["doc", "ident", "start_word", "end_word", "first_doc_id", "first_doc_ids"],
             )
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             rows = [np.concatenate((h, np.asarray(c, dtype=np.int64))) for h, c in zip(held, batch.columns, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
             yield from spans(*(x[:cut] for x in rows))
             held = [x[cut:] for x in rows]
         yield from spans(*held)
 
-    rows = intervals.select("doc_id", "low", "high", "source").repartition("doc_id").sortWithinPartitions("doc_id", "low", "high")
-    return rows.mapInArrow(run, "doc_id long, start_word long, end_word long, first_doc_id long, first_doc_ids array<long>")
+    # rows that repeat id and text give the same intervals; these meet before the shuffle
+    once = intervals.groupBy("doc", "ident", "low", "high").agg(F.min("source").alias("source"))
+    rows = once.repartition("doc", "ident").sortWithinPartitions("doc", "ident", "low", "high")
+    return rows.mapInArrow(run, "doc long, ident long, start_word long, end_word long, first_doc_id long, first_doc_ids array<long>")
 
 
-def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def _stretches(docs: DataFrame, least: int) -> DataFrame:
+    """``_joined`` for keyed documents (doc, ident, text)."""
+    prepare(docs.sparkSession)
+    suffixes = park(_suffixes(docs, least), "suffixes")
+    leads = suffixes.where("not repeats")
+    grams = park(leads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
+    # anchors with a large share of all suffixes, of which there are few, go on without being drawn together
+    share = max(LEAST_HOT, int(suffixes.count() * HOT_SHARE))
+    hot = grams.where(F.col("n") > share).select("gram", F.lit(True).alias("hot"))
+    marked = leads.join(F.broadcast(hot), "gram", "left")
+    found = park(_compare_neighbours(marked.where("hot is null"), least), "neighbours")
+    varied = found.where("not repeats")
+    places = ("gram", "doc", "ident", "low", "high", "at")
+    wide = varied.select(*places, "wide").unionByName(marked.where("hot").select(*places, F.lit(True).alias("wide")))
+    at_once = suffixes.where("repeats").select("doc", "ident", "low", (F.col("high") + least).cast("int").alias("high"), "source")
+    whole = found.where("repeats").select("doc", "ident", "low", "high", "source")
+    return _joined(at_once.unionByName(whole).unionByName(_extend(docs, wide, least)))
+
+
+def _keyed(docs: DataFrame, unnamed: bool) -> DataFrame:
+    """``docs`` with doc and ident, in columns __doc and __ident; rows without doc_id are numbered, or left out."""
+    named = F.col("doc_id").isNotNull()
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    if not unnamed:
+        return docs.where(named).withColumns({"__doc": F.col("doc_id").cast("long"), "__ident": text})
+    keys = {"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(UNNAMED)), "__ident": F.when(named, text).otherwise(F.monotonically_increasing_id())}
+    keyed = docs.withColumns(keys)
+    return keyed if docs.where(~named).isEmpty() else park(keyed, "keyed")
+
+
+def _documents(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("__doc").alias("doc"), F.col("__ident").alias("ident"), F.col("text").cast("string").alias("text"))
+
+
+def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, unnamed: bool = False) -> DataFrame:
     """A row for each stretch of a document that repeats earlier passages of ``least`` words or more.
 
     doc_id, start_word, end_word (behind it), first_doc_id (the smallest document it was found in before)
@@ -256,33 +368,44 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     stretch if any passage of ``least`` words around it occurs earlier, by doc_id and place; the first
     occurrence itself has no row. Passages may repeat within a document.
 
-    Null, empty and short texts have no passages; rows without doc_id take no part; rows that repeat id
-    and text count once. Whole texts are compared; only doc_id and text are read; an empty table gives
-    no rows.
+    Null, empty and short texts have no passages. Rows that repeat id and text count once; different texts
+    under one id are documents of their own, in an order of their hashes. Rows without doc_id take no
+    part, or with ``unnamed`` come last, in the order of their partitions. Whole texts are compared; only
+    doc_id and text are read; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
-    compared = park(_compare_neighbours(_occurrences(docs, least), least), "neighbours")
-    extended = _extend(docs, compared.where(F.col("kind") == VARIES), least)
-    return _joined(compared.where(F.col("kind") == REPEATS).unionByName(extended))
+    found = _stretches(_documents(_keyed(docs, unnamed)), least)
+    named = lambda c: F.when(c != UNNAMED, c)
+    return found.select(
+        named(F.col("doc")).alias("doc_id"), "start_word", "end_word", named(F.col("first_doc_id")).alias("first_doc_id"),
+        F.transform("first_doc_ids", named).alias("first_doc_ids"),
+    )
 
 
-def without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = MIN_WORDS, unnamed: bool = False) -> DataFrame:
     """``docs`` with the stretches of ``repeated_passages`` cut out of their texts and n_chars set anew.
 
-    Documents of which no word is left go; all others stay, with all their columns.
+    Documents of which no word is left go; all others stay, with all their columns. Texts without
+    repeats stay where they lie.
     """
+    keyed = _keyed(docs, True)
+    taking = keyed if unnamed else keyed.where(F.col("__doc") != UNNAMED)
     spans = park(
-        repeated_passages(docs, least).groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
-        .select("doc_id", F.col("__spans.start_word").alias("__low"), F.col("__spans.end_word").alias("__high"))
-        .withColumn("sid", F.col("doc_id")),
+        _stretches(_documents(taking), least).groupBy("doc", "ident")
+        .agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
+        .select(F.col("doc").alias("__doc"), F.col("ident").alias("__ident"), F.col("spans.start_word").alias("__low"), F.col("spans.end_word").alias("__high")),
         "spans",
     )
+    columns = docs.columns
+    place, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            words, out, left = words_of(batch.column(1)), [], []
-            for i, (text, low, high) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+            words, out, kept = words_of(batch.column(place)), [], []
+            for i, (text, low, high) in enumerate(zip(*(batch.column(k).to_pylist() for k in (place, len(columns), len(columns) + 1)), strict=True)):
+                if low is None:  # came along by chance
+                    out.append(text)
+                    kept.append(True)
+                    continue
                 raw, parts, at = (text or "").encode(), [], 0
                 base, n = int(words.first[i]), int(words.first[i + 1] - words.first[i])
                 origin, gone = int(words.rows[i]), 0
@@ -293,25 +416,18 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                     at, gone = end, gone + b - a
                 parts.append(raw[at:])
                 out.append(b"".join(parts).decode())
-                left.append(n - gone)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out, pa.string()), pa.array(left, pa.int64())], ["doc_id", "__text", "__left"]
-            )
-
-    changed = park(
-        texts_of(docs, spans).select("doc_id", "text", "__low", "__high").mapInArrow(cut, "doc_id long, __text string, __left long").dropDuplicates(["doc_id"]),
-        "cut",
-    )
-    joined = docs.hint("merge").join(changed, "doc_id", "left").where("__left is null or __left > 0")
-    text = F.when(F.col("__left").isNull(), F.col("text")).otherwise(F.col("__text"))
-    return joined.select(
-        *(
-            text.alias("text") if c == "text"
-            else F.when(F.col("__left").isNull(), F.col(c)).otherwise(F.length("__text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars"
-            else F.col(c)
-            for c in docs.columns
-        )
-    )
+                kept.append(gone < n)
+            made = list(batch.columns[:-2])
+            made[place] = pa.array(out, batch.schema.field(place).type)
+            if chars is not None:
+                whole = batch.column(len(columns)).is_null().to_pylist()
+                counts = [n if w else len(x) for x, n, w in zip(out, made[chars].to_pylist(), whole, strict=True)]
+                made[chars] = pa.array(counts, batch.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(made, columns).filter(pa.array(kept))
+
+    marked = marked_rows(keyed, spans, ["__doc", "__ident"])
+    hit = marked.where("__hit").hint("merge").join(spans, ["__doc", "__ident"], "left").select(*columns, "__low", "__high")
+    return marked.where("not __hit").select(*columns).unionByName(hit.mapInArrow(cut, docs.schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
