@@ -13,41 +13,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectql.llm import exact_dedup, ngram_join, packing, quality, suffix_dedup
-from effectql.llm.common import park, parked, release, shared_dir, table
+from effectql.llm.common import exists, expire, park, scope, shared_dir, table, without_rows
 
 #: The classifier has no counterpart in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; the others go."""
-    return quality.accepted(docs, quality.fit(docs))
+    """Documents that the quality classifier accepts; the others go. A table ``labels`` is used where there is one."""
+    return quality.accepted(docs, quality.fit(docs, labels=table(spark, sf_dir, "labels") if exists(spark, sf_dir, "labels") else None))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, parked so that it stays; ids may repeat or be missing."""
+    return park(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, A-Z lower-cased: the largest doc_id."""
-    marks = park(exact_dedup.DigestIndex(spark).dedup(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias("__digest")), "kept")
-    marked = docs.withColumn("__digest", exact_dedup.text_digest(F.col("text")))
-    named = marked.where("doc_id is not null").hint("merge").join(marks.where("doc_id is not null"), ["doc_id", "__digest"], "left_semi")
-    unnamed = marked.where("doc_id is null").hint("merge").join(marks.where("doc_id is null").select("__digest"), "__digest", "left_semi")
-    unique = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    found = named.unionByName(unnamed.dropDuplicates(["__digest"]))
-    if not unique:  # rows that repeat id and text
-        found = named.dropDuplicates(["doc_id", "__digest"]).unionByName(unnamed.dropDuplicates(["__digest"]))
-    return found.select(*docs.columns)
+    rows = _numbered(docs)
+    gone = park(exact_dedup.DigestIndex(spark).dedup(rows, row_column="__row").where("not kept").select(F.col("row_id").alias("__row")), "copies")
+    return without_rows(rows, gone, ["__row"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles: the smallest doc_id, a null one last."""
-    rows = park(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = _numbered(docs)
     found = ngram_join.linked_rows(rows.withColumnRenamed("__row", "row"), ngram_join.Similarity(80, 5))
     gone = park(found.where("row <> first_row").select(F.col("row").alias("__row")), "near-copies")
-    return rows.hint("merge").join(gone, "__row", "left_anti").select(*docs.columns)
+    return without_rows(rows, gone, ["__row"]).select(*docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words or more that occur earlier; those left without words go."""
-    return suffix_dedup.without_repeats(docs)
+    return suffix_dedup.without_repeats(docs, unnamed=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,12 +64,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; what a stage parked is deleted once its result is written."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table documents. What a stage parked, and its input, is deleted once its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        before = parked(spark)
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
-        release(spark, before)
-        docs = spark.read.parquet(f"{root}/{k}")
+        path = f"{root}/{k}"
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+            if last:
+                expire(spark, last)
+        docs, last = spark.read.parquet(path), path
+    expire(spark, root)
     return docs
