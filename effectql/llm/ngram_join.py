@@ -4,14 +4,16 @@ Documents are sets of word shingles. Two of them link when their Jaccard similar
 
 1. Rows of the same set become one node.
 2. Nodes that share a least hash are compared with a few centers of their group as they stream by; those
-   close enough join a star. A large group of near copies so becomes a few stars, with no pairs in it.
+   close enough join a star. A large group streams by in many stretches at once, and the centers of these
+   again, until no stars join; so it becomes a few stars, with no pairs in it and no long stretch.
 3. Shingles that lie in the prefixes of many stars, or in many near copies of a group, are a frequent
    class. In the order "rare first, then by hash" each node takes the prefix that any partner must meet.
    Rare shingles are signatures of their own. Where they don't make up the prefix it is extended, and
    frequent ones are signatures in combinations of two. Prefixes of rare shingles are longer by a
    twentieth of the set and as many signatures more must be shared, so that sets with a passage in common
    drop out; sets met by a combination only differ in all their rare shingles, which excludes most.
-4. Stars that share a signature and may be near enough in size are compared by their centers. Distances
+4. Stars that share a signature and may be near enough in size are compared by their centers; the list of
+   a signature that is long is cut into blocks, and each pair of blocks is a task of its own. Distances
    of sets obey the triangle inequality, so what centers and radii cannot decide is little; those members
    are compared by their own signatures.
 5. Linked stars grow into components.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, park, prepare, table, text_slices
+from .common import join_hot, park, prepare, table, text_slices, with_rows
 from .components import connected_components
 from .wordhash import mix, shingle_sets, words_of
 
@@ -43,9 +45,12 @@ MOST_FREQUENT = 1 << 20
 #: Sets up to this size also have each of their shingles as a signature.
 TINY = 12
 #: Nodes in a streamed group, shingles of it that are held at a time, and centers of each such stretch.
-GROUP, GROUP_SHINGLES, CENTERS = 2000, 1_000_000, 16
+GROUP, GROUP_SHINGLES, CENTERS = 256, 1_000_000, 16
+#: Keys of a signature that are paired in one task; longer lists are dealt by pairs of their blocks.
+LIST = 512
 _STAR = ["sid", "center", "shared", "n", "center_n", "token"]
 PREFIX, ALL_RARE = -1, -2
+LONG_LIST = -1
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -110,36 +115,6 @@ def describe(docs: DataFrame, by: Similarity) -> DataFrame:
     return _scan(docs, by.words, make, "sid long, n long, least1 long, least2 long, window binary")
 
 
-def _bits(rows: DataFrame, column: str):
-    """A broadcast bitmap of hashed values of a column (2 MB, however many there are)."""
-    h = F.xxhash64(column).bitwiseAND((1 << 24) - 1)
-    found = rows.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))")).alias("bits")).collect()
-    bits = np.zeros(1 << 18, np.int64)
-    for r in found:
-        bits[r["word"]] = r["bits"]
-    return rows.sparkSession.sparkContext.broadcast(bits.view(np.uint8).tobytes())
-
-
-def texts_of(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``wanted`` with the text of the rows that ``key`` names.
-
-    A bitmap of hashed keys keeps nearly all other texts out of the shuffle; it has a fixed size, and
-    where it fills up more texts take part in the join.
-    """
-    bits = _bits(wanted, key)
-    hashed = docs.select(F.col(key).cast("long"), F.xxhash64(F.col(key).cast("long")).bitwiseAND((1 << 24) - 1).alias("__h"), F.col("text").cast("string"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
-        for batch in batches:
-            hit = known[np.asarray(batch.column(1), dtype=np.int64)]
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], [key, "text"]).filter(pa.array(hit))
-
-    found = hashed.mapInArrow(run, f"{key} long, text string")
-    return found.hint("merge").join(wanted, found[key].eqNullSafe(wanted[key])).select(wanted["*"], "text")
-
-
 def _similarity(a: np.ndarray, b: np.ndarray) -> int:
     """Elements that two sorted sets share."""
     if len(a) > len(b):
@@ -167,7 +142,7 @@ def stars(docs: DataFrame, nodes: DataFrame, least: str, by: Similarity) -> Data
         ),
         "star-candidates",
     )
-    rows = texts_of(docs, wanted, "row").select("key", "salt", "sid", "text").repartition("key", "salt").sortWithinPartitions("key", "salt", "sid")
+    rows = with_rows(docs, wanted, ["row"], ["text"]).select("key", "salt", "sid", "text").repartition("key", "salt").sortWithinPartitions("key", "salt", "sid")
 
     def links(held: list[tuple[int, np.ndarray]]) -> Iterator[tuple]:
         sizes = np.array([len(s) for _, s in held])
@@ -211,6 +186,37 @@ def stars(docs: DataFrame, nodes: DataFrame, least: str, by: Similarity) -> Data
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in _STAR))
 
 
+def settled(docs: DataFrame, nodes: DataFrame, least: str, by: Similarity) -> tuple[DataFrame, DataFrame]:
+    """Stars (sid, center, far: no less than their distance), and the tokens that are frequent in their groups.
+
+    Groups of several stretches go again with their centers alone, until no center joins another one.
+    Each such link is one of the join, so what hangs together stays in one component.
+    """
+    levels, level = [], nodes
+    while True:
+        found = park(stars(docs, level, least, by), f"{least}-stars-{len(levels)}")
+        levels.append(found)
+        crowded = level.groupBy(least).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > GROUP).select(least)
+        heads = found.where("sid is not null").select(F.col("center").alias("sid")).distinct()
+        if crowded.isEmpty() or heads.isEmpty():
+            break
+        level = park(level.join(heads, "sid", "left_semi").join(crowded, least, "left_semi"), f"{least}-centers-{len(levels)}")
+        if level.isEmpty():
+            break
+    far = 1 - F.col("shared") / (F.col("n") + F.col("center_n") - F.col("shared"))
+    star, tokens = None, None
+    for found in levels:
+        joined = found.where("sid is not null").dropDuplicates(["sid"]).select("sid", "center", far.alias("far"))
+        told = found.where("sid is null").select("token")
+        if star is None:
+            star, tokens = joined, told
+            continue
+        up = joined.select(F.col("sid").alias("center"), F.col("center").alias("up"), F.col("far").alias("more"))
+        lifted = star.join(up, "center", "left").select("sid", F.coalesce("up", "center").alias("center"), (F.col("far") + F.coalesce("more", F.lit(0.0))).alias("far"))
+        star, tokens = lifted.unionByName(joined), tokens.unionByName(told)
+    return park(star, f"{least}-joined"), tokens
+
+
 def frequent(described: DataFrame, centers: DataFrame, in_groups: DataFrame) -> np.ndarray:
     """Shingles in the plain prefixes of more than FREQUENT stars, or frequent in a group; sorted, at most MOST_FREQUENT.
 
@@ -302,60 +308,137 @@ def candidates(signed: DataFrame, by: Similarity, apart: bool = False) -> DataFr
                     if not combined:
                         n = np.asarray(batch.column(2), dtype=np.int64)
                         rare = np.where(rare < by.prefix(n) + _more(n), ALL_RARE, PREFIX)
-                    rare = pa.array(rare[rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *kept, rare], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), *kept, pa.array(rare[rows])], names)
+
+    def merged(sig, key, part, n, rare, most=None, count=None) -> tuple:
+        """One row for each key of a signature: sig, key, part, least and most n, least rare, number of sets."""
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        starts = np.flatnonzero(new)
+        count = np.ones(len(sig), np.int64) if count is None else count
+        made = (f.reduceat(x, starts) for f, x in ((np.minimum, n), (np.maximum, n if most is None else most), (np.minimum, rare), (np.add, count)))
+        return sig[starts], key[starts], part[starts], *made
+
+    def paired(sig, key, part, least, most, low, count, block=None) -> Iterator[pa.RecordBatch]:
+        """Pairs within each signature; with ``block``, only those between different blocks."""
+        same = sig[1:] == sig[:-1]
+        shared = np.zeros(len(sig), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        sig, key, part, least, most, low, count = (x[shared] for x in (sig, key, part, least, most, low, count))
+        block = None if block is None else block[shared]
+        alone = count == 1  # a single set stands behind the key
+        step = 1
+        i = np.arange(len(sig))
+        while len(i):
+            i = i[i + step < len(sig)]
+            i = i[sig[i] == sig[i + step]]
+            j = i + step
+            fits = (100 * most[i] >= by.percent * least[j]) & (100 * most[j] >= by.percent * least[i])
+            if apart:
+                fits &= part[i] != part[j]
+            if block is not None:
+                fits &= block[i] != block[j]
+            # sets that share no rare shingle differ in all of them, and in what they have more of the others
+            differ = low[i] + low[j] + np.abs((least[i] - low[i]) - (least[j] - low[j]))
+            near = differ * (100 + by.percent) <= (100 - by.percent) * (least[i] + least[j])
+            fits &= (low[i] < 0) | ~(alone[i] & alone[j]) | near
+            a, b = i[fits], j[fits]
+            if len(a):
+                more = np.where((low[a] == PREFIX) | (low[b] == PREFIX), _more(np.minimum(least[a], least[b])), 0)
+                zero = np.zeros(len(a), np.int64)
+                yield listed(np.minimum(key[a], key[b]), np.maximum(key[a], key[b]), 1 + more, zero, zero, zero, zero, zero)
+            step += 1
+
+    pair = ["a", "b", "need", "part", "least", "most", "low", "count"]
+
+    def listed(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], pair)
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of short lists (a, b, need); long lists go on as they are (key, sig, LONG_LIST, ...)."""
         held = [np.zeros(0, np.int64)] * 5
+        long: int | None = None  # the signature whose list has gone on already
 
-        def within(sig, key, part, n, rare) -> Iterator[pa.RecordBatch]:
-            if len(sig) == 0:
+        def handed_on(rows) -> pa.RecordBatch:
+            sig, key, part, least, most, low, count = merged(*rows)
+            return listed(key, sig, np.full(len(sig), LONG_LIST, np.int64), part, least, most, low, count)
+
+        def short(rows) -> Iterator[pa.RecordBatch]:
+            if len(rows[0]) == 0:
                 return
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-            starts = np.flatnonzero(new)
-            least, most, low = (f.reduceat(x, starts) for f, x in ((np.minimum, n), (np.maximum, n), (np.minimum, rare)))
-            alone = np.diff(np.append(starts, len(sig))) == 1  # a single set stands behind the key
-            sig, key, part = sig[starts], key[starts], part[starts]
-            same = sig[1:] == sig[:-1]
-            shared = np.zeros(len(sig), bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            sig, key, part, least, most, low, alone = (x[shared] for x in (sig, key, part, least, most, low, alone))
-            step = 1
-            i = np.arange(len(sig))
-            while len(i):
-                i = i[i + step < len(sig)]
-                i = i[sig[i] == sig[i + step]]
-                j = i + step
-                fits = (100 * most[i] >= by.percent * least[j]) & (100 * most[j] >= by.percent * least[i])
-                if apart:
-                    fits &= part[i] != part[j]
-                # sets that share no rare shingle differ in all of them, and in what they have more of the others
-                differ = low[i] + low[j] + np.abs((least[i] - low[i]) - (least[j] - low[j]))
-                near = differ * (100 + by.percent) <= (100 - by.percent) * (least[i] + least[j])
-                fits &= (low[i] < 0) | ~(alone[i] & alone[j]) | near
-                a, b = i[fits], j[fits]
-                if len(a):
-                    more = np.where((low[a] == PREFIX) | (low[b] == PREFIX), _more(np.minimum(least[a], least[b])), 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b])), pa.array(1 + more)], ["a", "b", "need"]
-                    )
-                step += 1
+            made = merged(*rows)
+            bounds = np.flatnonzero(np.concatenate(([True], made[0][1:] != made[0][:-1], [True])))
+            many = np.repeat(np.diff(bounds) > LIST, np.diff(bounds))
+            yield from paired(*(x[~many] for x in made))
+            if many.any():
+                sig, key, *rest = (x[many] for x in made)
+                yield listed(key, sig, np.full(len(sig), LONG_LIST, np.int64), *rest)
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             rows = [np.concatenate((h, np.asarray(batch.column(k), dtype=np.int64))) for k, h in enumerate(held)]
+            if long is not None and rows[0][0] == long:
+                end = int(np.searchsorted(rows[0], long, "right"))
+                yield handed_on([x[:end] for x in rows])
+                rows = [x[end:] for x in rows]
+                if len(rows[0]) == 0:
+                    held = rows
+                    continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last signature may go on
-            yield from within(*(x[:cut] for x in rows))
+            yield from short([x[:cut] for x in rows])
+            held = [x[cut:] for x in rows]
+            if len(held[0]) > 4 * LIST:
+                long = int(held[0][0])
+                yield handed_on(held)
+                held = [x[:0] for x in held]
+        yield from short(held)
+
+    def block_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of two blocks of a list, (sig, one, other, block, key, part, least, most, low, count) in order."""
+        held = [np.zeros(0, np.int64)] * 10
+
+        def within(rows) -> Iterator[pa.RecordBatch]:
+            if len(rows[0]):
+                sig, one, other, block, *rest = rows
+                task = np.cumsum(np.concatenate(([0], (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]) | (other[1:] != other[:-1]))))
+                for within_block in (True, False):
+                    mine = (one == other) == within_block
+                    if mine.any():
+                        yield from paired(task[mine], *(x[mine] for x in rest), block=None if within_block else block[mine])
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = [np.concatenate((h, np.asarray(batch.column(k), dtype=np.int64))) for k, h in enumerate(held)]
+            other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            yield from within([x[:cut] for x in rows])
             held = [x[cut:] for x in rows]
-        yield from within(*held)
+        yield from within(held)
 
     exploded = signed.select("key", "part", "n", "rare", "signatures", "combinations").mapInArrow(unpack, ", ".join(f"{c} long" for c in names))
     ordered = exploded.repartition("sig").sortWithinPartitions("sig", "key")
-    found = ordered.mapInArrow(pairs, "a long, b long, need long")
-    shared = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
+    schema = ", ".join(f"{c} long" for c in pair)
+    found = park(ordered.mapInArrow(pairs, schema), "listed")
+    direct = found.where(F.col("need") != LONG_LIST)
+    lists = found.where(F.col("need") == LONG_LIST)
+    if not lists.isEmpty():
+        lists = park(
+            lists.groupBy(F.col("b").alias("sig"), F.col("a").alias("key")).agg(
+                F.min("part").alias("part"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("low").alias("low"), F.sum("count").alias("count")
+            ),
+            "long-lists",
+        )
+        blocks = park(lists.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("__blocks"), F.count(F.lit(1)).alias("__n")), "blocks")
+        placed = join_hot(lists, blocks, "sig", "__n", lists.count()).withColumn("block", F.pmod(F.xxhash64("key", "sig"), F.col("__blocks")))
+        dealt = placed.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).select(
+            "sig", F.least("block", "x").alias("one"), F.greatest("block", "x").alias("other"), "block", "key", "part", "least", "most", "low", "count"
+        )
+        dealt = dealt.repartition("sig", "one", "other").sortWithinPartitions("sig", "one", "other", "key")
+        direct = direct.unionByName(dealt.mapInArrow(block_pairs, schema))
+    shared = direct.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
     return shared.where("shared >= need").select("a", "b")
 
 
@@ -367,7 +450,7 @@ def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, by: Similarity)
     pairs = park(pairs, "pairs")
     each = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__n"))
     sides = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    texts = park(texts_of(docs, park(nodes.select("row", "sid").join(sides, "sid").select("row", "sid"), "compared"), "row").select("sid", "text"), "compared-texts")
+    texts = park(with_rows(docs, park(nodes.select("row", "sid").join(sides, "sid").select("row", "sid"), "compared"), ["row"], ["text"]).select("sid", "text"), "compared-texts")
     parts = F.ceil(F.col("__n") / GROUP).cast("int")
     heads = (
         texts.join(each, texts["sid"] == each["a"]).select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("sid").alias("b"), "text")
@@ -427,19 +510,18 @@ def linked_rows(docs: DataFrame, by: Similarity | None = None) -> DataFrame:
         ).select("sid", "first.row", "first.doc_id", "n", "least1", "least2", "copies"),
         "sets",
     )
-    found1 = park(stars(docs, nodes, "least1", by), "stars-1")
-    star = found1.where("sid is not null")
-    taken = star.select("sid").union(star.select("center")).distinct()
+    first_stars, tokens = settled(docs, nodes, "least1", by)
+    taken = first_stars.select("sid").union(first_stars.select("center")).distinct()
     second = park(nodes.join(taken, "sid", "left_anti"), "without-star")
-    found2 = park(stars(docs, second, "least2", by), "stars-2")
-    star = park(star.unionByName(found2.where("sid is not null")).dropDuplicates(["sid"]), "stars")
+    second_stars, more = settled(docs, second, "least2", by)
+    star = park(first_stars.unionByName(second_stars), "stars")
     members = park(
-        nodes.join(star.select("sid", "center", (1 - F.col("shared") / (F.col("n") + F.col("center_n") - F.col("shared"))).alias("far")), "sid", "left")
-        .select("row", "doc_id", "sid", F.coalesce("center", "sid").alias("center"), F.coalesce("far", F.lit(0.0)).alias("far")),
+        nodes.join(star, "sid", "left")
+        .select("row", "doc_id", "sid", "copies", F.coalesce("center", "sid").alias("center"), F.coalesce("far", F.lit(0.0)).alias("far")),
         "members",
     )
     centers = members.where("sid = center")
-    common = frequent(described, centers, found1.unionByName(found2).where("sid is null").select("token"))
+    common = frequent(described, centers, tokens.unionByName(more))
     signed = park(
         signatures(docs, by, common).where("sid is not null").join(members.select("row", "center"), "row")
         .select("sid", F.col("center").alias("key"), F.lit(0).cast("long").alias("part"), "n", "rare", "signatures", "combinations"),
@@ -451,7 +533,7 @@ def linked_rows(docs: DataFrame, by: Similarity | None = None) -> DataFrame:
     edges = seen.where(links).select("a", "b")
     every = centers.select(F.col("sid").alias("node"))
     comps = park(connected_components(every, edges), "components-1")
-    radius = members.groupBy("center").agg(F.max("far").alias("r"))
+    radius = park(members.groupBy("center").agg(F.max("far").alias("r"), F.count(F.lit(1)).alias("n")), "radius")
     unsure = (
         seen.where(~links).withColumn("d", distance)
         .join(radius.select(F.col("center").alias("a"), F.col("r").alias("ra")), "a")
@@ -463,13 +545,14 @@ def linked_rows(docs: DataFrame, by: Similarity | None = None) -> DataFrame:
     )
     unsure = park(unsure, "unsure")
     if not unsure.isEmpty():
-        edges = edges.unionByName(_between_members(docs, nodes, members, signed, unsure, comps, by))
+        edges = edges.unionByName(_between_members(docs, nodes, members, radius.select("center", "n"), signed, unsure, by))
         comps = park(connected_components(every, park(edges, "all-edges")), "components-2")
-    placed = members.join(comps.withColumnRenamed("node", "center"), "center").select("sid", "row", "doc_id", "comp")
-    named = placed.groupBy("comp").agg(first).select("comp", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
-    found = park(
-        placed.join(named, "comp").select("sid", "component_id", "first_row").join(nodes.select("sid", "copies"), "sid"), "found"
-    )
+    # a star and a component may have a large share of all members
+    total = members.count()
+    of_star = park(comps.withColumnRenamed("node", "center").join(radius.select("center", "n"), "center"), "star-components")
+    placed = park(join_hot(members, of_star, "center", "n", total).select("sid", "row", "doc_id", "copies", "comp"), "placed")
+    named = park(placed.groupBy("comp").agg(first, F.count(F.lit(1)).alias("members")).select("comp", "members", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")), "named")
+    found = park(join_hot(placed, named, "comp", "members", total).select("sid", "component_id", "first_row", "copies"), "found")
     rows = described.select("row", "doc_id", "sid", "n")
     return (
         join_hot(rows.where("sid is not null"), found, "sid", "copies", rows.count())
@@ -479,11 +562,12 @@ def linked_rows(docs: DataFrame, by: Similarity | None = None) -> DataFrame:
 
 
 def _between_members(
-    docs: DataFrame, nodes: DataFrame, members: DataFrame, signed: DataFrame, unsure: DataFrame, comps: DataFrame, by: Similarity
+    docs: DataFrame, nodes: DataFrame, members: DataFrame, sizes: DataFrame, signed: DataFrame, unsure: DataFrame, by: Similarity
 ) -> DataFrame:
     """Links, as pairs of centers, between members of stars that centers and radii left undecided."""
     involved = unsure.select(F.col("a").alias("center"), F.col("ca").alias("comp")).union(unsure.select("b", "cb")).distinct()
-    mine = park(members.join(involved, "center").select("sid", "center", "comp"), "undecided")
+    counted = park(involved.join(sizes, "center"), "involved")
+    mine = park(join_hot(members, counted, "center", "n", members.count()).select("sid", "center", "comp"), "undecided")
     part = signed.join(mine, "sid").select(F.col("sid").alias("key"), F.col("comp").alias("part"), "n", "rare", "signatures", "combinations")
     pairs = candidates(part, by, apart=True)
     where = mine.select("sid", "center")

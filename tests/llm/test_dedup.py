@@ -1,12 +1,15 @@
 """Exact dedup, n-gram join and suffix dedup against plain references."""
 
 import hashlib
+import os
+import random
 
 import corpus_pipeline
 import pytest
 from corpus import SCHEMA, components, lowered, repeats, rows, split, texts
 
 from effectql.llm import exact_dedup, ngram_join, suffix_dedup
+from effectql.llm.common import park, scope
 from effectql.llm.components import connected_components
 
 
@@ -116,3 +119,136 @@ def test_repeated_rows_count_once(spark):
     text = " ".join(f"q{i}" for i in range(80))
     frame = spark.createDataFrame(rows([(1, text), (1, text), (2, text)]), SCHEMA)
     assert [(r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_passages(frame).collect()] == [(2, 0, 80)]
+
+
+def lines_of(rng, n):
+    return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("block, share", [(48, 1 / 200), (1, 1 / 200), (3, 1e-9)])
+def test_suffix_dedup_of_frequent_passages(spark, monkeypatch, block, share):
+    """Passages in many documents, cut off at different words: compared as suffixes, or hashed beyond BLOCK."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", share)
+    monkeypatch.setattr(suffix_dedup, "LEAST_HOT", 5 if share < 1e-3 else 1000)
+    rng = random.Random(3)
+    common, other = lines_of(rng, 90), lines_of(rng, 75)
+    docs = []
+    for i in range(60):
+        a, b = sorted(rng.sample(range(90), 2))
+        c, d = sorted(rng.sample(range(75), 2))
+        docs.append((i, " ".join([*lines_of(rng, 10), *common[a:b], *lines_of(rng, 3), *other[c:d], *lines_of(rng, 5)])))
+    docs += [(70, " ".join([*common[:60], *other[10:]])), (71, " ".join([*common[20:60], *other[10:30]])), (72, " ".join([*common, *common]))]
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows(docs), SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == sorted(repeats(docs))
+    first = {tuple(split(t)[k : k + 50]) for _, t in docs for k in range(len(split(t)) - 49)}
+    assert first and all(r["first_doc_id"] <= r["doc_id"] for r in got)
+
+
+def test_suffix_dedup_of_repeated_and_missing_ids(spark):
+    """Different texts under one id are documents of their own; rows without id come last, where asked for."""
+    rng = random.Random(5)
+    a, b, own = lines_of(rng, 60), lines_of(rng, 60), [" ".join(lines_of(rng, 8)) for _ in range(8)]
+    docs = [(3, " ".join(a)), (5, f"{own[0]} {' '.join(a)} {own[1]}"), (5, f"{own[2]} {' '.join(b)}"), (5, f"{own[3]} {' '.join(b)}"), (5, own[4]), (None, f"{own[5]} {' '.join(a)}"), (None, f"{own[6]} {' '.join(a)}"), (None, None)]
+    frame = spark.createDataFrame(rows(docs), SCHEMA)
+    got = [(r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_passages(frame).collect()]
+    assert sorted(got) == [(5, 8, 68), (5, 8, 68)]
+    got = [(r["doc_id"], r["start_word"], r["end_word"], r["first_doc_id"]) for r in suffix_dedup.repeated_passages(frame, unnamed=True).collect()]
+    assert sorted(x for x in got if x[0]) == [(5, 8, 68, 3), (5, 8, 68, 5)]
+    assert [x for x in got if x[0] is None] == [(None, 8, 68, 3)] * 2
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.cut_passages(spark, frame, "").collect()]
+    assert len(left) == len(docs)
+    short = sorted(" ".join(t.split()) for i, t in left if i == 5)
+    assert [t for t in short if a[0] in t] == [] and sum(b[0] in t for t in short) == 1
+    assert sorted(" ".join((t or "").split()) for i, t in left if i is None) == sorted(["", own[5], own[6]])
+    assert {r["text"]: r["n_chars"] for r in corpus_pipeline.cut_passages(spark, frame, "").collect() if r["text"]} == {t: len(t) for _, t in left if t}
+
+
+def test_near_copies_leave_other_texts_of_an_id(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    docs = [(3, near), (5, near + " end"), (5, "quite another text"), (None, near + " too"), (None, "no id here")]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows(docs), SCHEMA), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "no id here"), (3, near), (5, "quite another text")]
+    copies = [(3, "One"), (3, "two"), (3, "one"), (None, "TWO"), (None, "three"), (None, "Three"), (9, None), (9, "")]
+    left = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows(copies), SCHEMA), "").collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in left) == [(0, "three"), (3, "one"), (3, "two"), (9, "")]
+
+
+def test_suffix_dedup_of_a_whole_table(spark):
+    """The table of 1,000 documents of the tests' data, held against brute force."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    frame = spark.read.parquet(path)
+    docs = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
+    got = suffix_dedup.repeated_passages(frame).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == sorted(repeats(docs))
+
+
+@pytest.mark.parametrize("length", [2, 7])
+def test_ngram_join_with_long_lists(spark, monkeypatch, length):
+    """Lists of signatures that are cut into blocks give the same links."""
+    monkeypatch.setattr(ngram_join, "LIST", length)
+    monkeypatch.setattr(ngram_join, "GROUP", 3)
+    monkeypatch.setattr(ngram_join, "CENTERS", 1)
+    docs = [d for d in texts(13) if d[0] is not None]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows(docs), SCHEMA), ngram_join.Similarity(80, 5)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(docs, 80, 5)
+
+
+def test_candidates_of_one_signature_in_many_sets(spark):
+    """One signature in 20,000 sets: only sizes that may link are paired, in blocks."""
+    many = [(k, k, 100 + 2 * (k // 4), 0, k) for k in range(20_000)]
+    signed = spark.createDataFrame([(k, p, n, r, (7).to_bytes(8, "little") + k.to_bytes(8, "little"), b"") for k, p, n, r, _ in many], "key long, part long, n long, rare long, signatures binary, combinations binary")
+    by = ngram_join.Similarity(100, 5)
+    pairs = ngram_join.candidates(signed, by)
+    got = pairs.selectExpr("count(*) n", "sum(a) a", "sum(b) b").first()
+    assert tuple(got) == (5_000 * 6, sum(a for k in range(0, 20_000, 4) for a in (k, k, k, k + 1, k + 1, k + 2)), sum(b for k in range(0, 20_000, 4) for b in (k + 1, k + 2, k + 3, k + 2, k + 3, k + 3)))
+
+
+def test_index_takes_batches_as_its_own(spark):
+    """Batches without a name, an index reopened with other settings, and merged files."""
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    assert [r["kept"] for r in index.dedup(spark.createDataFrame(rows([(1, "a")]), SCHEMA)).collect()] == [True]
+    assert [(r["keep_id"], r["kept"]) for r in index.dedup(spark.createDataFrame(rows([(9, "A")]), SCHEMA)).collect()] == [(1, False)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = exact_dedup.DigestIndex(spark, index.name, buckets=5)
+        assert again.buckets == 3
+        for k in range(3):
+            assert again.dedup(spark.createDataFrame(rows([(20 + k, f"new {k}")]), SCHEMA)).collect()[0]["kept"]
+        again.compact()
+        assert len(again.rows().inputFiles()) <= 3 and again.rows().count() == 4
+        assert not again.dedup(spark.createDataFrame(rows([(50, "NEW 1")]), SCHEMA)).collect()[0]["kept"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    again.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_copies_in_two_batches(spark):
+    docs = [*texts(), (None, "One"), (None, "only without id"), (4, "One"), (10**6, "same")]
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    got = exact_dedup.mark_copies(spark.createDataFrame(rows(docs), SCHEMA), index).collect()
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(lowered(t), []).append(i)
+    assert len(got) == len(docs) and sum(r["kept"] for r in got) == len(groups)
+    by_text = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    for r in got:
+        ids = by_text[r["text_sha256"]]
+        assert (r["group_size"], r["keep_id"]) == (len(ids), max((i for i in ids if i is not None), default=None))
+    assert index.rows().select("batch").distinct().count() == 2
+    nothing = exact_dedup.mark_copies(spark.createDataFrame([], SCHEMA), exact_dedup.DigestIndex(spark, buckets=2))
+    assert nothing.count() == 0
+
+
+def test_scopes_delete_what_they_park(spark):
+    frame = spark.createDataFrame([(1,)], "a int")
+    with scope(spark):
+        outer = park(frame, "outer").inputFiles()[0].removeprefix("file://")
+        with scope(spark):
+            inner = park(frame, "inner").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(outer) and not os.path.exists(inner)
+    assert not os.path.exists(outer)
