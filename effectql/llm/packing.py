@@ -24,6 +24,8 @@ from .common import numbered, park, prepare, table, text_slices
 CAPACITY = 4096
 #: The id that ends a document.
 END = 1
+#: Pieces of a length that one task numbers, at most (about).
+BUCKET = 100_000
 
 
 @dataclass
@@ -110,9 +112,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
                 best = c.longest(gap, pattern)
                 if best is None:
                     break
-                more = max(1, min(int(left[best]) - pattern.count(best), gap // best) if best <= capacity // 64 else 1)
-                pattern += [best] * more
-                gap -= best * more
+                pattern.append(best)
+                gap -= best
             times = min(int(left[k]) // pattern.count(k) for k in set(pattern))
             needed = {k: pattern.count(k) for k in set(pattern)}
             for k, m in needed.items():
@@ -194,7 +195,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if any(n is None or not 1 <= n <= capacity for n in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     where = pieces.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
-    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "number")
+    # as many buckets as a length's pieces ask for: some hundred rows in each at first, then at most BUCKET
+    dealt = [(n, max(min(64, c // 256), c // BUCKET, 1)) for n, c in counts.items()]
+    buckets = pieces.sparkSession.createDataFrame(dealt, "length int, buckets long")
+    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "number", buckets)
     columns = [*pieces.columns, "number"]
     at = {c: i for i, c in enumerate(columns)}
 
