@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "bpe", "chat", "media_tiff", "html_layout", "packing", "sharding", "quality", "ngram_join", "suffix_dedup")
+MODULES = ("exact_dedup", "bpe", "chat", "media_tiff", "html_layout", "packing", "sharding", "quality", "ngram_join", "suffix_dedup", "vector_codes", "source_divergence", "embedding_dedup")
 
 
 def _modules():
