@@ -124,7 +124,8 @@ def _rare_sums(i: int, others: np.ndarray, absent: np.ndarray, p: np.ndarray, n:
 def _tile(block: int, key: tuple, rows: pa.Table) -> pa.Table:
     """Sums over a bucket of dense terms, or, for bucket -1, over the histograms of rare ones.
 
-    Rows without a term tell what an absent term has in each group, and n then is the number of rare terms.
+    Rows without a term tell what an absent term has in each group, and n then is the number of terms of the bucket:
+    those that no group of the tile has take part, too.
     """
     lang, bucket, a, b = (k.as_py() for k in key)
     g, p, n = (rows.column(c).to_numpy() for c in ("g", "p", "n"))
@@ -135,15 +136,16 @@ def _tile(block: int, key: tuple, rows: pa.Table) -> pa.Table:
     place = np.searchsorted(groups, g[rest])
     left, right = np.flatnonzero(groups // block == a), np.flatnonzero(groups // block == b)
     sums = np.zeros((len(groups), len(groups)), np.int64)
-    dense = None
+    dense, missing = None, 0
     if bucket >= 0:
         column = rows.column("term").take(pa.array(rest)).combine_chunks().dictionary_encode()
         dense = np.repeat(absent[:, None], len(column.dictionary), 1)
         dense[place, column.indices.to_numpy()] = p[rest]
+        missing = int(n[base[0]]) - len(column.dictionary)
     for x, y in ((left, right), (right, left))[: 1 if a == b else 2]:
         for i in x:
             if dense is not None:
-                sums[i, y] += _distances(dense[i], dense[y]).sum(1)
+                sums[i, y] += _distances(dense[i], dense[y]).sum(1) + missing * _distances(absent[i], absent[y])
             else:
                 own = rest[place == i]
                 there, here = _rare_sums(i, y, absent, p[own], n[own], n[base])
@@ -183,7 +185,7 @@ class Divergence:
         with_totals = counted.where("term is not null").join(self._small(self.groups.select("lang", "source", "g", "total", "lang_total")), ["lang", "source"])
         self.postings = park(
             with_totals.select(
-                "lang", "source", "g", "term", "groups", probability(F.col("n"), F.col("total")).alias("p"), probability(F.col("lang_n"), F.col("lang_total")).alias("q")
+                "lang", "source", "g", "term", "groups", "leads", probability(F.col("n"), F.col("total")).alias("p"), probability(F.col("lang_n"), F.col("lang_total")).alias("q")
             ),
             "postings",
         )
@@ -210,14 +212,18 @@ class Divergence:
         sizes = self._small(self.groups.select("lang", "source", "blocks", "buckets"))
         named = self.postings.join(sizes, ["lang", "source"])
         dense = named.where(F.col("groups") > self.rare).select(
-            "lang", "g", "p", "term", F.lit(0).cast("long").alias("n"), "blocks", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int").alias("bucket")
+            "lang", "g", "p", "term", F.lit(0).cast("long").alias("n"), "blocks", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int").alias("bucket"), "leads"
         )
+        of_bucket = dense.where("leads").groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("terms"))
+        dense = dense.drop("leads")
         rare = named.where(F.col("groups") <= self.rare).groupBy("lang", "g", "p", "blocks").agg(F.count(F.lit(1)).alias("n"))
         rare = rare.select("lang", "g", "p", F.lit("").alias("term"), "n", "blocks", F.lit(-1).alias("bucket"))
         base = self.groups.select(
-            "lang", "g", F.col("absent").alias("p"), F.lit(None).cast("string").alias("term"), F.col("rare_terms").alias("n"), "blocks",
+            "lang", "g", F.col("absent").alias("p"), F.lit(None).cast("string").alias("term"), "rare_terms", "blocks",
             F.explode(F.sequence(F.lit(-1), F.col("buckets") - 1)).alias("bucket"),
         )
+        many = F.when(F.col("bucket") < 0, F.col("rare_terms")).otherwise(F.coalesce("terms", F.lit(0)))
+        base = base.join(of_bucket, ["lang", "bucket"], "left").select("lang", "g", "p", "term", many.cast("long").alias("n"), "blocks", "bucket")
         own = F.floor(F.col("g") / self.block).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("a"), F.greatest(k, own).alias("b")))
         dealt = dense.unionByName(rare).unionByName(base).withColumn("pair", F.explode(pairs))
