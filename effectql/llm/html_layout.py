@@ -7,7 +7,9 @@ marks and tables aligned columns.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -513,9 +515,11 @@ def _table(node: Node, kept: bool, seen: bool, tables: int) -> list[str]:
 
     ordered = rows["thead"] + rows["tbody"] + rows["tfoot"]
     grid: list[list[tuple[int, int, list[str]]]] = []
-    covered: dict[int, int] = {}
-    for row, shown in ordered:
-        at, cells, next_covered = 0, [], {c: n - 1 for c, n in covered.items() if n > 1}
+    free, ends = _Free(), {}
+    for number, (row, shown) in enumerate(ordered):
+        for first, behind in ends.pop(number, ()):
+            free.give(first, behind)
+        at, cells, held = 0, [], []
         for c in row.children:
             if isinstance(c, str):
                 if shown and c.strip():
@@ -523,38 +527,95 @@ def _table(node: Node, kept: bool, seen: bool, tables: int) -> list[str]:
                 continue
             if hidden(c):
                 continue
-            while covered.get(at):
-                at += 1
+            at = free.first(at)
             wide, high = _span(c, "colspan"), _span(c, "rowspan")
             cells.append((at, wide, _block(c, kept, visible(c, shown), tables)))
             if high > 1:
-                next_covered.update({k: high - 1 for k in range(at, at + wide)})
+                held.append((at, at + wide, number + high))
             at += wide
+        for first, behind, until in held:
+            ends.setdefault(until, []).extend(free.take(first, behind))
         grid.append(cells)
-        covered = next_covered
+    return above + _aligned(grid)
+
+
+class _Free:
+    """Columns that no cell of an earlier row covers, as stretches; the last one has no end."""
+
+    def __init__(self):
+        self.starts, self.ends = [0], [math.inf]
+
+    def first(self, at: int) -> int:
+        """The first free column from ``at`` on."""
+        return max(at, self.starts[bisect.bisect_right(self.ends, at)])
+
+    def take(self, first: int, behind: int) -> list[tuple[int, int]]:
+        """Cover columns; returns those that were free."""
+        out, k = [], bisect.bisect_right(self.ends, first)
+        while self.starts[k] < behind:
+            lo, hi = self.starts[k], self.ends[k]
+            a, b = max(lo, first), min(hi, behind)
+            out.append((a, b))
+            left = [(x, y) for x, y in ((lo, a), (b, hi)) if x < y]
+            self.starts[k : k + 1], self.ends[k : k + 1] = [x for x, _ in left], [y for _, y in left]
+            k += bool(left) and left[0][0] < a
+        return out
+
+    def give(self, first: int, behind: int) -> None:
+        """Free columns again; neighbouring stretches become one."""
+        k = bisect.bisect_left(self.starts, first)
+        if self.starts[k : k + 1] == [behind]:
+            behind = self.ends[k]
+            del self.starts[k], self.ends[k]
+        if k and self.ends[k - 1] == first:
+            self.ends[k - 1] = behind
+        else:
+            self.starts.insert(k, first)
+            self.ends.insert(k, behind)
+
+
+#: Blanks that align a table: so many for each cell, and for each character in it.
+BLANKS = (64, 8)
+
+
+def _aligned(grid: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """The lines of rows of cells (column, columns covered, lines), each column as wide as its widest cell.
+
+    A column counts as wide as half of that, a quarter and so on, where the rows would else take more blanks than BLANKS
+    allows; longer cells then push aside what stands right of them. So the output grows with the page.
+    """
     widths: dict[int, int] = {}
+    allowed, rows = 0, []
     for cells in grid:
+        row: list[list[tuple[int, str]]] = [[] for _ in range(max((len(lines) for _, _, lines in cells), default=0))]
         for at, wide, lines in cells:
-            if wide == 1:
-                widths[at] = max(widths.get(at, 0), *map(columns_of, lines), 0) if lines else widths.get(at, 0)
-    places, left = {}, 0
-    for at in range(max((a + w for cells in grid for a, w, _ in cells), default=0)):
-        places[at] = left
-        left += widths.get(at, 0) + (2 if widths.get(at) else 0)
+            allowed += BLANKS[0] * max(1, len(lines)) + BLANKS[1] * sum(len(x) - x.count(" ") for x in lines)
+            if wide == 1 and lines:
+                widths[at] = max(widths.get(at, 0), *map(columns_of, lines))
+            for line, part in zip(row, lines, strict=False):
+                if part:
+                    line.append((at, part))
+        rows += row
+    columns = sorted(c for c, w in widths.items() if w)
+    most = max(widths.values(), default=0)
+    while True:
+        places = [0]
+        for c in columns:
+            places.append(places[-1] + min(widths[c], most) + (2 if most else 0))
+        place = lambda at, places=places: places[bisect.bisect_left(columns, at)]
+        if not most or sum(place(parts[-1][0]) for parts in rows if parts) <= allowed:
+            break
+        most //= 2
     out: list[str] = []
-    for cells in grid:
-        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
-            line, used = [], 0
-            for at, _, lines in cells:
-                part = lines[k] if k < len(lines) else ""
-                if not part:
-                    continue
-                gap = places[at] - used
-                gap = gap if gap > 0 or not line else 2
-                line.append(" " * gap + part)
-                used += gap + columns_of(part)
-            out.append("".join(line).rstrip())
-    return above + out
+    for parts in rows:
+        line, used = [], 0
+        for at, part in parts:
+            gap = place(at) - used
+            gap = gap if gap > 0 or not line else 2
+            line.append(" " * gap + part)
+            used += gap + columns_of(part)
+        out.append("".join(line).rstrip())
+    return out
 
 
 def render(source: str | None) -> str:

@@ -275,3 +275,29 @@ def test_broken_tiff_files_give_errors(spark):
     assert set(got) == {k for k, _ in files}
     assert [(r["data"], r["error"]) for r in got[0]] == [(bytes(range(32)), None)]
     assert all(got[k][-1]["error"] and got[k][-1]["page"] == -1 for k in [1, 2, 3, *range(10, 10 + len(BROKEN))])
+
+
+def test_tables_stay_in_proportion():
+    """Long cells, many columns and large spans: output and time grow with the page; ordinary tables are aligned."""
+    import time
+
+    from effectql.llm.html_layout import render
+
+    def cell(rows, long):
+        return "<table><tr><td>" + "x" * long + "</td><td>y</td></tr>" + "<tr><td>a</td><td>b</td></tr>" * rows + "</table>"
+
+    for page in (cell(2000, 44_000), cell(16_000, 500_000), "<table><tr>" + "<td>some words</td>" * 3000 + "</tr>" + "<tr><td colspan=2999><td>z</tr>" * 3000 + "</table>"):
+        began = time.perf_counter()
+        assert len(render(page)) < 40 * len(page)
+        assert time.perf_counter() - began < 5
+    nested = "<table><tr><td>" * 20 + cell(200, 4000) + "</table>" * 20
+    assert len(render(nested)) < 40 * len(nested)
+    for spans in ("rowspan=1000 colspan=1000", "rowspan=1000", "colspan=1000", "rowspan=7 colspan=3"):
+        for row in (1, 30, 1000):
+            page = "<table>" + ("<tr>" + f"<td {spans}>q" * row) * (1_000_000 // (row * (6 + len(spans)) + 4)) + "</table>"
+            began = time.perf_counter()
+            assert len(render(page)) < 40 * len(page)
+            assert time.perf_counter() - began < 15
+    assert render("<table><tr><td>name<td>n<tr><td>a long name<td>12</table>") == "name         n\na long name  12"
+    assert render("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>").split("\n") == ["a  b  c", "   d  e", "f  g  h"]
+    assert render("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f<tr><td>g<td>h<td>i</table>").split("\n") == ["a  b  c", "d     e", "f", "g  h  i"]
