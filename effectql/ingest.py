@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import SCHEMAS, Store
+from .catalog import SCHEMAS, Delta, Store
 from .functions.scalars import zero_to_null
-from .operators import dml, extract, numbering
+from .operators import dml, extract, graph, numbering
 from .operators.aggregates import collisions, pivot_max
+from .plans.cards import flat
 from .sources import normalize, readers
 
 MASKS = ("type_mask", "race_mask", "attribute_mask", "category_mask", "setcode_mask", "alias_passcode", "primary_source_id")
@@ -27,22 +29,31 @@ class IngestResult:
 
 
 def resolve(records: DataFrame, external: DataFrame, top: int) -> DataFrame:
-    """Records with the card_id they belong to and whether it is new.
+    """Records with the card_id they belong to and whether that card is new.
 
-    The first of a record's external ids that is known decides. New records that share their first
-    external id are one card; records without any are a card each. Ids go on from ``top``.
+    Records count in their order. The first of a record's external ids that is held already, by a card of
+    ``external`` or an earlier record, names its card; a record without such an id begins one. So a record
+    points at the earliest holder of that id, and its card is the one at which the pointers end.
+    Ids of new cards go on from ``top``, in the order of their first external ids.
     """
-    numbered = records.withColumn("__row", F.monotonically_increasing_id())
+    graph.shared_checkpoints(records.sparkSession)
+    numbered = records.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
     asked = numbered.select("__row", F.posexplode("external_ids").alias("__at", "e")).select("__row", "__at", "e.source", "e.external_id")
-    known = asked.join(external, ["source", "external_id"]).groupBy("__row").agg(F.min_by("card_id", "__at").alias("card_id"))
-    joined = numbered.join(known, "__row", "left")
+    keys = ["source", "external_id"]
+    holders = asked.groupBy(*keys).agg(F.min("__row").alias("first")).join(external.select(*keys, "card_id"), keys, "left")
+    seen = asked.join(holders, keys).where((F.col("first") < F.col("__row")) | F.col("card_id").isNotNull())
+    named = seen.groupBy("__row").agg(F.min_by(F.struct("card_id", "first"), "__at").alias("by")).select("__row", "by.*").checkpoint()
+    ends = graph.follow(named.where("card_id is null"), "__row", "first").withColumnRenamed("root", "__root")
+    rooted = numbered.join(ends, "__row", "left").withColumn("__root", F.coalesce("__root", "__row"))
+    # what begins a card, by its first external id
     first = F.get(F.col("external_ids"), F.lit(0))
     fresh = F.when(F.size("external_ids") > 0, F.concat_ws(":", first["source"], first["external_id"])).otherwise(F.concat(F.lit("row:"), F.col("__row").cast("string")))
-    new = joined.where("card_id is null").select(fresh.alias("__key")).distinct()
-    ids = numbering.numbered(new, [F.col("__key")], "__id", top)
+    begun = numbered.join(named, "__row", "left_anti").select(F.col("__row").alias("__root"), fresh.alias("__key"))
+    ids = numbering.numbered(begun, [F.col("__key"), F.col("__root")], "__id", top).select("__root", "__id")
+    held = named.where("card_id is not null").select(F.col("__row").alias("__root"), "card_id")
     return (
-        joined.withColumn("__key", F.when(F.col("card_id").isNull(), fresh)).join(ids, "__key", "left")
-        .withColumn("is_new", F.col("card_id").isNull()).withColumn("card_id", F.coalesce("card_id", "__id").cast("long")).drop("__key", "__id")
+        rooted.join(ids, "__root", "left").join(held, "__root", "left")
+        .withColumn("is_new", F.col("card_id").isNull()).withColumn("card_id", F.coalesce("card_id", "__id").cast("long")).drop("__root", "__id")
     )
 
 
@@ -55,14 +66,20 @@ def register_source(store: Store, name: str, content_sha256: str | None, **more)
     after = dml.get_or_create(known, row, ["source_name", "content_sha256"], "source_id")
     found = after.where((F.col("source_name") == name) & F.col("content_sha256").eqNullSafe(F.lit(content_sha256))).select("source_id").first()[0]
     if known.where(F.col("source_id") == found).isEmpty():
-        store.write("raw_source", after)
+        store.write("raw_source", Delta(after.where(F.col("source_id") == found)))
     return found
 
 
+def _of(table: DataFrame, cards: DataFrame) -> DataFrame:
+    """The rows of some cards."""
+    return table.join(cards.select("card_id"), "card_id", "left_semi").select(*table.columns)
+
+
 def ingest_records(store: Store, records: DataFrame, rejects: DataFrame, source: str, content_sha256: str | None = None, version: str | None = None) -> IngestResult:
-    """Put normalised records into the store. Running it again with the same records changes nothing but times.
+    """Put normalised records into the store. All tables change at once, or none.
 
-    All tables change at once, or none.
+    Running it again with the same records changes nothing but times, and adds their raw records once more, as each
+    run is told by the records it saw. What is written grows with the records, not with the store.
     """
     with store.transaction():
         return _ingest_records(store, records, rejects, source, content_sha256, version)
@@ -74,12 +91,18 @@ def _ingest_records(store: Store, records: DataFrame, rejects: DataFrame, source
     top = store.read("card").agg(F.coalesce(F.max("card_id"), F.lit(0))).first()[0]
     found = resolve(records, store.read("external_id"), top).persist()
     latest = dml.last_wins(found, ["card_id"], [F.col("__row")])
+    # of several records of a card each mask is that of the last one that has it
+    masks = [m for m in MASKS if m in found.columns]
+    if masks:
+        held = found.groupBy("card_id").agg(*(F.max_by(m, F.when(F.col(m).isNotNull(), F.col("__row"))).alias(m) for m in masks))
+        latest = latest.drop(*masks).join(held, "card_id")
+    latest = latest.persist()
     now = F.current_timestamp()
     cards = latest.select(*(c for c in normalize.RECORD if c in SCHEMAS["card"].replace(",", " ").split()), "card_id").select(
         "*", F.lit(source_id).cast("long").alias("primary_source_id"), now.alias("created_at"), now.alias("updated_at")
     )
-    merged = dml.merge_upsert(store.read("card"), cards.select(*store.read("card").columns), ["card_id"], keep_if_null=MASKS, keep=("created_at",))
     touched = latest.select("card_id")
+    merged = dml.merge_upsert(_of(store.read("card"), touched), cards.select(*store.read("card").columns), ["card_id"], keep_if_null=MASKS, keep=("created_at",))
     exploded = lambda c, *cols: latest.select("card_id", F.explode(c).alias("x")).select("card_id", *(F.col(f"x.{k}") for k in cols))
     raw_top = store.read("raw_card_record").agg(F.coalesce(F.max("raw_id"), F.lit(0))).first()[0]
     places = numbering.numbered(found.select("__row"), [F.col("__row")], "raw_id", raw_top)
@@ -87,25 +110,30 @@ def _ingest_records(store: Store, records: DataFrame, rejects: DataFrame, source
         "raw_id", F.lit(source_id).cast("long").alias("source_id"),
         "card_id", "external_id", F.sha2("payload_json", 256).alias("payload_sha256"), "payload_json",
     )
-    changes = {
-        "card": merged,
-        "external_id": dml.insert_or_ignore(store.read("external_id"), exploded("external_ids", "source", "external_id"), ["source", "external_id"]),
-        "card_archetype": dml.replace_children(store.read("card_archetype"), exploded("archetypes", "archetype", "archetype_raw"), "card_id", ["card_id", "archetype"], touched),
-        "card_flag": dml.replace_children(store.read("card_flag"), latest.select("card_id", F.explode("flags").alias("flag")), "card_id", ["card_id", "flag"], touched),
-        "raw_card_record": store.read("raw_card_record").unionByName(raw),
-    }
+    # every record's ids, of which the first to name one has it
+    ids = found.select("card_id", "__row", F.explode("external_ids").alias("x")).select("card_id", "__row", "x.source", "x.external_id")
+    known = store.read("external_id")
+    ids = dml.insert_or_ignore(known.limit(0), ids, ["source", "external_id"], [F.col("__row")]).join(known.select("source", "external_id"), ["source", "external_id"], "left_anti")
     named = latest.select("card_id", F.lit("en").alias("lang"), F.lit("official").alias("name_kind"), F.col("canonical_name").alias("name"), F.lit(1).alias("is_primary"))
-    named = named.unionByName(exploded("names", "lang", "name_kind", "name", "is_primary").select(*named.columns))
+    named = named.unionByName(exploded("names", "lang", "name_kind", "name", "is_primary").select(*named.columns)).dropDuplicates(["card_id", "lang", "name_kind", "name"])
     # a base source replaces the names of its own language; others stay
-    old = store.read("card_name")
-    kept = old.where("lang <> 'en'").unionByName(old.where("lang = 'en'").join(touched, "card_id", "left_anti").select(*old.columns))
-    changes["card_name"] = kept.unionByName(named.dropDuplicates(["card_id", "lang", "name_kind", "name"]).select(*old.columns))
+    old = _of(store.read("card_name"), touched).where("lang <> 'en'")
+    changes = {
+        "card": Delta(merged, touched),
+        "external_id": Delta(ids.select(*known.columns)),
+        "card_archetype": Delta(exploded("archetypes", "archetype", "archetype_raw").dropDuplicates(["card_id", "archetype"]), touched),
+        "card_flag": Delta(latest.select("card_id", F.explode("flags").alias("flag")).dropDuplicates(), touched),
+        "raw_card_record": Delta(raw),
+        "card_name": Delta(old.unionByName(named.select(*old.columns)), touched),
+    }
     for name, rows in changes.items():
         store.write(name, rows)
+    seen, created = found.count(), latest.where("is_new").count()
     result = IngestResult(
-        found.count(), found.where("is_new").select("card_id").distinct().count(), found.where("not is_new").count(), rejects.count(),
+        seen, created, seen - created, rejects.count(),
         [f"{r['reason']}: {r['record'][:80]}" for r in rejects.limit(20).collect()], collisions(records, "identity_key", "canonical_name").count(),
     )
+    latest.unpersist()
     found.unpersist()
     return result
 
@@ -136,7 +164,8 @@ def put_texts(store: Store, texts: DataFrame, source: str) -> None:
     rows = texts.join(ids, F.col("passcode").cast("string") == F.col("code")).select(
         "card_id", F.lit("zh").alias("lang"), "kind", F.lit(source).alias("source"), "text", F.sha2("text", 256).alias("text_sha256"), F.current_timestamp().alias("updated_at")
     )
-    store.write("card_text", dml.upsert_last(store.read("card_text"), rows, ["card_id", "lang", "kind", "source"], [F.col("text")]))
+    touched = rows.select("card_id").distinct()
+    store.write("card_text", Delta(dml.upsert_last(_of(store.read("card_text"), touched), rows, ["card_id", "lang", "kind", "source"], [F.col("text")]), touched))
 
 
 @dataclass
@@ -163,7 +192,8 @@ def _apply_chinese(store: Store, path: str, source: str) -> EnrichResult:
     known = joined.where("card_id is not null")
     names = known.select("card_id", F.explode(normalize.chinese_names(F.col("record"))).alias("x")).select("card_id", "x.lang", "x.name_kind", "x.name", "x.is_primary")
     best = names.groupBy("card_id", "lang", "name_kind", "name").agg(F.max("is_primary").alias("is_primary"))
-    store.write("card_name", dml.upsert_last(store.read("card_name"), best, ["card_id", "lang", "name_kind", "name"], [F.col("is_primary")]))
+    touched = best.select("card_id").distinct()
+    store.write("card_name", Delta(dml.upsert_last(_of(store.read("card_name"), touched), best, ["card_id", "lang", "name_kind", "name"], [F.col("is_primary")]), touched))
     kinds = {"effect": "record.text.desc", "pendulum": "record.text.pdesc", "types": "record.text.types"}
     texts = known.select("passcode", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in kinds.items()))).alias("t")).select("passcode", "t.*")
     put_texts(store, texts.where("text is not null and text <> ''"), source)
@@ -179,19 +209,57 @@ def parser_texts(store: Store) -> DataFrame:
     return named.join(flags, "card_id", "left").select("card_id", "desc", "pdesc", F.coalesce("pendulum", F.lit(False)).alias("pendulum"))
 
 
-def build_effects(store: Store, fallback=None, exact_stats: bool = False) -> dict[str, int]:
-    """Parse all texts and replace the effects of their cards; returns counts by table and status, and violations."""
-    texts = parser_texts(store)
-    rows = extract.extract(texts, fallback, exact_stats).persist()
-    touched = texts.select("card_id")
-    with store.transaction():
-        for name, new in extract.effect_tables(rows).items():
-            old = store.read(name)
-            store.write(name, old.join(touched, "card_id", "left_anti").select(*old.columns).unionByName(new.select(*old.columns)))
-    out = {name: store.read(name).count() for name in ("effect_unit", "effect_clause", "effect_predicate")}
-    out |= {r["parse_status"]: r["count"] for r in store.read("effect_unit").groupBy("parse_status").count().collect()}
-    out["errors"] = extract.violations(rows).where("level = 'error'").count()
-    rows.unpersist()
+def text_signatures(store: Store, exact_stats: bool = False, fallback: str = "rule") -> DataFrame:
+    """card_id and a signature of all that its effects follow from. Of the texts only their hashes are read."""
+    said = store.read("card_text").where("lang = 'zh' AND kind IN ('effect', 'pendulum')")
+    texts = said.groupBy("card_id").agg(F.to_json(F.sort_array(F.collect_set(F.struct("kind", "source", "text_sha256")))).alias("texts"))
+    flags = store.read("card_flag").where("flag = 'PENDULUM'").select("card_id", F.lit(True).alias("pendulum")).distinct()
+    how = F.lit(f"{extract.PARSER_VERSION}:{exact_stats}:{fallback}")
+    return texts.join(flags, "card_id", "left").select("card_id", F.sha2(F.concat_ws(":", how, F.coalesce("pendulum", F.lit(False)).cast("string"), "texts"), 256).alias("signature"))
+
+
+_EFFECTS = ("effect_unit", "effect_clause", "effect_predicate")
+
+
+def _counts(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of each effect table, and units by status."""
+    out = {name: tables[name].count() for name in _EFFECTS}
+    return out | {r["parse_status"]: r["count"] for r in tables["effect_unit"].groupBy("parse_status").count().collect()}
+
+
+def build_effects(store: Store, fallback=None, exact_stats: bool = False, full: bool = False) -> dict[str, int]:
+    """Parse texts that have changed and replace the effects of their cards; returns counts by table and status, and errors.
+
+    What a card was parsed from is kept as a signature, so that only cards with another one, and those that
+    lost their texts, take part; counts change by the difference. ``full``, or a fallback without a name, parses all
+    cards. The tables and counts are the same either way. ``parsed`` tells how many cards were parsed now.
+    """
+    store.migrate()
+    named = fallback is None or isinstance(fallback, str)
+    tag = (fallback or "rule") if named else uuid.uuid4().hex
+    done = store.read("effect_source")
+    now = text_signatures(store, exact_stats, tag).persist()
+    changed = now if full else now.join(done.select("card_id", "signature"), ["card_id", "signature"], "left_anti")
+    touched = changed.select("card_id").unionByName(done.join(now, "card_id", "left_anti").select("card_id")).persist()
+    with store.transaction() as after:
+        after.totals = after.totals or _counts({name: store.read(name) for name in _EFFECTS})
+        rows = extract.extract(_of(parser_texts(store), changed), fallback, exact_stats).persist()
+        made = extract.effect_tables(rows)
+        if not touched.isEmpty():
+            before, fresh = _counts({name: _of(store.read(name), touched) for name in _EFFECTS}), _counts(made)
+            made["effect_flat"] = flat(*(made[name] for name in _EFFECTS))
+            wrong = extract.violations(rows).where("level = 'error'").groupBy("card_id").agg(F.count(F.lit(1)).cast("int").alias("errors"))
+            made["effect_source"] = changed.select("card_id", "signature").join(wrong, "card_id", "left").select("card_id", "signature", F.coalesce("errors", F.lit(0)).alias("errors"))
+            for name, new in made.items():
+                store.write(name, Delta(new, touched))
+            for k in {*before, *fresh}:
+                after.totals[k] = after.totals.get(k, 0) - before.get(k, 0) + fresh.get(k, 0)
+        out = {k: n for k, n in after.totals.items() if n or k in _EFFECTS}
+        out = dict.fromkeys(_EFFECTS, 0) | out
+        out["errors"] = store.read("effect_source").agg(F.coalesce(F.sum("errors"), F.lit(0))).first()[0]
+        out["parsed"] = changed.count()
+    for held in (rows, touched, now):
+        held.unpersist()
     return out
 
 

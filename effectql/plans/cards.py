@@ -52,7 +52,7 @@ def flat(unit: DataFrame, clause: DataFrame, predicate: DataFrame) -> DataFrame:
 
 
 def tables(stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """What the compiler reads, from the tables of a store."""
+    """What the compiler reads, from the tables of a store. A flat table that is stored is not joined anew."""
     out = {n: stored[n] for n in ("card", "card_archetype", "card_flag", "card_name", "effect_unit")}
-    out["effect_flat"] = flat(stored["effect_unit"], stored["effect_clause"], stored["effect_predicate"])
+    out["effect_flat"] = stored["effect_flat"] if "effect_flat" in stored else flat(stored["effect_unit"], stored["effect_clause"], stored["effect_predicate"])
     return out
