@@ -3,8 +3,9 @@
 Linked documents start in shards dealt by a hash. Each group of them sees where its members lie and asks
 for the shard of most of them; shards let groups in as far as their places go. Places of members that lie
 elsewhere, or that leave, count as free, so that full shards exchange members. Groups that were refused
-ask again among the shards that still have room for them, until none is left. The few largest groups and
-the last ones are seated one by one, largest first. Documents without links then fill every shard up to
+ask again among the shards that still have room for them, until none is left; large groups go first. Only groups
+larger than a shard, of which there are fewer than shards, are seated one by one. A group that fits nowhere
+whole any more takes the places left, next to each other. Documents without links then fill every shard up to
 its exact size.
 
 Links are given as a hub of each node: nodes of a hub are linked with each other.
@@ -12,15 +13,17 @@ Links are given as a hub of each node: nodes of a hub are linked with each other
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import numbered, park, table
 
-#: Buckets in which groups are let into a shard.
+#: Buckets in which groups are let into a shard; a round deals groups to so many for each shard.
 ADMISSION = 512
-#: Groups with more than this share of a shard are seated one by one (there are at most shards x LARGE), and the last LAST groups.
-LARGE, LAST = 16, 4096
+#: Groups with more than half of a shard go first, those with more than this share of one next.
+LARGE = 16
 
 
 def _place(amounts: list[int], number: Column) -> Column:
@@ -50,38 +53,42 @@ def seat(groups: list[tuple[int, int]], free: list[int]) -> list[tuple[int, int,
     return out
 
 
-def propagate(groups: DataFrame, free: list[int]) -> tuple[list[DataFrame], list[tuple[int, int]]]:
-    """Tables (hub, shard) of groups that were let in, and the groups (hub, size), at most LAST, that were not.
+def propagate(groups: DataFrame, free: list[int]) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (hub, shard) of groups that were let in, and the groups that no shard has room for.
 
     ``groups``: hub, n and how many members lie in which shard, votes (array of votes, shard). Takes the
-    places of those let in from ``free``. Should more than LAST groups fit nowhere, they are in neither.
+    places of those let in from ``free``. The driver sees sums by shard and bucket, never groups. A round that
+    lets nothing in is followed by one of finer buckets, of which ADMISSION take their turn.
     """
     spark = groups.sparkSession
-    placed, k, left = [], 0, groups.count()
-    while left > LAST:
+    placed, k, fine = [], 0, 0
+    while True:
         k += 1
         room = F.array(*(F.lit(x).cast("long") for x in free))
         # most votes; among equals, by a hash, so that equal groups don't all want the same shard
+        tie = lambda s, k=k: F.xxhash64("hub", s, F.lit(k))
         open_ = F.filter("votes", lambda v: F.element_at(room, v["shard"] + 1) >= F.col("n"))
-        liked = F.array_max(F.transform(open_, lambda v: F.struct(v["votes"].alias("votes"), F.xxhash64("hub", v["shard"], F.lit(k)).alias("tie"), v["shard"].alias("shard"))))
-        anywhere = _place(free, F.pmod(F.xxhash64("hub", F.lit(-k)), F.lit(max(1, sum(free)))))
+        liked = F.array_max(F.transform(open_, lambda v: F.struct(v["votes"].alias("votes"), tie(v["shard"]).alias("tie"), v["shard"].alias("shard"))))
+        others = F.filter(F.sequence(F.lit(0), F.lit(len(free) - 1)), lambda s: F.element_at(room, s + 1) >= F.col("n"))
+        anywhere = F.array_max(F.transform(others, lambda s: F.struct(tie(s).alias("tie"), s.alias("shard"))))
         wanted = groups.select(
-            "*", F.coalesce(liked["shard"], anywhere).alias("target"), F.pmod(F.xxhash64("hub", F.lit(1000 + k)), F.lit(ADMISSION)).alias("bucket")
+            "*", F.coalesce(liked["shard"], anywhere["shard"]).alias("target"), F.pmod(F.xxhash64("hub", F.lit(1000 + k)), F.lit(ADMISSION << fine)).alias("bucket")
         )
-        asked = wanted.groupBy("target", "bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).collect()
-        let_in = []  # of shards x ADMISSION counts those that fit, the largest first
+        asked = wanted.where(F.col("target").isNotNull()).where(F.col("bucket") < ADMISSION).groupBy("target", "bucket").agg(F.sum("n").alias("n")).collect()
+        let_in = []  # of shards x ADMISSION sums those that fit, the largest first
         for r in sorted(asked, key=lambda r: (r["target"], -r["n"], r["bucket"])):
-            if r["target"] < len(free) and r["n"] <= free[r["target"]]:
+            if r["n"] <= free[r["target"]]:
                 free[r["target"]] -= r["n"]
-                left -= r["groups"]
                 let_in.append((r["target"], r["bucket"], r["target"]))
         if not let_in:
-            return placed, []
+            if wanted.where(F.col("target").isNotNull()).isEmpty():
+                return placed, groups
+            fine += 1
+            continue
         admitted = spark.createDataFrame(let_in, "target int, bucket long, shard int")
         after = park(wanted.join(F.broadcast(admitted), ["target", "bucket"], "left").select("hub", "n", "votes", "shard"), f"groups-{k}")
         placed.append(after.where("shard is not null").select("hub", "shard"))
         groups = after.where("shard is null").select("hub", "n", "votes")
-    return placed, [(r["hub"], r["n"]) for r in groups.select("hub", "n").collect()]
 
 
 def shard_rows(nodes: DataFrame, shards: int, hub: str = "hub") -> DataFrame:
@@ -93,14 +100,17 @@ def shard_rows(nodes: DataFrame, shards: int, hub: str = "hub") -> DataFrame:
     spark = nodes.sparkSession
     total = nodes.count()
     free = [total // shards + (s < total % shards) for s in range(shards)]
-    most = max(1, max(free) // LARGE)
+    whole = max(free)
     known = park(nodes.where(F.col(hub).isNotNull()).select("node", F.xxhash64(hub).alias("hub")), "edges")
     votes = known.groupBy("hub", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("votes"))
     groups = votes.groupBy("hub").agg(F.sum("votes").alias("n"), F.collect_list(F.struct("votes", "shard")).alias("votes"))
     groups = park(groups.where("n > 1"), "groups")
-    seats = seat([(r["hub"], r["n"]) for r in groups.where(F.col("n") > most).select("hub", "n").collect()], free)
-    placed, last = propagate(groups.where(F.col("n") <= most), free)
-    seats += seat(last, free)
+    seats = seat([(r["hub"], r["n"]) for r in groups.where(F.col("n") > whole).select("hub", "n").collect()], free)  # fewer than shards
+    placed, refused, most = [], [], whole
+    for least in (whole // 2, whole // LARGE, 1):  # large groups first, as small ones find room everywhere
+        let_in, last = propagate(groups.where((F.col("n") > least) & (F.col("n") <= most)), free)
+        placed, refused, most = placed + let_in, [*refused, last.select("hub", F.lit(True).alias("refused"))], min(most, max(1, least))
+    refused = functools.reduce(DataFrame.unionByName, refused)
     parted = {h for h, start, _, _ in seats if start}
     seated = spark.createDataFrame([(h, None if h in parted else s, True) for h, start, _, s in seats if not start], "hub long, shard int, seated boolean")
     pieces = spark.createDataFrame([x for x in seats if x[0] in parted], "hub long, start long, end long, shard int")
@@ -116,9 +126,12 @@ def shard_rows(nodes: DataFrame, shards: int, hub: str = "hub") -> DataFrame:
         .unionByName(nodes.where(F.col(hub).isNull()).select("node", F.lit(None).cast("int").alias("shard"))),
         "labels",
     )
-    filled = numbered(labels.where("shard is null").select("node", F.lit(0).alias("__one")), ["__one"], ["node"], "__number", buckets=4096).select(
-        "node", _place(free, F.col("__number")).alias("shard")
-    )
+    # members of a refused group stand next to each other, so that they share shards where they can
+    left = labels.where("shard is null").join(known.join(refused, "hub").select("node", "hub"), "node", "left")
+    left = park(left.select("node", F.coalesce("hub", "node").alias("__by"), F.col("hub").isNull().cast("int").alias("__one")), "left")
+    behind = left.where("__one = 0").count()
+    order = numbered(left, ["__one"], ["__by", "node"], "__number", buckets=4096, spread=["__by"])
+    filled = order.select("node", _place(free, F.col("__number") + F.when(F.col("__one") == 1, behind).otherwise(0)).alias("shard"))
     placed = park(labels.where("shard is not null").unionByName(filled), "placed")
     return nodes.join(numbered(placed, ["shard"], ["node"], "slot", buckets=256), "node")
 
