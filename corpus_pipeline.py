@@ -30,9 +30,14 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, A-Z lower-cased: the largest doc_id."""
+    """One document of each text, A-Z lower-cased: the largest doc_id. The index of the run takes two batches and is dropped."""
     rows = _numbered(docs)
-    gone = park(exact_dedup.DigestIndex(spark).dedup(rows, row_column="__row").where("not kept").select(F.col("row_id").alias("__row")), "copies")
+    index = exact_dedup.DigestIndex(spark, f"pipeline_{uuid.uuid4().hex}")
+    try:
+        marked = exact_dedup.mark_copies(rows, index, row_column="__row")
+        gone = park(marked.where("not kept").select(F.col("row_id").alias("__row")), "copies")
+    finally:
+        index.drop()
     return without_rows(rows, gone, ["__row"]).select(*docs.columns)
 
 

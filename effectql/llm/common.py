@@ -190,18 +190,18 @@ def without_rows(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame
     return marked.where("not __hit").select(*rows.columns).unionByName(kept)
 
 
-#: A key that holds this share of all rows is joined apart; at most 1 / HOT_SHARE keys do.
-HOT_SHARE = 1 / 200
+#: A key that holds this share of all rows, or so many rows, is joined apart. Of ``total`` rows, at most
+#: 1 / HOT_SHARE + total / HOT_ROWS keys do: 250,000 of 10^12 rows.
+HOT_SHARE, HOT_ROWS = 1 / 200, 1 << 22
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows`` joined with ``groups`` (one row for each key, with the number of rows in ``count``).
 
-    Keys with a large share of the rows are joined by broadcast, which deals none of their rows anew;
-    there can be no more than 1 / HOT_SHARE of them. All others meet in a shuffled join. Both inputs
-    are read twice and should be parked.
+    Keys with many rows are joined by broadcast, which deals none of their rows anew; see HOT_SHARE for
+    how many there can be. All others meet in a shuffled join. Both inputs are read twice and should be parked.
     """
-    hot = groups.where(F.col(count) >= max(2, total * HOT_SHARE)).withColumn("__hot", F.lit(True))
+    hot = groups.where(F.col(count) >= max(2, min(total * HOT_SHARE, HOT_ROWS))).withColumn("__hot", F.lit(True))
     marked = rows.join(F.broadcast(hot), key, "left")
     columns = [*rows.columns, *(c for c in groups.columns if c != key)]
     cold = marked.where(F.col("__hot").isNull()).select(*rows.columns).join(groups.hint("merge"), key)

@@ -58,13 +58,17 @@ class DigestIndex:
         return self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").where("col_name = 'Location'").first()["data_type"]
 
     def compact(self) -> None:
-        """Merge the files of each bucket into one, so that merges find it sorted; the old files are deleted last."""
-        old, fresh = self._location(), f"{self.name}_compact"
+        """Merge the files of each bucket into one, so that merges find it sorted.
+
+        The table changes its folder in one step, so that whatever fails before or after leaves it whole; the old files go last.
+        """
+        old, fresh, path = self._location(), f"{self.name}_compact", self._path()
         self.spark.sql(f"DROP TABLE IF EXISTS {fresh}")
         files = self.spark.read.schema(self.rows().schema).parquet(old)  # not by the table, whose buckets would stand for the shuffle
-        self._write(files.repartition(self.buckets, "digest"), fresh, {"path": self._path()})
-        self.spark.sql(f"DROP TABLE {self.name}")
-        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.name}")
+        self._write(files.repartition(self.buckets, "digest"), fresh, {"path": path})
+        self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION '{path}'")
+        self.spark.sql(f"REFRESH TABLE {self.name}")
+        self.spark.sql(f"DROP TABLE {fresh}")  # its files are the table's now
         delete(self.spark, old)
 
     def drop(self) -> None:
@@ -134,15 +138,15 @@ def _marked(rows: DataFrame, held: DataFrame) -> DataFrame:
     )
 
 
-def mark_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def mark_copies(docs: DataFrame, index: DigestIndex, row_column: str | None = None) -> DataFrame:
     """``dedup`` of ``docs`` in two batches through one index, largest ids first, so that the largest id stays.
 
     The upper half by doc_id fills the index, the lower half, with null ids, is compared with it; group_size
-    counts both.
+    counts both. Without a ``row_column`` rows are numbered, the same in both batches.
     """
     middle = F.percentile_approx("doc_id", 0.5).alias("middle")
     middle = docs.agg(middle).first()["middle"]
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = docs.withColumn("__row", F.col(row_column) if row_column else F.monotonically_increasing_id())
     upper = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(False))
     merged = [index.merge(numbered.where(part), name, row_column="__row") for name, part in (("upper", upper), ("lower", ~upper))]
     rows = merged[0][0].unionByName(merged[1][0])
@@ -154,8 +158,10 @@ def mark_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark)
-    found = park(mark_copies(table(spark, sf_dir, "documents"), index), "marked")
-    index.drop()
+    try:
+        found = park(mark_copies(table(spark, sf_dir, "documents"), index), "marked")
+    finally:
+        index.drop()
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
