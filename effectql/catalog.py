@@ -63,6 +63,8 @@ MIGRATIONS = (
 #: Tables that lie in buckets by card_id, so that what is asked of a card meets the card without a shuffle.
 BY_CARD = frozenset(n for n, schema in SCHEMAS.items() if "card_id long" in schema and n != "raw_card_record")
 
+#: Segments of a table before the last ones are merged.
+SEGMENTS = 8
 #: Versions of a table that stay registered, for frames that still read them.
 VERSIONS = 8
 
@@ -126,8 +128,8 @@ class Store:
     with the next one.
 
     A ``Delta`` adds a segment, so that a small change writes little. Readers leave out rows of cards that a
-    later segment touches. Neighbouring segments are merged once the earlier one has no more than twice the rows of
-    the later one; so there are as many segments as the logarithm of the rows, and a row is rewritten as often.
+    later segment touches. Beyond SEGMENTS segments the last ones are merged, those that the one before exceeds twice
+    in rows; so a row is rewritten as often as the logarithm of the table at most, and a large first segment seldom.
 
     Tables that belong to cards are bucketed and sorted by card_id, ``buckets`` of them from the first write on;
     their segments are partitions of one catalog table, so that joins by card_id, those with the touched cards
@@ -274,24 +276,28 @@ class Store:
         folders = [(k, s.touched) for k, s in enumerate(segments) if s.touched]
         return self._registered(name, f"{part}_touched", folders, "card_id long") if folders else None
 
-    def _merge(self, name: str, all_: bool = False) -> None:
-        """Merge the last segments of a staged table as long as the earlier of two is not much the larger one."""
+    def _merge(self, name: str, most: int = SEGMENTS) -> None:
+        """Merge the last segments of a staged table, if there are more than ``most``.
+
+        Those are merged that the one before them exceeds twice in rows, and at least as many as are too many.
+        """
         segments = self.current().tables[name]
-        while len(segments) > 1 and (all_ or segments[-2].n <= 2 * segments[-1].n or not segments[-1].n and not segments[-1].touched):
-            first, last = segments[-2:]
-            if not last.n and not last.touched:  # an empty addition
-                segments.pop()
-                continue
-            touched = [self._touched(name, [s], "merged") for s in (first, last) if s.touched] if len(segments) > 2 else []
-            ids = [t.select("card_id") for t in touched]
-            merged = self._segment(name, self._rows(name, [first, last], "merging"), functools.reduce(DataFrame.unionByName, ids) if ids else None)
-            segments[-2:] = [merged]
+        if len(segments) <= most:
+            return
+        at = most - 1
+        while at and segments[at - 1].n <= 2 * sum(s.n for s in segments[at:]):
+            at -= 1
+        last = segments[at:]
+        # what the segments before have of these cards is still to be left out
+        ids = [self._touched(name, [s], "merged").select("card_id") for s in last if s.touched] if at else []
+        merged = self._segment(name, self._rows(name, last, "merging"), functools.reduce(DataFrame.unionByName, ids) if ids else None)
+        segments[at:] = [merged]
 
     def compact(self) -> None:
         """Merge all segments of each table into one."""
         with self.transaction() as after:
             for name in list(after.tables):
-                self._merge(name, all_=True)
+                self._merge(name, most=1)
 
     def folder(self, name: str) -> str | None:
         """The folder of a table that lies in one segment."""
@@ -307,7 +313,7 @@ class Store:
             known = after.tables.get(name, [])
             if not isinstance(rows, Delta):
                 after.tables[name] = [self._segment(name, rows)]
-            elif any(s.n for s in known):
+            elif any(s.n for s in known):  # -1: not counted
                 after.tables[name] = [*known, self._segment(name, rows.rows, rows.touched)]
             else:
                 after.tables[name] = [self._segment(name, rows.rows)]

@@ -765,6 +765,23 @@ def resolve_ids(spark, sf_dir):
     return resolve(records, known, 100).select("c_custkey", "card_id", "is_new")
 
 
+@query(
+    "resolve_chain",
+    """WITH r AS (SELECT c_custkey AS k, c_custkey // 5 AS c, c_custkey % 5 AS p FROM customer),
+    fresh AS (SELECT c, 1000000 + row_number() OVER (ORDER BY 'own:' || k0) AS card_id FROM (SELECT c, min(k) AS k0 FROM r GROUP BY c))
+    SELECT k AS c_custkey, CASE WHEN c % 3 = 0 AND p >= 2 THEN c ELSE card_id END::BIGINT AS card_id, NOT (c % 3 = 0 AND p >= 2) AS is_new FROM r JOIN fresh USING (c)""",
+)
+def resolve_chain(spark, sf_dir):
+    """Records of two or three ids in chains of five: each is known by its last id only, that of the record before it."""
+    k = F.col("c_custkey").cast("long")
+    named = lambda source, x: F.struct(F.lit(source).alias("source"), x.cast("string").alias("external_id"))
+    ids = F.array(named("own", k), F.when(k % 5 < 4, named("link", k + 1)), F.when(k % 5 > 0, named("link", k)))
+    records = t(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", F.array_compact(ids).alias("external_ids"))
+    chains = t(spark, sf_dir, "customer").select(F.floor(k / 5).cast("long").alias("card_id")).distinct().where("card_id % 3 = 0")
+    known = chains.select("card_id", F.lit("link").alias("source"), (F.col("card_id") * 5 + 3).cast("string").alias("external_id"))
+    return resolve(records, known, 1_000_000).select("c_custkey", "card_id", "is_new")
+
+
 # -- search over the cards made of parts
 
 
