@@ -55,9 +55,20 @@ ACTION_PATTERNS = (
     ("PREVENT_SUMMON", "不能特殊召唤|不能召唤"),
 )
 # Actions that may be a cost.
-COST_ACTIONS = (
-    "BANISH DISCARD TRIBUTE SEND_TO_GRAVEYARD MILL DETACH REVEAL SHUFFLE RETURN_TO_HAND RETURN_TO_DECK PAY_LP EXCAVATE"
-).split()
+COST_ACTIONS = [
+    "BANISH",
+    "DISCARD",
+    "TRIBUTE",
+    "SEND_TO_GRAVEYARD",
+    "MILL",
+    "DETACH",
+    "REVEAL",
+    "SHUFFLE",
+    "RETURN_TO_HAND",
+    "RETURN_TO_DECK",
+    "PAY_LP",
+    "EXCAVATE",
+]
 # Where an action puts and takes cards if the text doesn't say.
 DEFAULT_DESTINATION = {
     "SPECIAL_SUMMON": "MONSTER_ZONE",
@@ -82,10 +93,21 @@ DEFAULT_DESTINATION = {
 }
 DEFAULT_SOURCE = {"MILL": "DECK", "DRAW": "DECK"}
 # Actions that leave a card which later text may refer to.
-PRODUCING = (
-    "SPECIAL_SUMMON NORMAL_SUMMON TRIBUTE_SUMMON FUSION_SUMMON RITUAL_SUMMON SYNCHRO_SUMMON XYZ_SUMMON LINK_SUMMON "
-    "ADD_TO_HAND SEARCH RETURN_TO_HAND SET_CARD EQUIP"
-).split()
+PRODUCING = [
+    "SPECIAL_SUMMON",
+    "NORMAL_SUMMON",
+    "TRIBUTE_SUMMON",
+    "FUSION_SUMMON",
+    "RITUAL_SUMMON",
+    "SYNCHRO_SUMMON",
+    "XYZ_SUMMON",
+    "LINK_SUMMON",
+    "ADD_TO_HAND",
+    "SEARCH",
+    "RETURN_TO_HAND",
+    "SET_CARD",
+    "EQUIP",
+]
 # Words of zones, in order of priority, and the words that lead to a destination.
 ZONE_WORDS = {
     "额外卡组": "EXTRA_DECK",

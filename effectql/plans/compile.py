@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import paging
 from .ast import RANGES, Bool, Exists, Field, Node, Query
 from .model import Model, Spec, check, expanded, like_pattern, translated
 
@@ -136,8 +137,11 @@ class Compiler:
     def page(self, query: Query) -> DataFrame:
         """The query's page, ordered by the name without case, and by the key where names are equal."""
         rows = self.matched(query).select(*self.model.projection)
+        offset = max(0, query.offset)
+        if offset > paging.KEPT:
+            return paging.page_at(rows, [fold(F.col(self.model.order)), F.col(self.model.key)], offset, query.limit)
         ordered = rows.orderBy(fold(F.col(self.model.order)).asc_nulls_first(), self.model.key)
-        return ordered.offset(max(0, query.offset)).limit(query.limit)
+        return ordered.offset(offset).limit(query.limit)
 
     def count(self, query: Query) -> DataFrame:
         return self.matched(query).agg(F.count(F.lit(1)).alias("total"))

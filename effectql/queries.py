@@ -12,7 +12,7 @@ from .functions import scalars as S
 from .functions import vocab as V
 from .ingest import resolve
 from .operators import aggregates as A
-from .operators import dml, extract
+from .operators import dml, extract, graph, paging
 from .plans.ast import Exists, Field, Query, all_of, any_of, negate
 from .plans.cards import tables
 from .plans.compile import LOWER, UPPER, Compiler, fold
@@ -653,7 +653,10 @@ def part_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _card_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return extract.effect_tables(extract.extract(part_cards(spark, sf_dir)))
+    """The effect tables of all parts; cards are dealt over the tasks and parsed once, whatever is read of them."""
+    graph.shared_checkpoints(spark)
+    cards = part_cards(spark, sf_dir)
+    return extract.effect_tables(extract.extract(cards.repartition(spark.sparkContext.defaultParallelism, "card_id")).checkpoint())
 
 
 @query(
@@ -765,6 +768,18 @@ def resolve_ids(spark, sf_dir):
     return resolve(records, known, 100).select("c_custkey", "card_id", "is_new")
 
 
+@query(
+    "deep_page",
+    """SELECT l_orderkey, l_linenumber, l_comment FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_comment, row_number() OVER (ORDER BY l_returnflag || l_linestatus, l_partkey, l_orderkey, l_linenumber) AS r,
+    count(*) OVER () AS n FROM lineitem) WHERE r > n * 4 // 5 AND r <= n * 4 // 5 + 50""",
+)
+def deep_page(spark, sf_dir):
+    """Fifty rows behind four fifths of a table, found by counting ranges."""
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("l_comment"), "l_partkey")
+    order = [F.col("l_comment"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")]
+    return paging.page_at(rows, order, rows.count() * 4 // 5, 50, kept=2000).drop("l_partkey")
+
+
 @query(
     "resolve_chain",
     """WITH r AS (SELECT c_custkey AS k, c_custkey // 5 AS c, c_custkey % 5 AS p FROM customer),
