@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table, text_slices
+from .wordhash import words_of
 
-#: White space of the vocabulary's pattern; str.split() also splits at 1C to 1F, which are symbols there.
-_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Words remembered by a worker.
-REMEMBERED = 600_000
+#: White space of the vocabulary's pattern beyond ASCII; 1C to 1F are symbols there.
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Chunks remembered by a worker, in some 40 bytes each.
+REMEMBERED = 3_000_000
 #: Longer fragments are merged by a heap of their own, not along with the others.
 LONG = 200
 #: Rank of a pair that never merges.
@@ -48,6 +48,62 @@ def _normal(text: str) -> str:
     return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
 
+def _shown(text: str) -> str:
+    """The text as it is split: in normal form, unless the library has to make it, with blanks for wide white space."""
+    if text.isascii():
+        return text.lower()
+    if not _RARE.search(text):
+        text = _normal(text)
+    return _WIDE.sub(" ", text)
+
+
+class _Memory:
+    """The ids of chunks by the chunks' hashes, in sorted arrays: a large pair and a small one for what came last."""
+
+    def __init__(self):
+        self.size, self._used = 0, 0
+        self.ids = np.zeros(1 << 16, np.uint32)
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._parts = [empty, empty]
+
+    @staticmethod
+    def _at(part: tuple, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(part[0]):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        place = np.minimum(np.searchsorted(part[0], hashes), len(part[0]) - 1)
+        return place, part[0][place] == hashes
+
+    def knows(self, hashes: np.ndarray) -> np.ndarray:
+        return self._at(self._parts[0], hashes)[1] | self._at(self._parts[1], hashes)[1]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of known chunks begin in ``ids``, and how many they are."""
+        start, many = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for part in self._parts:
+            place, there = self._at(part, hashes)
+            start[there], many[there] = part[1][place[there]], part[2][place[there]]
+        return start, many
+
+    def learn(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Add chunks by sorted hashes that are not known."""
+        told = np.frombuffer(b"".join(ids), np.uint32)
+        many = np.array([len(x) >> 2 for x in ids], np.int64)
+        while self._used + len(told) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
+        self.ids[self._used : self._used + len(told)] = told
+        fresh = hashes, self._used + np.cumsum(many) - many, many
+        self._used += len(told)
+        self.size += len(hashes)
+        large, small = self._parts
+        small = self._joined(small, fresh)
+        self._parts = [self._joined(large, small), tuple(x[:0] for x in small)] if len(small[0]) > 1 << 15 else [large, small]
+
+    @staticmethod
+    def _joined(a: tuple, b: tuple) -> tuple:
+        place = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, place, y) for x, y in zip(a, b, strict=True))
+
+
 class ForcedCutBpe:
     """Encodes and decodes as the tokenizers library does for a word-end BPE file.
 
@@ -94,7 +150,7 @@ class ForcedCutBpe:
         self._keys = pairs[:, 0] << 20 | pairs[:, 1]
         self._build_table()
         self.ranks = {int(k): i for i, k in enumerate(self._keys)}
-        self._chunks: dict[str, bytes] = {}
+        self._memory = _Memory()
 
     # -- ranks of pairs: an open hash table in arrays
 
@@ -221,63 +277,73 @@ class ForcedCutBpe:
                     heapq.heappush(heap, (r, k, parts[k], parts[right[k]]))
         return [p for p, g in zip(parts, gone, strict=True) if not g]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember the ids of chunks without white space."""
-        plain = [c for c in chunks if c.isascii() or not _RARE.search(c)]
-        words: list[list[str]] = [[]] if plain else []
-        for w in self._pattern_or_line.findall("\n".join(map(_normal, plain))):
-            if w == "\n":
-                words.append([])
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks without white space."""
+        words: list[list[str]] = [[]] * len(chunks)
+        mixed, rare = [], []
+        for k, c in enumerate(chunks):
+            if not c.isascii():
+                (rare if _RARE.search(c) else mixed).append(k)
+            elif c.isalpha():  # one word of the pattern
+                words[k] = [c.lower()]
             else:
-                words[-1].append(w)
-        if len(plain) < len(chunks):
+                mixed.append(k)
+        if mixed:
+            split: list[list[str]] = [[]]
+            for w in self._pattern_or_line.findall(_normal("\n".join([chunks[k] for k in mixed]))):
+                if w == "\n":
+                    split.append([])
+                else:
+                    split[-1].append(w)
+            for k, ws in zip(mixed, split, strict=True):
+                words[k] = ws
+        if rare:
             if self._library is None:
                 from tokenizers import Tokenizer
 
                 self._library = Tokenizer.from_str(self.source)
-            for c in chunks:
-                if _RARE.search(c):
-                    plain.append(c)
-                    split = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(c))
-                    words.append([bytes(self._from_shown[x] for x in w).decode() for w, _ in split])
+            for k in rare:
+                split_ = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunks[k]))
+                words[k] = [bytes(self._from_shown[x] for x in w).decode() for w, _ in split_]
         distinct = list({w for ws in words for w in ws})
         ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
-        for chunk, ws in zip(plain, words, strict=True):
-            self._chunks[chunk] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+        return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in words]
 
     # -- texts
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit integers in the machine's order (little-endian)."""
-        parts: list[list[str]] = []
-        for text in texts:
-            if self._special_split and any(s in text for s in self.special):
-                split = []
-                for p in self._special_split.split(text):
-                    split += [p] if p in self.special else self._split(p)
-                parts.append(split)
-            else:
-                parts.append(self._split(text))
-        known = self._chunks
-        if len(known) > REMEMBERED:
-            known.clear()
-        if not known:
-            known.update({s: array("I", [i]).tobytes() for s, i in self.special.items()})
-        wanted: set[str] = set()
-        wanted.update(*parts)
-        new = [w for w in wanted if w not in known]
-        if new:
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        """The ids of each text as unsigned 32-bit integers in the machine's order (little-endian).
+
+        Chunks between white space are told apart by 64-bit hashes and looked up in arrays, so that one that was
+        seen before costs no Python object.
+        """
+        if self._special_split and any(s in text for text in texts for s in self.special):
+            parts = [[p for p in self._special_split.split(text) if p] for text in texts]
+            plain = iter(self.encode_batch([p for ps in parts for p in ps if p not in self.special]))
+            return [b"".join([array("I", [self.special[p]]).tobytes() if p in self.special else next(plain) for p in ps]) for ps in parts]
+        words = words_of(pa.array([_shown(text) for text in texts], pa.string()))
+        if not len(words.hashes):
+            return [b""] * len(texts)
+        hashes, which = np.unique(words.hashes, return_inverse=True)
+        if self._memory.size > REMEMBERED:
+            self._memory = _Memory()
+        new = np.flatnonzero(~self._memory.knows(hashes))
+        if len(new):
+            one = np.empty(len(hashes), np.int64)
+            one[which] = np.arange(len(which))
+            data = words.data.tobytes()
+            spans = zip(words.start[one[new]].tolist(), words.end[one[new]].tolist(), strict=True)
+            self._memory.learn(hashes[new], self._learn([data[a:b].decode() for a, b in spans]))
+        start, many = self._memory.find(hashes)
+        many = many[which]
+        before = np.concatenate(([0], np.cumsum(many)))
+        ids = self._memory.ids[np.repeat(start[which] - before[:-1], many) + np.arange(before[-1])].tobytes()
+        bounds = (before[words.first] * 4).tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
-    def _split(self, text: str) -> list[str]:
-        if text.isascii() or not _RARE.search(text):
-            text = _normal(text)
-        return [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
-
     def decode(self, ids: bytes) -> str:
         """As decode(ids, skip_special_tokens=False) of a file without decoder: tokens joined by spaces."""
         return " ".join(map(self.tokens.__getitem__, array("I", ids)))
