@@ -366,7 +366,7 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, id_column: str =
     cores = turned_.where("core >= 0").groupBy("core").agg(F.min("node").alias("of_core"), F.sum("weight").alias("held"))
     cores = F.broadcast(park(cores, "cores"))  # at most 1 / SHARE rows
     members = turned_.select("node", "core", "weight").join(cores, "core", "left").select(
-        "node", "weight", F.coalesce("of_core", "node").alias("top"), F.coalesce("held", "weight").alias("held")
+        "node", "weight", F.coalesce("of_core", "node").alias("top"), F.coalesce("held", "weight").alias("held"), F.col("of_core").isNotNull().alias("inside")
     )
     members = park(members, "members")
     counted = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
@@ -376,9 +376,10 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, id_column: str =
         edges = edges.join(tops.hint("merge"), edges[c] == tops["node"], "left").withColumn(c, F.coalesce("top", c)).select("a", "b")
     comps = connected_components(members.select(F.col("top").alias("node")).distinct(), edges.where("a <> b"))
     comps = comps.select(F.col("node").alias("top"), "comp")
-    placed = members.join(counted, "node", "left").join(comps.hint("merge"), "top").select(
-        "node", "comp", (F.coalesce("links", F.lit(0)) + F.col("held") - 1).alias("n_links")
-    )
+    comps = park(comps, "comps")
+    of_cores = F.broadcast(comps.join(cores.select(F.col("of_core").alias("top")), "top", "left_semi"))  # all members of a core have one top
+    comped = members.where("not inside").join(comps.hint("merge"), "top").unionByName(members.where("inside").join(of_cores, "top"))
+    placed = comped.join(counted, "node", "left").select("node", "comp", (F.coalesce("links", F.lit(0)) + F.col("held") - 1).alias("n_links"))
     placed = park(placed.join(classes.select("node", "class", "least", "weight"), "node"), "placed")
     total = placed.count()
     named_comps = park(placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
