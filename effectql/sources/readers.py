@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .dumps import list_elements
 
 CDB_ROW = (
     "id long, ot long, alias long, setcode long, type long, atk int, def int, level long, race long, attribute long, category long, "
@@ -76,11 +77,9 @@ def read_cdb(spark: SparkSession, path: str) -> DataFrame:
 def read_json_dump(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Records of dumps ({"data": [...]} or a bare list), and those that can't be read (record, reason).
 
-    A dump is one value and is split by one task; several dumps are split side by side.
+    A dump is split among tasks, however large; see ``dumps``.
     """
-    raw = spark.read.option("wholetext", True).text(path)
-    listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.data"))
-    items = raw.select(F.explode(F.from_json(listed, "array<string>")).alias("record"))
+    items = list_elements(spark, path)
     parsed = items.withColumn("r", F.from_json("record", JSON_CARD, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | F.coalesce(F.trim("r.name"), F.lit("")).eqNullSafe("")
     good = parsed.where(~bad).select("r.*", "record").drop("_corrupt_record")

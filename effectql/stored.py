@@ -169,6 +169,20 @@ def store_search(spark, sf_dir):
     return spark.createDataFrame([(k + 1, h["canonical_name"], got["total"]) for k, h in enumerate(got["hits"])], "place long, canonical_name string, total long")
 
 
+@query("dump_list", "SELECT p_partkey AS id, p_name || ' }],\"' AS name, p_size::INT AS atk FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT NULL, NULL, p_size::INT FROM part WHERE p_partkey % 7 = 0")
+def dump_list(spark, sf_dir):
+    """Dumps written of all parts and read back in blocks; every seventh record has no name and is rejected."""
+    graph.shared_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/dumps/{uuid.uuid4().hex}"
+    name = F.when(F.col("p_partkey") % 7 != 0, F.concat("p_name", F.lit(' }],"')))
+    card = F.to_json(F.struct(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_size").cast("int").alias("atk")))
+    lists = t(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 500)).agg(F.concat(F.lit('{"n": [1], "data": ['), F.array_join(F.collect_list(card), ", "), F.lit("]}")).alias("value"))
+    lists.select("value").write.text(path)
+    good, bad = readers.read_json_dump(spark, path)
+    rejected = bad.select(F.from_json("record", "atk int").alias("r")).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("name"), "r.atk")
+    return good.select("id", "name", "atk").unionByName(rejected)
+
+
 @query(
     "chinese_names",
     """WITH r AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 > 0 THEN 'sc' || n_regionkey END AS sc, CASE WHEN n_nationkey % 2 = 0 THEN 'sc' || (n_nationkey % 5) END AS md,
