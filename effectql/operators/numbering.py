@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def numbered(rows: DataFrame, order: list[Column], name: str, top: int = 0) -> DataFrame:
     """``rows`` with ``name``: top + 1, top + 2 and so on, in order.
 
     Rows are dealt by ranges of ``order`` and sorted within; a range begins behind the count of those
-    before it. The driver reads one count for each range. The dealt rows are cached, as ranges are drawn
-    anew each time they are computed.
+    before it. The driver reads one count for each range. The dealt rows are checkpointed, as ranges are drawn
+    anew each time they are computed, which the loss of an executor would bring about.
     """
+    graph.shared_checkpoints(rows.sparkSession)
     dealt = (
         rows.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("__range", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-        .persist()
+        .checkpoint()
     )
     counts = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
     starts, at = {}, top + 1

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_checkpoints
 from .ast import Exists, Query, QueryError, walk
 from .cards import MODEL
 from .compile import Compiler, fold
@@ -19,6 +20,9 @@ _PREDICATE = [
     "extracted_by", "source_text",
 ]
 
+#: Rows of a page at most that the driver holds and broadcasts.
+LOOKED_AT = 10_000
+
 
 class Searcher:
     def __init__(self, tables: dict[str, DataFrame]):
@@ -34,9 +38,14 @@ class Searcher:
         The page is cut first, so that everything else is joined to its few cards only.
         """
         found = self.compiler.page(query)
-        # its rows, no more than the limit, are asked for once; all that follows is joined to them
-        page = found.sparkSession.createDataFrame(found.collect(), found.schema)
-        side = self.tables["card_archetype"].join(F.broadcast(page.select("card_id")), "card_id", "left_semi")
+        # its rows are asked for once; all that follows is joined to them. A page that no one looks at stays off the driver
+        if query.limit <= LOOKED_AT:
+            page = found.sparkSession.createDataFrame(found.collect(), found.schema)
+        else:
+            shared_checkpoints(found.sparkSession)
+            page = found.checkpoint()
+        cards = page.select("card_id")
+        side = self.tables["card_archetype"].join(F.broadcast(cards) if query.limit <= LOOKED_AT else cards, "card_id", "left_semi")
         lists = side.groupBy("card_id").agg(F.sort_array(F.collect_list("archetype")).alias("archetypes"))
         rows = page.join(lists, "card_id", "left")
         if evidence and any(isinstance(n, Exists) for n in walk(query.where)):

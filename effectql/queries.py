@@ -698,6 +698,56 @@ def card_counts(spark, sf_dir):
     return out.drop("k")
 
 
+#: Further shapes of texts by number: text and pendulum text, as SQL over part; material lines, once per turn, restriction and
+#: negation, bullets, both boxes of a pendulum card, quoted names.
+SHAPES = (
+    (f"concat('「甲', p_partkey, '」＋「乙」', chr(10), '①：从卡组抽', {_count}, '张卡。')", "NULL"),
+    ("'①：1回合1次，可以发动。选场上1只怪兽破坏。'", "NULL"),
+    ("concat('这个卡名的效果1回合只能使用1次。', chr(10), '①：自己不能抽卡。')", "NULL"),
+    (f"concat('①：可以从以下效果选择1个发动。', chr(10), '●从卡组抽', {_count}, '张卡。', chr(10), '●对方场上1只怪兽破坏。')", "NULL"),
+    ("'怪兽效果。从卡组抽1张卡。'", f"concat('①：自己从卡组抽', {_count}, '张卡。')"),
+    ("concat('①：把手卡的「丙', p_partkey, '」送去墓地才能发动。从卡组抽1张卡。谜。')", "NULL"),
+)
+#: What becomes of them: shape, unit, scope, kind, marker, bullet, status, clause, role, once per turn, action, negated action, object, number of objects.
+SHAPED = (
+    "(0, 0, 'MAIN', 'MATERIAL', NULL, 0, 'OK', NULL, NULL, NULL, NULL, NULL, NULL, NULL)",
+    "(0, 1, 'MAIN', 'NUMBERED', '①', 0, 'OK', 0, 'RESOLUTION', 'UNKNOWN', 'DRAW', NULL, NULL, 1)",
+    "(1, 0, 'MAIN', 'NUMBERED', '①', 0, 'OK', 0, 'RESTRICTION', 'TRUE', NULL, NULL, NULL, NULL)",
+    "(1, 0, 'MAIN', 'NUMBERED', '①', 0, 'OK', 1, 'RESOLUTION', 'TRUE', 'DESTROY', NULL, NULL, NULL)",
+    "(2, 0, 'MAIN', 'RESTRICTION', NULL, 0, 'OK', 0, 'RESTRICTION', 'UNKNOWN', NULL, NULL, NULL, NULL)",
+    "(2, 1, 'MAIN', 'NUMBERED', '①', 0, 'OK', 0, 'RESOLUTION', 'UNKNOWN', NULL, 'DRAW', NULL, NULL)",
+    "(3, 0, 'MAIN', 'NUMBERED', '①', 0, 'UNRESOLVED', 0, 'UNKNOWN', 'UNKNOWN', NULL, NULL, NULL, NULL)",
+    "(3, 1, 'MAIN', 'NUMBERED', '①', 1, 'OK', 0, 'RESOLUTION', 'UNKNOWN', 'DRAW', NULL, NULL, 1)",
+    "(3, 2, 'MAIN', 'NUMBERED', '①', 2, 'OK', 0, 'RESOLUTION', 'UNKNOWN', 'DESTROY', NULL, NULL, NULL)",
+    "(4, 0, 'PENDULUM', 'NUMBERED', '①', 0, 'OK', 0, 'RESOLUTION', 'UNKNOWN', 'DRAW', NULL, NULL, 1)",
+    "(4, 1, 'MONSTER', 'UNNUMBERED', NULL, 0, 'PARTIAL', 0, 'RESOLUTION', 'UNKNOWN', NULL, NULL, NULL, NULL)",
+    "(4, 1, 'MONSTER', 'UNNUMBERED', NULL, 0, 'PARTIAL', 1, 'RESOLUTION', 'UNKNOWN', 'DRAW', NULL, NULL, 0)",
+    "(5, 0, 'MAIN', 'NUMBERED', '①', 0, 'PARTIAL', 0, 'COST', 'UNKNOWN', 'SEND_TO_GRAVEYARD', NULL, '丙', NULL)",
+    "(5, 0, 'MAIN', 'NUMBERED', '①', 0, 'PARTIAL', 1, 'RESOLUTION', 'UNKNOWN', 'DRAW', NULL, NULL, 0)",
+    "(5, 0, 'MAIN', 'NUMBERED', '①', 0, 'PARTIAL', 2, 'RESOLUTION', 'UNKNOWN', NULL, NULL, NULL, NULL)",
+)
+
+
+@query(
+    "card_shapes",
+    f"""SELECT p_partkey AS card_id, unit_index, scope, kind, marker, sub_index, parse_status, clause_index, role, once_per_turn, action, negated, object || p_partkey AS object_name,
+    CASE many WHEN 1 THEN p_size % 5 + 1 WHEN 0 THEN 1 END::INT AS drawn FROM part JOIN (VALUES {', '.join(SHAPED)})
+    v(shape, unit_index, scope, kind, marker, sub_index, parse_status, clause_index, role, once_per_turn, action, negated, object, many) ON shape = p_partkey % 6""",
+)
+def card_shapes(spark, sf_dir):
+    """Material lines, once per turn, restrictions, negation, bullets, pendulum boxes, names in quotes, units known in part."""
+    pick = lambda k: "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN {x[k]}" for i, x in enumerate(SHAPES)) + " END"
+    texts = t(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("card_id"), F.expr(pick(0).replace("VARCHAR(9)", "STRING")).alias("desc"), F.expr(pick(1).replace("VARCHAR(9)", "STRING")).alias("pdesc"), (F.expr("p_partkey % 6 = 4")).alias("pendulum")
+    )
+    rows = extract.extract(texts.repartition(spark.sparkContext.defaultParallelism, "card_id"))
+    drawn = F.when(F.col("action") == "DRAW", F.col("object_count"))
+    return rows.select(
+        "card_id", "unit_index", "scope", "kind", "marker", "sub_index", "parse_status", "clause_index", "role", "once_per_turn", "action",
+        F.get_json_object("modifiers_json", "$.negated_action").alias("negated"), "object_name", drawn.alias("drawn"),
+    )
+
+
 @query("card_violations", "SELECT p_partkey AS card_id, '' AS message FROM part WHERE false")
 def card_violations(spark, sf_dir):
     """Extraction keeps its own rules on every card; none breaks one."""
