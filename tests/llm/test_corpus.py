@@ -279,3 +279,27 @@ def test_pipeline_runs_as_a_whole(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sharding_by_propagation(spark, monkeypatch, seed):
+    """Groups up to a shard are placed by propagation at any size, nearly as many whole as the best assignment has."""
+    rng = random.Random(seed)
+    sizes = [rng.choice([2, 3, 5, 9, 14]) for _ in range(9)]
+    docs = [(i, f"group {g}") for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    seated, real = [], sharding.seat
+    monkeypatch.setattr(sharding, "seat", lambda groups, free: seated.extend(groups) or real(groups, free))
+    placed = sharding.shard_documents(spark.createDataFrame(rows(docs), SCHEMA), shards=3)
+    whole = sharding.cut_groups(placed, "text_crc32").first()["whole"]
+    quota = [len(docs) // 3 + (s < len(docs) % 3) for s in range(3)]
+    assert all(n > max(quota) for _, n in seated)
+
+    def best(k, free):
+        """Groups that can be whole, all assignments tried."""
+        if k == len(sizes):
+            return 0
+        kept = [1 + best(k + 1, free[:s] + [free[s] - sizes[k]] + free[s + 1 :]) for s in range(3) if free[s] >= sizes[k]]
+        return max([*kept, best(k + 1, free)])
+
+    assert whole >= best(0, quota) - 2
+    assert sorted(r["count"] for r in placed.groupBy("shard").count().collect()) == sorted(quota)
