@@ -90,6 +90,12 @@ class ChatTokens:
                 run.append(i)
         return "".join(out)
 
+    def characters(self, ids: np.ndarray) -> int:
+        """The length of the formatted text of whole turns."""
+        control = ids >= self.first
+        said = len(self.plain.decode_bytes(ids[~control].tolist()).decode())
+        return said + sum(len(self.controls[i]) for i in ids[control].tolist())
+
     def read_turn(self, ids: np.ndarray) -> tuple[str, str]:
         """Role and text of the ids of a turn; a role that was null reads as empty."""
         role = self.roles[int(ids[0])]
@@ -190,7 +196,8 @@ def format_conversations(rows: DataFrame, path: str | None = None) -> DataFrame:
 def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
     """Digests of what the ids of ``format_conversations`` say, one row for each conversation.
 
-    Roles and texts come from the ids alone; what is learned comes from the ids under the loss mask.
+    Roles, texts and the number of formatted characters come from the ids alone; what is learned comes from the ids
+    under the loss mask.
     """
     source = _vocabulary(formatted.sparkSession, path)
 
@@ -204,8 +211,8 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
                 out.append((last, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for batch in batches:
-            names = ("conv_id", "ids", "start", "loss_start", "loss_end", "chars")
-            for conv, ids, start, a, b, chars in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
+            names = ("conv_id", "ids", "start", "loss_start", "loss_end")
+            for conv, ids, start, a, b in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
                 if conv != last or state is None:
                     flush()
                     last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -216,7 +223,7 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(learned)
                 state[3].update(learned.encode())
-                state[4] += chars
+                state[4] += t.characters(found)
             if out:
                 yield _digests(out)
                 out = []
