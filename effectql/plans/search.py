@@ -27,7 +27,7 @@ LOOKED_AT = 10_000
 class Searcher:
     def __init__(self, tables: dict[str, DataFrame]):
         self.tables = tables
-        self.compiler = Compiler(MODEL, tables)
+        self.compiler = Compiler(MODEL, tables, spread=True)
 
     def count(self, query: Query) -> int:
         return self.compiler.count(query).first()[0]
@@ -35,7 +35,7 @@ class Searcher:
     def hits(self, query: Query, evidence: bool = True, mode: str = "all") -> DataFrame:
         """The page: a row for each hit with archetypes and, for queries with blocks, matched_effects.
 
-        The page is cut first, so that everything else is joined to its few cards only.
+        The page is cut first, so that everything else is joined to its few cards only. Nothing is broadcast but the page.
         """
         found = self.compiler.page(query)
         # its rows are asked for once; all that follows is joined to them. A page that no one looks at stays off the driver
@@ -44,22 +44,22 @@ class Searcher:
         else:
             shared_checkpoints(found.sparkSession)
             page = found.checkpoint()
-        cards = page.select("card_id")
-        side = self.tables["card_archetype"].join(F.broadcast(cards) if query.limit <= LOOKED_AT else cards, "card_id", "left_semi")
+        cards = page.select("card_id").hint("broadcast" if query.limit <= LOOKED_AT else "merge")
+        side = self.tables["card_archetype"].join(cards, "card_id", "left_semi")
         lists = side.groupBy("card_id").agg(F.sort_array(F.collect_list("archetype")).alias("archetypes"))
-        rows = page.join(lists, "card_id", "left")
+        rows = page.join(lists.hint("merge"), "card_id", "left")
         if evidence and any(isinstance(n, Exists) for n in walk(query.where)):
-            shown = self.compiler.evidence(query, page, mode)
-            units = shown.select("card_id", "unit_id").distinct()
-            flat = self.tables["effect_flat"].join(units.select("unit_id"), "unit_id", "left_semi")
+            shown = self.compiler.evidence(query, cards, mode)
+            units = shown.select("unit_id").distinct()
+            flat = self.tables["effect_flat"].join(cards, "card_id", "left_semi").join(units.hint("merge"), "unit_id", "left_semi")
             predicates = flat.groupBy("unit_id").agg(
                 F.sort_array(F.collect_list(F.struct("clause_index", "pred_index", "role", "clause_text", "once_per_turn", *_PREDICATE))).alias("predicates")
             )
-            unit = self.tables["effect_unit"].join(predicates, "unit_id")
+            unit = self.tables["effect_unit"].join(cards, "card_id", "left_semi").join(predicates.hint("merge"), "unit_id")
             effects = unit.groupBy("card_id").agg(
                 F.sort_array(F.collect_list(F.struct("unit_index", "scope", "kind", "marker", "sub_index", "unit_text", "parse_status", "predicates"))).alias("matched_effects")
             )
-            rows = rows.join(effects, "card_id", "left")
+            rows = rows.join(effects.hint("merge"), "card_id", "left")
         return rows.orderBy(fold(F.col("canonical_name")).asc_nulls_first(), "card_id")
 
     def search(self, query: Query, limit: int | None = None, evidence: bool = True, mode: str = "all") -> dict[str, Any]:
