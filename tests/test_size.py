@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from effectql.operators import paging
+from effectql.operators import extract, paging
 
 
 def test_ranges_are_found_by_halving(spark):
@@ -17,3 +18,51 @@ def test_ranges_are_found_by_halving(spark):
     assert {r["k"]: r["n"] for r in placed.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 2, 6: 5}
     told = placed._jdf.queryExecution().toString()
     assert "lambda" not in told and "array_sort" not in told
+
+
+def broadcasts(frame):
+    """What the plan of a frame broadcasts."""
+    return [line for line in frame._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastExchange" in line]
+
+
+def test_tables_of_cards_are_not_broadcast(spark):
+    """Units, clauses and keys of cards grow with the cards; only a page, cut to its limit, is broadcast."""
+    from effectql import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    for name in ("card_predicates", "card_clauses", "search_total"):
+        assert not broadcasts(queries.found[name](spark, sf_dir)), name
+    found = queries._part_searcher(spark, sf_dir)
+    assert not broadcasts(found.compiler.page(queries._banish))
+    for name in ("search_hits", "search_effects"):
+        plan = queries.found[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+        for k, line in enumerate(plan):
+            if "BroadcastExchange" in line:
+                page = [x for x in plan[k + 1 : k + 5] if "LocalTableScan" in x or "ExistingRDD" in x]
+                assert page and "canonical_name" in page[0], (name, line)
+
+
+def test_cards_of_one_file_are_parsed_by_many_tasks(spark):
+    """However few partitions texts come in, cards are dealt over the cores before they are parsed."""
+    texts = spark.range(0, 64, 1, 1).select(F.col("id").alias("card_id"), F.lit("①：抽1张卡。").alias("desc"), F.lit(None).cast("string").alias("pdesc"), F.lit(False).alias("pendulum"))
+    rows = extract.extract(texts)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_equal_units_are_parsed_once(monkeypatch):
+    """A batch gives the rows of its cards in order; of units that say the same one is parsed, or each where a fallback is asked."""
+    texts = ["①：从卡组抽1张卡。②：谜。", None, "①：从卡组抽1张卡。", "谜", "②：从卡组抽1张卡。", "①：从卡组抽1张卡。②：谜。"]
+    cards = [(k, text, None, False) for k, text in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array([c[0] for c in cards], pa.int64()), pa.array(texts, pa.string()), pa.nulls(6, pa.string()), pa.array([False] * 6)], ["card_id", "desc", "pdesc", "pendulum"])
+    asked = []
+    real = extract.parse_unit
+    monkeypatch.setattr(extract, "parse_unit", lambda unit, *more: asked.append(unit.text) or real(unit, *more))
+    made = extract._batch_rows(batch, None, False).to_pylist()
+    assert len(asked) == 4
+    names = [n for n, _ in extract._COLUMNS]
+    assert made == [{n: r.get(n) for n in names} for c in cards for r in extract.card_rows(*c)]
+    asked.clear()
+    extract._batch_rows(batch, lambda unit: None, False)
+    assert len(asked) == 7
+    assert extract._batch_rows(batch.slice(1, 1), None, False).num_rows == 0
