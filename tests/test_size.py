@@ -66,3 +66,17 @@ def test_equal_units_are_parsed_once(monkeypatch):
     extract._batch_rows(batch, lambda unit: None, False)
     assert len(asked) == 7
     assert extract._batch_rows(batch.slice(1, 1), None, False).num_rows == 0
+
+
+def test_records_of_one_file_are_parsed_by_many_tasks(spark):
+    """Parts of one file are dealt over the cores before their records are parsed, in order of their keys, and lie in more buckets if they are many."""
+    from effectql import stored
+    from effectql.operators import graph
+
+    graph.shared_checkpoints(spark)
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1)
+    good, bad = stored._records(parts, F.col("p_name"))
+    assert good.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    seen = [r["k"] for r in good.select(F.col("external_id").cast("long").alias("k")).collect()]
+    assert seen == sorted(seen) and len(seen) == parts.count() and bad.isEmpty()
+    assert "Exchange" not in good._jdf.queryExecution().executedPlan().toString()
