@@ -80,3 +80,81 @@ def test_records_of_one_file_are_parsed_by_many_tasks(spark):
     seen = [r["k"] for r in good.select(F.col("external_id").cast("long").alias("k")).collect()]
     assert seen == sorted(seen) and len(seen) == parts.count() and bad.isEmpty()
     assert "Exchange" not in good._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conditions_on_records_do_not_parse_them_anew(spark):
+    """What records and rejects are selected by reads parsed fields; a table of words is looked up once for a value."""
+    from effectql import stored
+    from effectql.operators import graph
+
+    graph.shared_checkpoints(spark)
+    for frame in stored._records(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), F.col("p_name")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan
+        assert plan.count("trim(coalesce(frameType") <= 2
+
+
+def test_rows_of_cards_are_written_where_they_lie(spark, tmp_path, monkeypatch):
+    """An ingest and a build deal their rows by card once: each task of a write has rows of one bucket, and they are dealt for no table anew."""
+    from effectql import stored
+    from effectql.catalog import BY_CARD, Store
+    from effectql.ingest import build_effects, ingest_records, put_texts
+    from effectql.operators import graph
+    from effectql.queries import part_cards
+
+    graph.shared_checkpoints(spark)
+    sf_dir = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    store, where = Store(spark, f"file://{tmp_path}/store", buckets=3), {}
+    real = Store._save
+
+    def save(self, name, rows, folder, bucketed, dealt=False):
+        if dealt:
+            lies = rows.select(F.spark_partition_id().alias("task"), F.pmod(F.hash("card_id"), F.lit(3)).alias("bucket")).distinct().collect()
+            where.setdefault(name, []).append(len(lies) == len({r["task"] for r in lies}))
+        return real(self, name, rows, folder, bucketed, dealt)
+
+    monkeypatch.setattr(Store, "_save", save)
+    for run, some in (("one", parts), ("two", parts.where("p_partkey % 3 = 0"))):
+        ingest_records(store, *stored._records(some, F.col("p_name")), "parts", run)
+    put_texts(store, part_cards(spark, sf_dir).select(F.col("card_id").alias("passcode"), F.lit("effect").alias("kind"), F.col("desc").alias("text")).where("text <> ''"), "parts")
+    build_effects(store)
+    assert all(all(told) for told in where.values()), where
+    assert set(where) == BY_CARD - {"external_id", "card_text", "effect_source"}
+    assert {r["n"] for r in store.read("raw_card_record").groupBy("raw_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {1}
+    for name in ("card", "effect_flat"):  # and a read by buckets finds them
+        n = store.read(name).groupBy("card_id").count().count()
+        assert n == store.read(name).select("card_id").distinct().repartition(5).count() and n >= parts.count() - 1
+
+
+def test_numbers_go_on_from_places(spark):
+    """Rows that were numbered by their places once are numbered without gaps in that order, however they lie now."""
+    from effectql.operators import graph, numbering
+
+    graph.shared_checkpoints(spark)
+    rows = spark.range(0, 100, 1, 7).withColumn("place", F.monotonically_increasing_id()).checkpoint()
+    found = numbering.renumbered(rows.repartition(3, "id"), "place", "n", 40).orderBy("place").collect()
+    assert [(r["id"], r["n"]) for r in found] == [(k, 41 + k) for k in range(100)]
+    assert numbering.renumbered(rows.where("false"), "place", "n").columns == ["id", "place", "n"]
+
+
+def test_texts_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    """Texts are as large as they are, not as the file that they are made from: they are not taken for a small table."""
+    from effectql.catalog import Store
+    from effectql.ingest import put_texts
+
+    n = 20_000
+    spark.range(n).write.parquet(f"{tmp_path}/few")
+    texts = spark.read.parquet(f"{tmp_path}/few").select(F.col("id").alias("passcode"), F.lit("effect").alias("kind"), F.concat(*(F.sha2((F.col("id") + k).cast("string"), 512) for k in range(4))).alias("text"))
+    store, seen = Store(spark, f"file://{tmp_path}/store", buckets=2), []
+    store.migrate()
+    store.write("external_id", spark.range(n).select(F.col("id").alias("card_id"), F.lit("passcode").alias("source"), F.col("id").cast("string").alias("external_id")))
+    real, before = store.write, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    store.write = lambda name, delta: (seen.extend(broadcasts(delta.rows) + broadcasts(delta.touched)), real(name, delta))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(4 << 20))
+    try:
+        put_texts(store, texts, "parts")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not seen, seen
+    assert store.read("card_text").count() == n
