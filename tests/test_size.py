@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from effectql.operators import extract, paging
+from effectql import ingest, stored
+from effectql.catalog import Store
+from effectql.operators import aggregates, extract, graph, paging
 
 
 def test_ranges_are_found_by_halving(spark):
@@ -158,3 +162,34 @@ def test_texts_of_a_small_file_are_not_broadcast(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not seen, seen
     assert store.read("card_text").count() == n
+
+
+def test_what_cards_have_in_common_is_kept_once(spark):
+    """Wide rows of equal units went through Python and the cache once for each card."""
+    text = "①：自己从卡组抽1张卡。②：自己从卡组抽2张卡。"
+    texts = spark.createDataFrame([(k, text if k % 3 else "②：自己从卡组抽2张卡。", None, False) for k in range(60)], "card_id long, desc string, pdesc string, pendulum boolean")
+    kept = extract.parsed(texts.coalesce(1), buckets=2)
+    flat = extract.extract(texts)
+    assert sorted(map(str, extract.spread(kept).collect())) == sorted(map(str, flat.collect())) and flat.count() == 100
+    assert kept.count() < 60
+
+
+def test_texts_are_dealt_by_card_once(spark, tmp_path):
+    """They were dealt by key, then by card; the last text of a key still wins, texts of other sources and kinds stay."""
+    graph.shared_checkpoints(spark)
+    store = Store(spark, f"{tmp_path}/store", buckets=2)
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey BETWEEN 1 AND 8")
+    ingest.ingest_records(store, *stored._records(parts, F.col("p_name")), "parts", "one")
+    put = lambda rows, source: ingest.put_texts(store, spark.createDataFrame(rows, "passcode long, kind string, text string"), source)
+    put([(k, "effect", f"a{k}") for k in range(1, 9)], "x")
+    put([(1, "effect", "b"), (1, "effect", "c"), (2, "pendulum", "p"), (99, "effect", "none")], "x")
+    put([(3, "effect", "y")], "y")
+    got = {(r["kind"], r["source"], r["text"]) for r in store.read("card_text").collect()}
+    assert got == {("effect", "x", "c"), ("pendulum", "x", "p"), ("effect", "y", "y"), *(("effect", "x", f"a{k}") for k in range(2, 9))}
+    files = [f for s in store.current().tables["card_text"][:1] for f in os.listdir(f"{tmp_path}/store/card_text/{s.rows}") if f.endswith(".parquet")]
+    assert len(files) == 2
+
+
+def test_colliding_keys_are_counted_as_listed(spark):
+    rows = spark.createDataFrame([("a", "X"), ("a", "x"), ("b", "X"), ("b", "Y"), ("c", None), ("c", "Z"), (None, "P"), (None, "Q")], "k string, name string")
+    assert aggregates.collided(rows, "k", "name") == aggregates.collisions(rows, "k", "name").count() == 2
