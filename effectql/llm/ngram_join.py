@@ -13,9 +13,10 @@ Documents are sets of word shingles. Two of them link when their Jaccard similar
    twentieth of the set and as many signatures more must be shared, so that sets with a passage in common
    drop out; sets met by a combination only differ in all their rare shingles, which excludes most.
 4. Stars that share a signature and may be near enough in size are compared by their centers; the list of
-   a signature that is long is cut into blocks, and each pair of blocks is a task of its own. Distances
-   of sets obey the triangle inequality, so what centers and radii cannot decide is little; those members
-   are compared by their own signatures.
+   a signature that is long is cut into blocks, and each pair of blocks is a task of its own. There, pairs
+   whose bitmaps tell that they are too far apart are not formed: many near copies that just don't link share
+   many signatures. Distances of sets obey the triangle inequality, so what centers and radii cannot decide
+   is little; those members are compared by their own signatures.
 5. Linked stars grow into components.
 
 No link between different sets is lost: steps 2 and 4 only skip pairs that already are in one component or
@@ -48,6 +49,8 @@ TINY = 12
 GROUP, GROUP_SHINGLES, CENTERS = 256, 1_000_000, 16
 #: Keys of a signature that are paired in one task; longer lists are dealt by pairs of their blocks.
 LIST = 512
+#: Bits of a set's bitmap, a multiple of 64; see ``_bitmaps``.
+BITS = 1024
 _STAR = ["sid", "center", "shared", "n", "center_n", "token"]
 PREFIX, ALL_RARE = -1, -2
 LONG_LIST = -1
@@ -97,6 +100,22 @@ def _set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix((total[first[1:]] - total[first[:-1]]) ^ mix(sizes))
 
 
+def _bitmaps(values: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set a bitmap: each element flips one bit, which its hash names.
+
+    Two bitmaps differ in no more bits than one set has elements that the other one lacks, both ways.
+    """
+    out, step = [], 256
+    bits = (mix(values ^ _OTHER) % np.uint64(BITS)).astype(np.int64)
+    for start in range(0, len(first) - 1, step):
+        bounds = first[start : start + step + 1]
+        n = len(bounds) - 1
+        at = np.repeat(np.arange(n), np.diff(bounds)) * BITS + bits[bounds[0] : bounds[-1]]
+        odd = (np.bincount(at, minlength=n * BITS) & 1).astype(np.uint8)
+        out += [x.tobytes() for x in np.packbits(odd.reshape(n, BITS), axis=1)]
+    return out
+
+
 def describe(docs: DataFrame, by: Similarity) -> DataFrame:
     """row, doc_id, sid (identity of the set, null without words), n, two least hashes and the plain prefix of each row."""
 
@@ -241,7 +260,7 @@ def frequent(described: DataFrame, centers: DataFrame, in_groups: DataFrame) ->
 
 
 def signatures(docs: DataFrame, by: Similarity, common: np.ndarray) -> DataFrame:
-    """row, doc_id, sid, n, rare (shingles that aren't frequent) and the signatures (binary, 64 bits each) of each row.
+    """row, doc_id, sid, n, rare (shingles that aren't frequent), the signatures (binary, 64 bits each) and the bitmap of each row.
 
     A set with a prefix of rare shingles has those as signatures. Another has all its rare shingles and
     combinations of its first frequent ones; the combinations find partners that share no rare shingle,
@@ -283,16 +302,19 @@ def signatures(docs: DataFrame, by: Similarity, common: np.ndarray) -> DataFrame
         return [
             pa.array(_set_ids(values, first).view(np.int64), mask=n == 0), pa.array(n, pa.int64()), pa.array(rare, pa.int64()),
             pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary()),
+            pa.array(_bitmaps(values, first), pa.binary()),
         ]
 
-    return _scan(docs, by.words, make, "sid long, n long, rare long, signatures binary, combinations binary")
+    return _scan(docs, by.words, make, "sid long, n long, rare long, signatures binary, combinations binary, bits binary")
 
 
-def candidates(signed: DataFrame, by: Similarity, apart: bool = False) -> DataFrame:
+def candidates(signed: DataFrame, by: Similarity, apart: bool = False, about: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a < b) of keys that share as many signatures as they must and may be near enough in size.
 
     ``signed``: key, part, n, rare, signatures, combinations. Rows of a signature stream by in order;
-    those of one key are drawn together first. With ``apart``, pairs within a part are left out.
+    those of one key are drawn together first. With ``apart``, pairs within a part are left out. With ``about``
+    (key, size, reach, bits: a set of each key, and how far from it the others behind the key are at most), pairs
+    of long lists are formed only where the bitmaps of these sets allow of a link.
     """
     # rare is negative for single shingles: PREFIX of sets that have a whole prefix of them, else ALL_RARE
     names = ["sig", "key", "part", "n", "rare"]
@@ -319,14 +341,14 @@ def candidates(signed: DataFrame, by: Similarity, apart: bool = False) -> DataFr
         made = (f.reduceat(x, starts) for f, x in ((np.minimum, n), (np.maximum, n if most is None else most), (np.minimum, rare), (np.add, count)))
         return sig[starts], key[starts], part[starts], *made
 
-    def paired(sig, key, part, least, most, low, count, block=None) -> Iterator[pa.RecordBatch]:
-        """Pairs within each signature; with ``block``, only those between different blocks."""
+    def paired(sig, key, part, least, most, low, count, size=None, reach=None, bits=None, block=None) -> Iterator[pa.RecordBatch]:
+        """Pairs within each signature; with ``block``, only those between different blocks; with ``bits``, only those near enough by these."""
         same = sig[1:] == sig[:-1]
         shared = np.zeros(len(sig), bool)
         shared[1:] |= same
         shared[:-1] |= same
         sig, key, part, least, most, low, count = (x[shared] for x in (sig, key, part, least, most, low, count))
-        block = None if block is None else block[shared]
+        block, size, reach, bits = (None if x is None else x[shared] for x in (block, size, reach, bits))
         alone = count == 1  # a single set stands behind the key
         step = 1
         i = np.arange(len(sig))
@@ -344,6 +366,10 @@ def candidates(signed: DataFrame, by: Similarity, apart: bool = False) -> DataFr
             near = differ * (100 + by.percent) <= (100 - by.percent) * (least[i] + least[j])
             fits &= (low[i] < 0) | ~(alone[i] & alone[j]) | near
             a, b = i[fits], j[fits]
+            if bits is not None and len(a):
+                apart_by = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)  # elements, at least
+                within = 2 * apart_by / (size[a] + size[b] + apart_by) <= 1 - by.percent / 100 + reach[a] + reach[b] + 1e-9
+                a, b = a[within], b[within]
             if len(a):
                 more = np.where((low[a] == PREFIX) | (low[b] == PREFIX), _more(np.minimum(least[a], least[b])), 0)
                 zero = np.zeros(len(a), np.int64)
@@ -396,8 +422,14 @@ def candidates(signed: DataFrame, by: Similarity, apart: bool = False) -> DataFr
         yield from short(held)
 
     def block_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of two blocks of a list, (sig, one, other, block, key, part, least, most, low, count) in order."""
-        held = [np.zeros(0, np.int64)] * 10
+        """Pairs of two blocks of a list, (sig, one, other, block, key, part, least, most, low, count) in order; size, reach and bits may follow."""
+        held: list[np.ndarray] = []
+
+        def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+            plain = [np.asarray(batch.column(k)) for k in range(min(batch.num_columns, 12))]
+            if batch.num_columns > 12:
+                plain.append(np.frombuffer(b"".join(batch.column(12).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            return plain
 
         def within(rows) -> Iterator[pa.RecordBatch]:
             if len(rows[0]):
@@ -411,12 +443,13 @@ def candidates(signed: DataFrame, by: Similarity, apart: bool = False) -> DataFr
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows = [np.concatenate((h, np.asarray(batch.column(k), dtype=np.int64))) for k, h in enumerate(held)]
+            rows = [np.concatenate(x) for x in zip(held, columns(batch), strict=True)] if held else columns(batch)
             other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
             cut = int(other[-1]) + 1 if len(other) else 0
             yield from within([x[:cut] for x in rows])
             held = [x[cut:] for x in rows]
-        yield from within(held)
+        if held:
+            yield from within(held)
 
     exploded = signed.select("key", "part", "n", "rare", "signatures", "combinations").mapInArrow(unpack, ", ".join(f"{c} long" for c in names))
     ordered = exploded.repartition("sig").sortWithinPartitions("sig", "key")
@@ -431,10 +464,13 @@ def candidates(signed: DataFrame, by: Similarity, apart: bool = False) -> DataFr
             ),
             "long-lists",
         )
+        if about is not None:
+            told = about.select("key", F.col("size").cast("long"), F.col("reach").cast("double"), "bits")
+            lists = park(lists.join(told, "key").select(*lists.columns, "size", "reach", "bits"), "long-lists-told")
         blocks = park(lists.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("__blocks"), F.count(F.lit(1)).alias("__n")), "blocks")
         placed = join_hot(lists, blocks, "sig", "__n", lists.count()).withColumn("block", F.pmod(F.xxhash64("key", "sig"), F.col("__blocks")))
         dealt = placed.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).select(
-            "sig", F.least("block", "x").alias("one"), F.greatest("block", "x").alias("other"), "block", "key", "part", "least", "most", "low", "count"
+            "sig", F.least("block", "x").alias("one"), F.greatest("block", "x").alias("other"), "block", *lists.columns[1:]
         )
         dealt = dealt.repartition("sig", "one", "other").sortWithinPartitions("sig", "one", "other", "key")
         direct = direct.unionByName(dealt.mapInArrow(block_pairs, schema))
@@ -524,16 +560,17 @@ def linked_rows(docs: DataFrame, by: Similarity | None = None) -> DataFrame:
     common = frequent(described, centers, tokens.unionByName(more))
     signed = park(
         signatures(docs, by, common).where("sid is not null").join(members.select("row", "center"), "row")
-        .select("sid", F.col("center").alias("key"), F.lit(0).cast("long").alias("part"), "n", "rare", "signatures", "combinations"),
+        .select("sid", F.col("center").alias("key"), F.lit(0).cast("long").alias("part"), "n", "rare", "signatures", "combinations", "bits"),
         "signed",
     )
-    seen = park(compare(docs, nodes, candidates(signed, by), by), "center-pairs")
+    radius = park(members.groupBy("center").agg(F.max("far").alias("r"), F.count(F.lit(1)).alias("n")), "radius")
+    about = signed.where("sid = key").select("key", F.col("n").alias("size"), "bits").join(radius.select(F.col("center").alias("key"), F.col("r").alias("reach")), "key")
+    seen = park(compare(docs, nodes, candidates(signed, by, about=about), by), "center-pairs")
     distance = 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     links = F.lit(100) * F.col("shared") >= F.lit(by.percent) * (F.col("n_a") + F.col("n_b") - F.col("shared"))
     edges = seen.where(links).select("a", "b")
     every = centers.select(F.col("sid").alias("node"))
     comps = park(connected_components(every, edges), "components-1")
-    radius = park(members.groupBy("center").agg(F.max("far").alias("r"), F.count(F.lit(1)).alias("n")), "radius")
     unsure = (
         seen.where(~links).withColumn("d", distance)
         .join(radius.select(F.col("center").alias("a"), F.col("r").alias("ra")), "a")
@@ -568,8 +605,8 @@ def _between_members(
     involved = unsure.select(F.col("a").alias("center"), F.col("ca").alias("comp")).union(unsure.select("b", "cb")).distinct()
     counted = park(involved.join(sizes, "center"), "involved")
     mine = park(join_hot(members, counted, "center", "n", members.count()).select("sid", "center", "comp"), "undecided")
-    part = signed.join(mine, "sid").select(F.col("sid").alias("key"), F.col("comp").alias("part"), "n", "rare", "signatures", "combinations")
-    pairs = candidates(part, by, apart=True)
+    part = signed.join(mine, "sid").select(F.col("sid").alias("key"), F.col("comp").alias("part"), "n", "rare", "signatures", "combinations", "bits")
+    pairs = candidates(part, by, apart=True, about=part.select("key", F.col("n").alias("size"), F.lit(0.0).alias("reach"), "bits"))
     where = mine.select("sid", "center")
     asked = (
         pairs.join(where.select(F.col("sid").alias("a"), F.col("center").alias("p")), "a")

@@ -5,6 +5,7 @@ import os
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from corpus import SCHEMA, components, lowered, repeats, rows, split, texts
 
@@ -196,6 +197,39 @@ def test_ngram_join_with_long_lists(spark, monkeypatch, length):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(docs, 80, 5)
 
 
+def test_near_misses_in_long_lists_are_not_paired(spark, monkeypatch):
+    """Many near copies that share signatures and just don't link: bitmaps tell, and the links there are stay."""
+    monkeypatch.setattr(ngram_join, "LIST", 2)
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(200)]
+    docs = []
+    for i in range(40):  # 18 of 198 shingles differ from the base: of two of them 36, and 20 may
+        w = list(base)
+        for k in rng.sample(range(5, 195, 4), 6):
+            w[k] = f"x{i}x{k}"
+        docs.append((i, " ".join(w)))
+        if i % 10 == 0:
+            docs.append((100 + i, " ".join([*w, "more"])))
+    asked, compare = [], ngram_join.compare
+    monkeypatch.setattr(ngram_join, "compare", lambda docs, nodes, pairs, by: compare(docs, nodes, asked.append(parked := park(pairs, "asked-test")) or parked, by))
+    monkeypatch.setattr(ngram_join, "FREQUENT", 1)
+    monkeypatch.setattr(ngram_join, "settled", lambda docs, nodes, least, by: tuple(spark.createDataFrame([], x) for x in ("sid long, center long, far double", "token long")))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows(docs), SCHEMA), ngram_join.Similarity(90, 3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(docs, 90, 3)
+    assert 4 <= sum(x.count() for x in asked) <= 60
+
+
+def test_bitmaps_bound_what_sets_lack(spark):
+    rng = random.Random(6)
+    sets = [np.array(sorted(rng.sample(range(1 << 40), n)), np.uint64) for n in (0, 1, 5, 700, 3000)]
+    sets += [sets[-1][:2900], sets[-2][100:]]
+    first = np.cumsum([0, *map(len, sets)])
+    bits = [np.frombuffer(x, np.uint64) for x in ngram_join._bitmaps(np.concatenate(sets), first)]
+    for a, x in zip(sets, bits, strict=True):
+        for b, y in zip(sets, bits, strict=True):
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_candidates_of_one_signature_in_many_sets(spark):
     """One signature in 20,000 sets: only sizes that may link are paired, in blocks."""
     many = [(k, k, 100 + 2 * (k // 4), 0, k) for k in range(20_000)]
