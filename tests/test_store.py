@@ -264,3 +264,19 @@ def test_deep_pages(spark):
     for offset, limit in ((0, 5), (150, 10), (1234, 300), (2990, 50), (3000, 5), (9999, 5)):
         assert [r["id"] for r in page_at(frame, order, offset, limit, kept=100).collect()] == ordered[offset : offset + limit]
     assert page_at(frame, [F.lit(1)], 2000, 7, kept=100).count() == 7
+
+
+def test_queries_of_cards_build_no_effects(spark, monkeypatch):
+    """What reads neither texts nor effects does not wait for them; they are made once, when a query asks, and change no card."""
+    from effectql import stored
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(stored, "_built", {})
+    made = []
+    monkeypatch.setattr(stored, "build_effects", lambda store, build=stored.build_effects: made.append(build(store)) or made[-1])
+    before = {name: getattr(stored, name)(spark, folder) for name in ("store_counters", "store_get_card", "store_cards", "store_names", "store_raw_records", "store_stats")}
+    rows = {name: sorted(map(tuple, frame.collect()), key=str) for name, frame in before.items()}
+    assert not made
+    assert {r["name"]: r["n"] for r in stored.store_build(spark, folder).collect()} == made[1]
+    assert all(sorted(map(tuple, frame.collect()), key=str) == rows[name] for name, frame in before.items())
+    assert sorted(map(tuple, stored.store_cards(spark, folder).collect()), key=str) == rows["store_cards"] and len(made) == 2
